@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+NUDGE = 3e-9
+
 
 def yes(condition: Column) -> Column:
     """Comparison where a null operand means false, as in NaN comparisons."""
@@ -64,9 +66,10 @@ def all_of(conditions: list[Column]) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE column; + 0.0 turns a negative zero into zero."""
+    """Round every DOUBLE column. The nudge sends exact ties one way, whatever the
+    order of a sum was; + 0.0 turns a negative zero into zero."""
     cols = [
-        (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f"`{f.name}`") + NUDGE, digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`")
         for f in df.schema.fields

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeflow.functions.columns import NUDGE
 from tapeflow.plans.views import Inputs, with_views
 from tapeflow.session import prepare
 
@@ -31,6 +32,11 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     return wrap
 
 
+def rnd(expr: str, digits: int = 6) -> str:
+    """SQL rounding that matches ``rounded``."""
+    return f"round({expr} + {NUDGE!r}, {digits}) + 0e0"
+
+
 def r6(*cols: str, digits: int = 6) -> str:
     """SQL select items rounding the given columns under their own names."""
-    return ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in cols)
+    return ", ".join(f"{rnd(c, digits)} AS {c.split('.')[-1]}" for c in cols)
