@@ -18,15 +18,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import int_div
+from tapeflow.functions.quantiles import STRIPE_POINTS, STRIPES, stripe_of
 from tapeflow.functions.series import BLOCK_ROWS, running
-from tapeflow.session import checkpoint_dir
-
-FINE = 16
-STRIPES = FINE * FINE
+from tapeflow.session import staged
 
 
 def earlier_smaller(values: np.ndarray) -> np.ndarray:
@@ -59,13 +57,6 @@ def _count_in(columns: list[str]):
     return count
 
 
-def _stripe(x: Column, cuts: Column) -> Column:
-    """Number of cuts below x, by a coarse and a fine pass over sorted cuts."""
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(FINE - 1)), lambda i: F.get(cuts, i * FINE - 1)), lambda c: c < x))
-    fine = F.size(F.filter(F.slice(cuts, coarse * FINE + 1, FINE), lambda c: c < x))
-    return (coarse * FINE + fine).cast("int")
-
-
 def above_running_quantile(
     df: DataFrame,
     keys: Sequence[str],
@@ -81,9 +72,8 @@ def above_running_quantile(
     """Add ``out``: 1.0 where value exceeds its expanding quantile (``fallback``
     until ``min_rows`` values), else 0.0; null values give 0.0."""
     keys = list(keys)
-    # The narrow slice is read several times below; a checkpoint cuts its lineage.
-    checkpoint_dir(df.sparkSession)
-    slim = df.select(*keys, F.col(row).alias("_r"), F.col(value).cast("double").alias("_x")).checkpoint()
+    # The narrow slice is read several times below, so it is written once.
+    slim = staged(df.select(*keys, F.col(row).alias("_r"), F.col(value).cast("double").alias("_x")))
     rows = slim.where(F.col("_x").isNotNull()).withColumn("_b", int_div("_r", block_rows))
     types = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
     less = rows.groupBy(*keys, "_b").applyInPandas(
@@ -112,9 +102,8 @@ def _from_earlier_blocks(rows: DataFrame, keys: list[str], types: str) -> DataFr
     """Earlier-block counts for series longer than one block."""
     long = rows.groupBy(*keys).agg(F.max("_b").alias("_last")).where(F.col("_last") > 0).select(*keys)
     wide = rows.join(long, keys)
-    points = [i / STRIPES for i in range(1, STRIPES)]
-    cuts = wide.groupBy(*keys).agg(F.percentile_approx("_x", points, 10_000).alias("_cuts"))
-    striped = wide.join(cuts, keys).withColumn("_s", _stripe(F.col("_x"), F.col("_cuts"))).drop("_cuts")
+    cuts = wide.groupBy(*keys).agg(F.percentile_approx("_x", STRIPE_POINTS, 10_000).alias("_cuts"))
+    striped = wide.join(cuts, keys).withColumn("_s", stripe_of(F.col("_x"), F.col("_cuts"))).drop("_cuts")
     across = striped.groupBy(*keys, "_s").applyInPandas(
         _count_in(["_b", "_x"]), f"{types}, _r bigint, _b bigint, _s int, _less bigint"
     )

@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAVY_VALUES = 1_000_000
-ACCURACY = 10_000
+FINE = 16
+STRIPES = FINE * FINE
+STRIPE_POINTS = [i / STRIPES for i in range(1, STRIPES)]
+
+
+def stripe_of(x: Column, cuts: Column) -> Column:
+    """Number of sorted ``cuts`` below x, by a coarse and a fine pass."""
+    coarse = F.size(
+        F.filter(
+            F.transform(F.sequence(F.lit(1), F.lit(FINE - 1)), lambda i: F.get(cuts, i * FINE - 1)),
+            lambda c: c < x,
+        )
+    )
+    fine = F.size(F.filter(F.slice(cuts, coarse * FINE + 1, FINE), lambda c: c < x))
+    return (coarse * FINE + fine).cast("int")
 
 
 def exact_percentiles(
@@ -22,73 +36,50 @@ def exact_percentiles(
 
     Equal values are counted before anything is gathered. A group with few
     distinct values uses Spark's exact ``percentile``, which keeps one counter
-    per distinct value. A group above ``heavy_values`` is ranked instead: a
-    sketch brackets each wanted rank, values below the bracket are only counted,
-    and just the values inside it are ordered.
+    per distinct value. A group above ``heavy_values`` is cut into value stripes
+    by a sketch; stripes are only counted, and just those holding a wanted rank
+    are ordered. At most rows / heavy_values groups are heavy, which bounds the
+    broadcast of their keys.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     counted = present.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_rows")
-    )
+    sizes = counted.groupBy(*keys).agg(F.count("_v").alias("_distinct"), F.sum("_n").alias("_rows"))
+    heavy = F.broadcast(sizes.where((F.col("_distinct") > heavy_values) & (F.col("_rows") > 0)).select(*keys))
     names = list(points)
     light = (
-        counted.join(sizes.where(F.col("_distinct") <= heavy_values).select(*keys), keys)
+        counted.join(heavy, keys, "left_anti")
         .groupBy(*keys)
         .agg(F.percentile("_v", [float(points[n]) for n in names], F.col("_n")).alias("_p"))
         .select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
     )
-    heavy = _ranked(present, counted, sizes.where(F.col("_distinct") > heavy_values), keys, value, points)
-    return light.unionByName(heavy)
+    return light.unionByName(_by_stripe(counted.join(heavy, keys), keys, points))
 
 
-def _ranked(present, counted, sizes, keys, value, points) -> DataFrame:
-    slack = 3.0 / ACCURACY
-    edges = [min(1.0, max(0.0, p + s)) for p in points.values() for s in (-slack, slack)]
-    brackets = (
-        present.join(sizes, keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx(value, edges, ACCURACY).alias("_e"), F.first("_rows").alias("_rows"))
-        .select(
-            *keys,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(name).alias("_name"),
-                            F.col("_e")[2 * i].alias("_lo"),
-                            F.col("_e")[2 * i + 1].alias("_hi"),
-                            (F.lit(float(p)) * (F.col("_rows") - 1)).alias("_rank"),
-                        )
-                        for i, (name, p) in enumerate(points.items())
-                    ]
-                )
-            ).alias("_b"),
-        )
-        .select(*keys, "_b.*")
-    )
-    joined = counted.join(brackets, keys)
-    below = joined.groupBy(*keys, "_name").agg(
-        F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_n")).otherwise(0)).alias("_below")
-    )
-    by_value = (
-        Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    inside = (
-        joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .join(below, [*keys, "_name"])
-        .withColumn("_cum", F.col("_below") + F.sum("_n").over(by_value))
-    )
-    low, frac = F.floor("_rank"), F.col("_rank") - F.floor("_rank")
-    picked = (
-        inside.groupBy(*keys, "_name", "_rank")
-        .agg(
-            F.min(F.when(F.col("_cum") > low, F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_z"),
+def _by_stripe(counted: DataFrame, keys: list[str], points: Mapping[str, float]) -> DataFrame:
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", STRIPE_POINTS, 10_000).alias("_cuts"))
+    striped = counted.join(F.broadcast(cuts), keys).withColumn("_s", stripe_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        striped.groupBy(*keys, "_s")
+        .agg(F.sum("_n").alias("_sn"))
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_sn").over(before), F.lit(0)),
+                "_rows": F.sum("_sn").over(Window.partitionBy(*keys)),
+            }
         )
-        .withColumn("_q", F.col("_a") + frac * (F.col("_z") - F.col("_a")))
     )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in points]
+    rank = {n: F.lit(float(p)) * (F.col("_rows") - 1) for n, p in points.items()}
+    wanted = F.lit(False)
+    for r in rank.values():
+        for edge in (F.floor(r), F.ceil(r)):
+            wanted = wanted | ((edge >= F.col("_before")) & (edge < F.col("_before") + F.col("_sn")))
+    by_value = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = striped.join(F.broadcast(totals.where(wanted)), [*keys, "_s"]).withColumn(
+        "_cum", F.col("_before") + F.sum("_n").over(by_value)
     )
+    low = {n: F.min(F.when(F.col("_cum") > F.floor(r), F.col("_v"))) for n, r in rank.items()}
+    high = {n: F.min(F.when(F.col("_cum") > F.ceil(r), F.col("_v"))) for n, r in rank.items()}
+    share = {n: F.max(r - F.floor(r)) for n, r in rank.items()}
+    return inside.groupBy(*keys).agg(*[(low[n] + share[n] * (high[n] - low[n])).alias(n) for n in points])

@@ -156,8 +156,8 @@ def flow_features(
 ) -> DataFrame:
     """Candles + flow rows in, every model feature out (or just ``columns`` of the derived ones)."""
     s = SERIES
-    merged = merge_order_flow(candles, flow)
-    numbered = number_rows(merged, s.keys, "open_time", span)
+    # Flow has at most one row per candle, so positions can be given before the join.
+    numbered = merge_order_flow(number_rows(candles, s.keys, "open_time", span), flow)
     derived = [c for c in FLOW_DERIVED if columns is None or c in columns]
     if NEED_SPREAD_REGIME & set(derived):
         numbered = above_running_quantile(

@@ -14,6 +14,7 @@ from tapeflow.operators import kline_proxy as K
 from tapeflow.operators import ohlcv as H
 from tapeflow.operators import trade_flow as T
 from tapeflow.plans.registry import query, r6
+from tapeflow.session import staged
 from tapeflow.plans.views import CANDLE_SPAN, HOUR, Inputs
 
 KEY = ["product_id", "open_time"]
@@ -41,7 +42,7 @@ OHLCV_GROUPS = {
 def _ohlcv_group(name: str, cols: list[str]) -> None:
     @query(name, f"SELECT product_id, open_time, {r6(*cols)} FROM ohlcv", ("ohlcv",))
     def run(x: Inputs):
-        return rounded(H.ohlcv_features(x.candles(), CANDLE_SPAN, drop_incomplete=False).select(*KEY, *cols))
+        return rounded(H.ohlcv_features(x.candle_table(), CANDLE_SPAN, drop_incomplete=False).select(*KEY, *cols))
 
 
 for _name, _cols in OHLCV_GROUPS.items():
@@ -56,7 +57,7 @@ NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in OHLCV_FEATURES)
     ("ohlcv",),
 )
 def features_ohlcv(x: Inputs):
-    return rounded(H.ohlcv_features(x.candles(), CANDLE_SPAN).select(*KEY, "close", *OHLCV_FEATURES))
+    return rounded(H.ohlcv_features(x.candle_table(), CANDLE_SPAN).select(*KEY, "close", *OHLCV_FEATURES))
 
 
 @query(
@@ -65,7 +66,7 @@ def features_ohlcv(x: Inputs):
     ("ohlcv",),
 )
 def dropna_features(x: Inputs):
-    kept = H.complete_rows(H.ohlcv_features(x.candles(), CANDLE_SPAN, drop_incomplete=False))
+    kept = H.complete_rows(H.ohlcv_features(x.candle_table(), CANDLE_SPAN, drop_incomplete=False))
     return kept.groupBy("product_id").agg(F.count(F.lit(1)).alias("rows_kept"), F.min("open_time").alias("first_open"))
 
 
@@ -130,7 +131,7 @@ PROXY_GROUPS = {
 def _proxy_group(name: str, cols: list[str]) -> None:
     @query(name, f"SELECT product_id, open_time, {r6(*cols)} FROM proxy", ("proxy",))
     def run(x: Inputs):
-        return rounded(K.kline_proxy(x.klines(), CANDLE_SPAN).select(*KEY, *cols))
+        return rounded(K.kline_proxy(staged(x.klines()), CANDLE_SPAN).select(*KEY, *cols))
 
 
 for _name, _cols in PROXY_GROUPS.items():
@@ -142,16 +143,16 @@ PROXIED = [c for c in FLOW_RAW if c not in TRADE_FLOW + BOOK_CANCEL]
 
 @query("kline_proxy_fill", f"SELECT product_id, open_time, {ZEROED}, {r6(*PROXIED)} FROM proxy", ("proxy",))
 def kline_proxy_fill(x: Inputs):
-    return rounded(K.kline_proxy(x.klines(), CANDLE_SPAN))
+    return rounded(K.kline_proxy(staged(x.klines()), CANDLE_SPAN))
 
 
 @query("kline_flow_proxy", f"SELECT product_id, open_time, {r6(*PROXIED)} FROM proxy", ("proxy",))
 def kline_flow_proxy(x: Inputs):
-    return rounded(K.kline_proxy(x.klines(), CANDLE_SPAN).select(*KEY, *PROXIED))
+    return rounded(K.kline_proxy(staged(x.klines()), CANDLE_SPAN).select(*KEY, *PROXIED))
 
 
 def merged_flow(x: Inputs):
-    return K.merge_proxy_and_trades(K.kline_proxy(x.klines(), CANDLE_SPAN), T.historical_flow(x.trades(), HOUR))
+    return K.merge_proxy_and_trades(K.kline_proxy(staged(x.klines()), CANDLE_SPAN), T.historical_flow(x.trades(), HOUR))
 
 
 def some_flow(x: Inputs):
@@ -205,7 +206,7 @@ FLOW_GROUPS = {
 def _flow_group(name: str, cols: list[str]) -> None:
     @query(name, f"SELECT product_id, open_time, {r6(*cols)} FROM flow_features", ("flow_features",))
     def run(x: Inputs):
-        wide = G.flow_features(x.candles(), some_flow(x), CANDLE_SPAN, drop_incomplete=False, columns=cols)
+        wide = G.flow_features(x.candle_table(), some_flow(x), CANDLE_SPAN, drop_incomplete=False, columns=cols)
         return rounded(wide.select(*KEY, *cols))
 
 
@@ -221,5 +222,5 @@ EVERYTHING = OHLCV_FEATURES + MERGED + FLOW_DERIVED
     ("flow_features",),
 )
 def features_order_flow(x: Inputs):
-    wide = G.flow_features(x.candles(), some_flow(x), CANDLE_SPAN)
+    wide = G.flow_features(x.candle_table(), some_flow(x), CANDLE_SPAN)
     return rounded(wide.select(*KEY, "trade_count", *EVERYTHING))

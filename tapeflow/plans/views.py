@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeflow.functions.columns import epoch_ms
 from tapeflow.functions.series import number_rows
 from tapeflow.operators.candles import build_candles, with_current_bucket
+from tapeflow.session import staged
 
 HOUR = 3_600_000
 # Candle blocks of the checks: whole blocks of hourly candles.
@@ -195,8 +196,12 @@ class Inputs:
     def candles(self) -> DataFrame:
         return build_candles(self.trades(), HOUR)
 
+    def candle_table(self) -> DataFrame:
+        """Candles as a stored table, for plans that read them more than once."""
+        return staged(self.candles())
+
     def numbered(self) -> DataFrame:
-        return number_rows(self.candles(), ["product_id"], "open_time", CANDLE_SPAN)
+        return number_rows(self.candle_table(), ["product_id"], "open_time", CANDLE_SPAN)
 
     def exits(self) -> DataFrame:
         k = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 4

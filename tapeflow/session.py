@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -41,3 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_KEY, configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame once to the shared checkpoint folder and read it back.
+
+    For inputs read several times in one plan: the costly part before it runs
+    once, survives lost executors, and columns are still pruned on each read.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
