@@ -1,11 +1,116 @@
-"""Feature catalog and selection."""
-from pyspark.sql import DataFrame, SparkSession
+"""Feature catalog and feature selection."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping, Sequence
+from itertools import combinations
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
 from tapeflow.functions.names import BOOK_CANCEL, FLOW_DERIVED, FLOW_RAW, OHLCV_CATEGORY
 
+CORRELATION_CUT, MIN_IMPORTANCE_SHARE, STABILITY, MAX_FEATURES = 0.85, 0.005, 0.6, 25
+
 
 def feature_catalog(spark: SparkSession) -> DataFrame:
     """Known model features: name, category, candidate."""
     rows = [(n, cat, True) for cat, names in OHLCV_CATEGORY.items() for n in names.split()]
     rows += [(n, "order_flow", True) for n in FLOW_RAW + FLOW_DERIVED if n not in BOOK_CANCEL]
     return spark.createDataFrame(rows, "name string, category string, candidate boolean")
+
+
+def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature_a, feature_b, abs_corr) for every pair, from one partial-aggregated pass."""
+    pairs = list(combinations(features, 2))
+    sums = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    rows = [
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.abs(f"c{i}").alias("abs_corr"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").withColumn(
+        "abs_corr", F.when(~F.isnan("abs_corr"), F.col("abs_corr"))
+    )
+
+
+def correlation_filter(
+    matrix: DataFrame, features: Sequence[str], importance: Mapping[str, float], cut: float = CORRELATION_CUT
+) -> tuple[list[str], list[str]]:
+    """Of each strongly correlated pair drop the less important one, in column order.
+
+    The pairs above the cut (at most features^2 / 2) are decided on the driver.
+    """
+    strong = {(r.feature_a, r.feature_b) for r in matrix.where(F.col("abs_corr") > cut).collect()}
+    dropped: set[str] = set()
+    for j, later in enumerate(features):
+        for earlier in features[:j]:
+            if (earlier, later) not in strong or dropped & {earlier, later}:
+                continue
+            weaker = later if importance.get(later, 0.0) < importance.get(earlier, 0.0) else earlier
+            dropped.add(weaker)
+    return [f for f in features if f not in dropped], sorted(dropped)
+
+
+def weak_feature_filter(scores: DataFrame, max_features: int = MAX_FEATURES, key: str = "product_id") -> DataFrame:
+    """Keep features that matter by importance share or by permutation, at most ``max_features``.
+
+    scores: key, feature, importance, permutation. If nothing is left, the most
+    important ones stay.
+    """
+    w = Window.partitionBy(key)  # at most one row per feature
+    total = F.sum("importance").over(w)
+    share = F.when(total > 0, F.col("importance") / total).otherwise(F.col("importance"))
+    strong = ~((share < MIN_IMPORTANCE_SHARE) & (F.col("permutation") <= 0))
+    df = scores.withColumn("_strong", strong).withColumn("_any", F.max("_strong").over(w))
+    kept = df.where(F.col("_strong") | ~F.col("_any"))
+    rank = F.row_number().over(w.orderBy(F.col("importance").desc(), "feature"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= max_features).drop("_strong", "_any")
+
+
+def stable_features(selected: DataFrame, folds: DataFrame, max_features: int = MAX_FEATURES, key: str = "product_id") -> DataFrame:
+    """Features chosen in at least ceil(0.6 * folds) folds, by mean importance.
+
+    selected: key, fold_id, feature, importance. folds: key, fold_id, auc; used
+    for the fallback to the best fold's features.
+    """
+    n = folds.groupBy(key).agg(
+        F.count_distinct("fold_id").alias("_folds"), F.max_by("fold_id", F.struct("auc", (-F.col("fold_id")))).alias("_best")
+    )
+    counts = selected.groupBy(key, "feature").agg(
+        F.count_distinct("fold_id").alias("appearances"), F.avg("importance").alias("mean_importance")
+    )
+    need = F.greatest(F.lit(1), F.ceil(F.col("_folds") * STABILITY))
+    stable = counts.join(n, key).where(F.col("appearances") >= need)
+    best = (
+        selected.join(n, key).where(F.col("fold_id") == F.col("_best"))
+        .join(stable.select(key).distinct(), key, "left_anti")
+        .join(counts, [key, "feature"])
+    )
+    cols = [key, "feature", "appearances", "mean_importance"]
+    both = stable.select(cols).unionByName(best.select(cols))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("mean_importance").desc(), "feature"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= max_features)
+
+
+def permuted(df: DataFrame, feature: str, key: str, seed: int) -> DataFrame:
+    """``df`` with one feature shuffled inside each group.
+
+    Rows and donor values are both numbered in a random order per random slot, so
+    a large group is shuffled slot by slot instead of in one task.
+    """
+    slots = 64
+    rows = df.withColumn("_slot", F.pmod(F.xxhash64(F.lit(seed), key, "row_idx"), F.lit(slots)))
+    w = Window.partitionBy(key, "_slot")
+    mine = rows.withColumn("_n", F.row_number().over(w.orderBy("row_idx")))
+    donors = rows.select(
+        key, "_slot", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1), "row_idx"), "row_idx")).alias("_n"),
+        F.col(feature).alias("_shuffled"),
+    )
+    return (
+        mine.join(donors, [key, "_slot", "_n"]).withColumn(feature, F.col("_shuffled")).drop("_slot", "_n", "_shuffled")
+    )
+
+
+def folds_needed(folds: int) -> int:
+    return max(1, math.ceil(STABILITY * folds))
