@@ -185,7 +185,7 @@ def _summary(levels: DataFrame, window: str) -> DataFrame:
     return top.join(near, keys, "left").fillna(0.0, ["cumul_depth_1bp", "cumul_depth_5bp", "cumul_depth_10bp"])
 
 
-def _top_of_book(df: DataFrame) -> DataFrame:
+def top_of_book(df: DataFrame) -> DataFrame:
     bid, ask, mid = F.col("_best_bid"), F.col("_best_ask"), F.col("mid_price")
     bsz, asz = F.col("best_bid_size"), F.col("best_ask_size")
     df = df.withColumns(
@@ -209,7 +209,6 @@ def _top_of_book(df: DataFrame) -> DataFrame:
 def _dynamics(df: DataFrame) -> DataFrame:
     """Consumption, absorption, refill and cancel columns. The start depth of a
     window is the depth at the previous window that had a book."""
-    buy, sell, move = F.col("buy_volume"), F.col("sell_volume"), F.col("price_change")
     df = running(
         df, keys=["product_id"], order=["k"], block=int_div("k", WINDOW_BLOCK),
         specs={f"_start_{s}": ("last", f"{s}_depth_top10") for s in ("bid", "ask")}, exclusive=True,
@@ -217,6 +216,12 @@ def _dynamics(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {f"_start_{s}": F.coalesce(f"_start_{s}", f"{s}_depth_top10") for s in ("bid", "ask")}
     )
+    return dynamics_columns(df)
+
+
+def dynamics_columns(df: DataFrame) -> DataFrame:
+    """The same columns from rows that carry their start depth (batch and stream)."""
+    buy, sell, move = F.col("buy_volume"), F.col("sell_volume"), F.col("price_change")
     start_ask, start_bid = F.col("_start_ask"), F.col("_start_bid")
     df = df.withColumns(
         {
@@ -284,7 +289,7 @@ def book_metrics(
     flows = change_flow(marked, window)
     keys = ["product_id", window]
     inputs = windows.join(flows, keys, "left").fillna(0.0, ["bid_added", "bid_removed", "ask_added", "ask_removed"])
-    filled = _dynamics(_top_of_book(summary).join(inputs, keys))
+    filled = _dynamics(top_of_book(summary).join(inputs, keys))
     names = BOOK_SPREAD + BOOK_DEPTH + BOOK_DYNAMICS
     return windows.select(*keys).join(filled.select(*keys, *names), keys, "left")
 
