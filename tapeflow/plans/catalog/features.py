@@ -206,7 +206,7 @@ FLOW_GROUPS = {
 def _flow_group(name: str, cols: list[str]) -> None:
     @query(name, f"SELECT product_id, open_time, {r6(*cols)} FROM flow_features", ("flow_features",))
     def run(x: Inputs):
-        wide = G.flow_features(x.candle_table(), some_flow(x), CANDLE_SPAN, drop_incomplete=False, columns=cols)
+        wide = G.flow_features(x.candle_table(), staged(some_flow(x)), CANDLE_SPAN, drop_incomplete=False, columns=cols)
         return rounded(wide.select(*KEY, *cols))
 
 
@@ -222,5 +222,5 @@ EVERYTHING = OHLCV_FEATURES + MERGED + FLOW_DERIVED
     ("flow_features",),
 )
 def features_order_flow(x: Inputs):
-    wide = G.flow_features(x.candle_table(), some_flow(x), CANDLE_SPAN)
+    wide = G.flow_features(x.candle_table(), staged(some_flow(x)), CANDLE_SPAN)
     return rounded(wide.select(*KEY, "trade_count", *EVERYTHING))
