@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeflow.session import staged
+
 HEAVY_VALUES = 1_000_000
 FINE = 16
 STRIPES = FINE * FINE
@@ -25,37 +27,52 @@ def stripe_of(x: Column, cuts: Column) -> Column:
     return (coarse * FINE + fine).cast("int")
 
 
+def with_stripe(df: DataFrame, keys: Sequence[str], value: str, out: str = "_s") -> DataFrame:
+    """Cut each group into value ranges of about equal size, so that running
+    totals along the value never order a whole group in one task."""
+    keys = list(keys)
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, STRIPE_POINTS, 10_000).alias("_cuts"))
+    return df.join(cuts, keys).withColumn(out, stripe_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
     heavy_values: int = HEAVY_VALUES,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with linearly interpolated percentiles of ``value``.
 
-    Equal values are counted before anything is gathered. A group with few
-    distinct values uses Spark's exact ``percentile``, which keeps one counter
-    per distinct value. A group above ``heavy_values`` is cut into value stripes
-    by a sketch; stripes are only counted, and just those holding a wanted rank
-    are ordered. At most rows / heavy_values groups are heavy, which bounds the
-    broadcast of their keys.
+    Equal values are counted first (``weight`` holds counts made earlier) and the
+    counts are written once, so the input is read once. A group with few distinct
+    values uses Spark's exact ``percentile``, which keeps one counter per distinct
+    value. A group above ``heavy_values`` is cut into value stripes by a sketch;
+    stripes are only counted, and just those holding a wanted rank are ordered.
+    At most rows / heavy_values groups are heavy, which bounds the broadcast of
+    their keys.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = present.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counted.groupBy(*keys).agg(F.count("_v").alias("_distinct"), F.sum("_n").alias("_rows"))
-    heavy = F.broadcast(sizes.where((F.col("_distinct") > heavy_values) & (F.col("_rows") > 0)).select(*keys))
-    names = list(points)
-    light = (
-        counted.join(heavy, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.percentile("_v", [float(points[n]) for n in names], F.col("_n")).alias("_p"))
-        .select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    )
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = staged(present.groupBy(*keys, F.col(value).alias("_v")).agg(n.alias("_n")))
+    heavy = counted.groupBy(*keys).count().where(F.col("count") > heavy_values).select(*keys)
+    if not heavy.limit(1).count():
+        return _in_place(counted, keys, points)
+    heavy = F.broadcast(heavy)
+    light = _in_place(counted.join(heavy, keys, "left_anti"), keys, points)
     return light.unionByName(_by_stripe(counted.join(heavy, keys), keys, points))
 
 
+def _in_place(counted: DataFrame, keys: list[str], points: Mapping[str, float]) -> DataFrame:
+    return (
+        counted.groupBy(*keys)
+        .agg(F.percentile("_v", [float(p) for p in points.values()], F.col("_n")).alias("_p"))
+        .select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(points)])
+    )
+
+
 def _by_stripe(counted: DataFrame, keys: list[str], points: Mapping[str, float]) -> DataFrame:
     cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", STRIPE_POINTS, 10_000).alias("_cuts"))
     striped = counted.join(F.broadcast(cuts), keys).withColumn("_s", stripe_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")

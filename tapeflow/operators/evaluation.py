@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import int_div, ratio
+from tapeflow.functions.quantiles import with_stripe
 from tapeflow.functions.series import running
+from tapeflow.session import staged
 
-PROB_BLOCKS = 1_024
 DRAWDOWN_BLOCK = 100_000
 
 
@@ -18,7 +19,7 @@ def auc(scored: DataFrame, keys: Sequence[str], prob: str = "prob", target: str
     """ROC AUC per group with ties at half weight; one class gives 0.5.
 
     Equal probabilities are folded first; the ranks then come from running
-    counts over probability blocks.
+    counts over value ranges of about equal size.
     """
     keys = list(keys)
     folded = scored.groupBy(*keys, F.col(prob).alias("_p")).agg(
@@ -26,7 +27,7 @@ def auc(scored: DataFrame, keys: Sequence[str], prob: str = "prob", target: str
         F.sum(F.when(F.col(target) == 1, 0).otherwise(1)).alias("_neg"),
     )
     ranked = running(
-        folded, keys=keys, order=["_p"], block=F.floor(F.col("_p") * PROB_BLOCKS).cast("bigint"),
+        with_stripe(staged(folded), keys, "_p"), keys=keys, order=["_p"], block=F.col("_s"),
         specs={"_below": ("sum", "_neg")}, exclusive=True,
     )
     wins = F.sum(F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2.0))

@@ -80,13 +80,17 @@ def regime_limits(df: DataFrame, key: str = "product_id") -> DataFrame:
     ok = df.where(
         F.col("realized_vol_5").isNotNull() & F.col("bb_width").isNotNull() & F.col("range_compression_20").isNotNull()
     )
-    out = None
-    for column, name, p in (
-        ("realized_vol_5", "vol_limit", 0.95), ("range_compression_20", "compression_limit", 0.15), ("bb_width", "width_limit", 0.15),
-    ):
-        part = exact_percentiles(ok, [key], column, {name: p})
-        out = part if out is None else out.join(part, key)
-    return out
+    inputs = ["realized_vol_5", "range_compression_20", "bb_width"]
+    cuts = exact_percentiles(to_long(ok, [key], inputs), [key, "feature"], "value", {"p95": 0.95, "p15": 0.15})
+
+    def pick(feature: str, point: str):
+        return F.max(F.when(F.col("feature") == feature, F.col(point)))
+
+    return cuts.groupBy(key).agg(
+        pick("realized_vol_5", "p95").alias("vol_limit"),
+        pick("range_compression_20", "p15").alias("compression_limit"),
+        pick("bb_width", "p15").alias("width_limit"),
+    )
 
 
 def regime_evaluate(df: DataFrame, limits: DataFrame, key: str = "product_id") -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import over_nonzero, yes
+from tapeflow.functions.quantiles import with_stripe
+from tapeflow.functions.series import running
+from tapeflow.session import staged
 
 # Bases that are not screened (stable and fiat tokens).
 EXCLUDED_BASES = ("USDC", "USDT", "PYUSD", "DAI", "USDS", "FDUSD", "EURC", "EUR", "GBP", "USD", "GYEN")
@@ -91,15 +94,19 @@ def daily_realized_vol(candles: DataFrame) -> DataFrame:
 def percentile_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """(values below + half of the equal ones) / n against the non-null values.
 
-    Equal values are folded first, so the ordered frame has one row per distinct
-    value of the product list.
+    Equal values are folded first; counts below a value are then carried over
+    value ranges of about equal size.
     """
-    values = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    total = values.agg(F.sum("_c").alias("_n"))
-    ranks = values.withColumn("_less", F.coalesce(F.sum("_c").over(w), F.lit(0))).crossJoin(F.broadcast(total))  # one row
-    score = F.when(F.col("_n") == 1, 1.0).otherwise((F.col("_less") + 0.5 * F.col("_c")) / F.col("_n"))
-    return df.join(ranks.select(F.col("_v"), score.alias(out)), F.col(value) == F.col("_v"), "left").drop("_v")
+    values = df.where(F.col(value).isNotNull()).groupBy(F.lit(0).alias("_all"), F.col(value).alias("_v"))
+    values = staged(values.agg(F.count(F.lit(1)).alias("_c")))
+    total = values.groupBy("_all").agg(F.sum("_c").alias("_n"))
+    below = running(
+        with_stripe(values, ["_all"], "_v"), keys=["_all"], order=["_v"], block=F.col("_s"),
+        specs={"_less": ("sum", "_c")}, exclusive=True,
+    ).join(F.broadcast(total), "_all")  # one row
+    share = (F.coalesce("_less", F.lit(0)) + 0.5 * F.col("_c")) / F.col("_n")
+    ranks = below.select("_v", F.when(F.col("_n") == 1, 1.0).otherwise(share).alias(out))
+    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def screen(candidates: DataFrame, spreads: DataFrame, candle_stats: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:

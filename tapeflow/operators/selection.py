@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions.names import BOOK_CANCEL, FLOW_DERIVED, FLOW_RAW, OHLCV_CATEGORY
 
+SLOT_ROWS = 65_536
 CORRELATION_CUT, MIN_IMPORTANCE_SHARE, STABILITY, MAX_FEATURES = 0.85, 0.005, 0.6, 25
 
 
@@ -99,8 +100,9 @@ def permuted(df: DataFrame, feature: str, key: str, seed: int) -> DataFrame:
     Rows and donor values are both numbered in a random order per random slot, so
     a large group is shuffled slot by slot instead of in one task.
     """
-    slots = 64
-    rows = df.withColumn("_slot", F.pmod(F.xxhash64(F.lit(seed), key, "row_idx"), F.lit(slots)))
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SLOT_ROWS).alias("_slots"))
+    slot = F.pmod(F.xxhash64(F.lit(seed), key, "row_idx"), F.col("_slots"))
+    rows = df.join(sizes, key).withColumn("_slot", slot).drop("_slots")
     w = Window.partitionBy(key, "_slot")
     mine = rows.withColumn("_n", F.row_number().over(w.orderBy("row_idx")))
     donors = rows.select(
