@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.quantiles import exact_percentiles
@@ -28,6 +28,20 @@ def drift_bounds(df: DataFrame, features: Sequence[str], key: str = "product_id"
     )
 
 
+def _outside(value: Column, low: Column, median: Column, high: Column) -> Column:
+    scale = F.greatest(F.abs(high - low), F.abs(median) * MARGIN, F.lit(1e-9)) * MARGIN
+    return (value < low - scale) | (value > high + scale)
+
+
+def drift_by_feature(df: DataFrame, features: Sequence[str], bounds: DataFrame, key: str = "product_id") -> DataFrame:
+    """Checked values and outliers per product and feature."""
+    c = F.col
+    joined = to_long(df, [key], features).join(bounds, [key, "feature"])
+    return joined.groupBy(key, "feature").agg(
+        F.count(F.lit(1)).alias("checked"), F.count_if(_outside(c("value"), c("low"), c("median"), c("high"))).alias("outliers")
+    )
+
+
 def drift_evaluate(
     df: DataFrame, ids: Sequence[str], features: Sequence[str], bounds: DataFrame, key: str = "product_id"
 ) -> DataFrame:
@@ -50,9 +64,7 @@ def drift_evaluate(
     )
 
     def outside(c):
-        b = c["b"]
-        scale = F.greatest(F.abs(b["high"] - b["low"]), F.abs(b["median"]) * MARGIN, F.lit(1e-9)) * MARGIN
-        return (c["v"] < b["low"] - scale) | (c["v"] > b["high"] + scale)
+        return _outside(c["v"], c["b"]["low"], c["b"]["median"], c["b"]["high"])
 
     judged = df.join(maps, key, "left").withColumn("_c", checks)
     judged = judged.select(

@@ -531,6 +531,17 @@ def drift_evaluate(x: Inputs):
     return rounded(D.drift_evaluate(rows, KEY, DRIFT, bounds))
 
 
+@query(
+    "drift_bounds_join",
+    f"""WITH {BOUND_SQL} SELECT product_id, feature, count(*) AS checked, count(*) FILTER (value < low - m OR value > high + m) AS outliers FROM
+          (SELECT *, 0.1e0 * greatest(abs(high - low), abs(median) * 0.1e0, 1e-9) AS m FROM bounds) JOIN long USING (product_id, feature) GROUP BY 1, 2""",
+    ("early",),
+)
+def drift_bounds_join(x: Inputs):
+    rows = labeled_rows(x)
+    return D.drift_by_feature(rows, DRIFT, D.drift_bounds(rows.where(F.col("row_idx") < 300), DRIFT))
+
+
 LIMIT_SQL = "lim AS (SELECT product_id, quantile_cont(realized_vol_5, 0.95) AS vol_limit, quantile_cont(range_compression_20, 0.15) AS compression_limit, quantile_cont(bb_width, 0.15) AS width_limit FROM early WHERE is_train GROUP BY 1)"
 
 

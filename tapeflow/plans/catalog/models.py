@@ -101,3 +101,15 @@ def regime_mixture(x: Inputs):
     table = labeled(x)
     states = per_product(table, lambda df, p: M.regime_states(df))
     return D.label_states(states.withColumn("state", F.col("state").cast("bigint")))
+
+
+@query("shap_importance")
+def shap_importance(x: Inputs):
+    """Ranking used where no SHAP values exist: gain importance of each product's model."""
+
+    def run(df, p):
+        shares = M.train_booster(staged(split(df)), FEATURES, SMALL).importance()
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in shares.items()]))
+        return df.groupBy("product_id").agg(F.count(F.lit(1)).alias("rows")).select("product_id", "rows", pairs.alias("s")).select("product_id", "rows", "s.*")
+
+    return rounded(per_product(labeled(x), run))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import epoch_ms, rounded
-from tapeflow.functions.names import BOOK_DEPTH, BOOK_DYNAMICS, BOOK_SPREAD, CANDLE
+from tapeflow.functions.names import BOOK_DEPTH, BOOK_DYNAMICS, BOOK_SPREAD, CANDLE, OHLCV_FEATURES
 from tapeflow.operators import ledger as L
 from tapeflow.plans.catalog.candles import CANDLE_SQL
-from tapeflow.plans.catalog.features import FLOW_SQL
+from tapeflow.plans.catalog.features import FLOW_SQL, NOT_NULL
 from tapeflow.plans.catalog.tables import SEQ_SQL, feed
-from tapeflow.plans.registry import query, r6
+from tapeflow.plans.registry import query, r6, rnd
 from tapeflow.plans.views import CANDLE_SPAN, HOUR, Inputs
 from tapeflow.session import staged
 from tapeflow.sources import feed as M
@@ -70,7 +70,13 @@ def stream_candles(x: Inputs):
     return rounded(B.drain(SC.stream_candles(streamed(x).trades(), HOUR)))
 
 
-@query("stream_candles_watermark")
+@query(
+    "stream_candles_watermark",
+    f"""SELECT product_id, bucket AS open_time, bucket + 3599999 AS close_time, {rnd('arg_min(price, arrival_seq)')} AS open, {rnd('max(price)')} AS high, {rnd('min(price)')} AS low,
+          {rnd('arg_max(price, arrival_seq)')} AS close, {rnd('sum(size)')} AS volume, count(*) AS trade_count FROM arrived
+        WHERE bucket + 3600000 <= (SELECT max(ts_ms) FROM trades) - 3600000 GROUP BY product_id, bucket""",
+    ("arrived",),
+)
 def stream_candles_watermark(x: Inputs):
     return rounded(B.drain(SC.stream_candles_watermark(streamed(x).trades(), HOUR, "1 hour")))
 
@@ -100,19 +106,54 @@ def stream_order_flow(x: Inputs):
     return rounded(B.drain(SO.stream_order_flow(t, HOUR)))
 
 
-@query("features_buffered")
+def _ema(lst: str, alpha: float) -> str:
+    a = repr(float(alpha))
+    return f"list_reduce({lst}, lambda s, v: s * (1e0 - {a}::DOUBLE) + v * {a}::DOUBLE)"
+
+
+def _rsi(i: str) -> str:
+    gain, loss = _ema(f"lgn[1:{i}]", 1 / 14), _ema(f"ll[1:{i}]", 1 / 14)
+    return f"(CASE WHEN {loss} > 0 THEN 100e0 - 100e0 / (1e0 + {gain} / {loss}) ELSE 50e0 END)"
+
+
+RESTARTED = (
+    "rsi_14 rsi_divergence macd_hist macd_cross_up macd_cross_down atr_pct price_vs_ema_fast price_vs_ema_slow "
+    "price_vs_ema_trend ema_fast_above_slow ema_full_alignment"
+).split()
+BUF_SQL = f"""b0 AS (SELECT * EXCLUDE ({', '.join(RESTARTED)}, e9, e21, e50, atr, macd, macd_mean),
+    list(close) OVER w AS lc, list(CASE WHEN step > 0 THEN step ELSE 0e0 END) OVER w AS g0, list(CASE WHEN step < 0 THEN -step ELSE 0e0 END) OVER w AS l0,
+    list(high - low) OVER w AS r0, list(greatest(high - low, abs(high - before), abs(low - before))) OVER w AS r1 FROM ohlcv
+    WINDOW w AS (PARTITION BY product_id ORDER BY open_time ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+  b1 AS (SELECT *, list_concat([0e0], g0[2:]) AS lgn, list_concat([0e0], l0[2:]) AS ll, list_concat([r0[1]], r1[2:]) AS lr, len(lc) AS n FROM b0 WHERE row_idx >= 69),
+  b2 AS (SELECT *, {_ema('lc', 2 / 10)} AS e9, {_ema('lc', 2 / 22)} AS e21, {_ema('lc', 2 / 51)} AS e50, {_ema('lr', 1 / 14)} AS atr,
+    list_transform(range(26, n + 1), lambda i: {_ema('lc[1:i]', 2 / 13)} - {_ema('lc[1:i]', 2 / 27)}) AS lm,
+    list_transform(range(n - 5, n + 1), lambda i: {_rsi('i')}) AS lrsi, lc[n - 5:n - 1] AS prev FROM b1),
+  b3 AS (SELECT *, lm[-1] AS m1, lm[-2] AS m0, {_ema('lm', 0.2)} AS s1, {_ema('lm[1:len(lm) - 1]', 0.2)} AS s0, lrsi[6] AS rsi_14, list_min(lrsi[1:5]) AS rmin, list_max(lrsi[1:5]) AS rmax FROM b2),
+  buffered AS (SELECT *, CASE WHEN close < list_min(prev) AND rsi_14 > rmin THEN 1e0 WHEN close > list_max(prev) AND rsi_14 < rmax THEN -1e0 ELSE 0e0 END AS rsi_divergence,
+    m1 - s1 AS macd_hist, (m1 > s1 AND m0 <= s0)::INT::DOUBLE AS macd_cross_up, (m1 < s1 AND m0 >= s0)::INT::DOUBLE AS macd_cross_down, atr / close AS atr_pct,
+    close / e9 - 1 AS price_vs_ema_fast, close / e21 - 1 AS price_vs_ema_slow, close / e50 - 1 AS price_vs_ema_trend, (e9 > e21)::INT::DOUBLE AS ema_fast_above_slow,
+    (e9 > e21 AND e21 > e50)::INT::DOUBLE AS ema_full_alignment FROM b3)"""
+BUF_COLS = f"product_id, open_time, close_time, trade_count, {r6('open', 'high', 'low', 'close', 'volume', *OHLCV_FEATURES)}"
+BUFFERED = f"WITH {BUF_SQL} SELECT {BUF_COLS} FROM buffered WHERE {NOT_NULL}"
+
+
+@query("features_buffered", BUFFERED, ("ohlcv",))
 def features_buffered(x: Inputs):
     return rounded(SF.features_buffered(x.candle_table(), CANDLE_SPAN))
 
 
-@query("stream_features")
+@query("stream_features", BUFFERED, ("ohlcv",))
 def stream_features(x: Inputs):
     path = B.new_folder(x.spark, "features")
     replay(x, x.candles(), lambda stream, cp: B.drain_batches(SF.stream_buffers(stream), SF.write_features(path), cp))
     return rounded(x.spark.read.parquet(path).drop("batch"))
 
 
-@query("stream_signals")
+@query(
+    "stream_signals",
+    "SELECT product_id, event_id, CASE WHEN prob_buy >= 0.62e0 THEN 'BUY' WHEN prob_buy <= 0.38e0 THEN 'EXIT_LONG' ELSE 'HOLD' END AS signal, true AS actionable, 'ok' AS reason, round(prob_buy, 6) AS prob_buy FROM signals",
+    ("signals",),
+)
 def stream_signals(x: Inputs):
     """Signal rules on a stream; probabilities come from the events, thresholds from the model table."""
     from tapeflow.operators.signals import signals_from_probabilities
@@ -156,7 +197,14 @@ def stream_gaps(x: Inputs):
     return replay_table(x, msgs, SJ.stream_gaps, "arrival_seq")
 
 
-@query("stream_health")
+HEALTH = {"trades": "> 3", "candles": "= 0", "duplicates": "= 1", "gaps": "= 2", "reconcileds": "= 3"}
+
+
+@query(
+    "stream_health",
+    f"""SELECT epoch_us(ts) // 3600000000 * 3600000 AS start_ms, {', '.join(f'count(*) FILTER (event_id % 20 {c}) AS {n}' for n, c in HEALTH.items())}, {rnd('avg(user_id)')} AS avg_lag_ms,
+          max(user_id)::DOUBLE AS max_lag_ms FROM events GROUP BY 1 HAVING start_ms + 3600000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 600000""",
+)
 def stream_health(x: Inputs):
     ev = streamed(x).table("events")
     k = F.col("event_id") % 20
