@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import int_div
-from tapeflow.functions.quantiles import STRIPE_POINTS, STRIPES, stripe_of
+from tapeflow.functions.quantiles import STRIPES, with_stripe
 from tapeflow.functions.series import BLOCK_ROWS, running
 from tapeflow.session import staged
 
@@ -102,8 +102,7 @@ def _from_earlier_blocks(rows: DataFrame, keys: list[str], types: str) -> DataFr
     """Earlier-block counts for series longer than one block."""
     long = rows.groupBy(*keys).agg(F.max("_b").alias("_last")).where(F.col("_last") > 0).select(*keys)
     wide = rows.join(long, keys)
-    cuts = wide.groupBy(*keys).agg(F.percentile_approx("_x", STRIPE_POINTS, 10_000).alias("_cuts"))
-    striped = wide.join(cuts, keys).withColumn("_s", stripe_of(F.col("_x"), F.col("_cuts"))).drop("_cuts")
+    striped = with_stripe(wide, keys, "_x")
     across = striped.groupBy(*keys, "_s").applyInPandas(
         _count_in(["_b", "_x"]), f"{types}, _r bigint, _b bigint, _s int, _less bigint"
     )

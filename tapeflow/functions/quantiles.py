@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.session import staged
@@ -12,27 +12,26 @@ from tapeflow.session import staged
 HEAVY_VALUES = 1_000_000
 FINE = 16
 STRIPES = FINE * FINE
+SKETCH = 2_000
 STRIPE_POINTS = [i / STRIPES for i in range(1, STRIPES)]
 
 
-def stripe_of(x: Column, cuts: Column) -> Column:
-    """Number of sorted ``cuts`` below x, by a coarse and a fine pass."""
-    coarse = F.size(
-        F.filter(
-            F.transform(F.sequence(F.lit(1), F.lit(FINE - 1)), lambda i: F.get(cuts, i * FINE - 1)),
-            lambda c: c < x,
-        )
-    )
-    fine = F.size(F.filter(F.slice(cuts, coarse * FINE + 1, FINE), lambda c: c < x))
-    return (coarse * FINE + fine).cast("int")
+def add_stripe(df: DataFrame, x: str, out: str = "_s") -> DataFrame:
+    """Number of cuts below x, from the joined cut arrays: a coarse pass over 15
+    cuts, then a fine one over 16."""
+    value, start = F.col(x), F.col("_step") * FINE
+    coarse = F.size(F.filter("_coarse", lambda c: c < value))
+    fine = F.size(F.filter(F.slice("_cuts", start + 1, FINE), lambda c: c < value))
+    return df.withColumn("_step", coarse).withColumn(out, (start + fine).cast("int")).drop("_cuts", "_coarse", "_step")
 
 
 def with_stripe(df: DataFrame, keys: Sequence[str], value: str, out: str = "_s") -> DataFrame:
     """Cut each group into value ranges of about equal size, so that running
     totals along the value never order a whole group in one task."""
     keys = list(keys)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, STRIPE_POINTS, 10_000).alias("_cuts"))
-    return df.join(cuts, keys).withColumn(out, stripe_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, STRIPE_POINTS, SKETCH).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % FINE == FINE - 1))
+    return add_stripe(df.join(cuts, keys), value, out)
 
 
 def exact_percentiles(
@@ -74,8 +73,7 @@ def _in_place(counted: DataFrame, keys: list[str], points: Mapping[str, float])
 
 
 def _by_stripe(counted: DataFrame, keys: list[str], points: Mapping[str, float]) -> DataFrame:
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", STRIPE_POINTS, 10_000).alias("_cuts"))
-    striped = counted.join(F.broadcast(cuts), keys).withColumn("_s", stripe_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+    striped = with_stripe(counted, keys, "_v")
     before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         striped.groupBy(*keys, "_s")
