@@ -1,6 +1,6 @@
 """Model-fit queries: every product of the given tables, small boosters.
 
-Learners differ from the reference's, so these are rows-only checks.
+MLlib learners have no SQL counterpart, so these are rows-only checks.
 """
 
 from __future__ import annotations
