@@ -2,7 +2,7 @@
 
 The vocabulary shows where no merge can reach: no piece has a word-start mark after another letter,
 and some characters stand in no piece of two or more. Texts are cut there, so pieces of text encode
-alone as they do inside. A proof over the vocabulary, done once per worker with the library itself,
+alone as they do inside; a word's last letter is cut off where no piece has it after the one before. A proof over the vocabulary, done once per worker with the library itself,
 lists the strings that encode alone as one token; pre-tokens found in that list count one each.
 Only the rest go to the library, once per distinct string and worker while its table has room.
 """
@@ -46,6 +46,8 @@ class PieceCounter(dict):
             raise ValueError("newlines merge in this vocabulary")
         if self.model.encode("a", out_type=str) != [MARK + "a"] or self.model.encode("a  b ", out_type=str) != [MARK + "a", MARK, MARK + "b", MARK]:
             raise ValueError("the model normalizes white space")
+        #: letters that some piece has side by side; no merge joins others
+        self.joined = {p[i : i + 2] for p in real for i in range(len(p) - 1)}
         self.newline = len(self.model.encode("\n")) - 1
         self.mark = len(self.model.encode("a ")) - len(self.model.encode("a"))
         self.single = self.prove(real)
@@ -67,7 +69,10 @@ class PieceCounter(dict):
         return n - 1 - self.newline if word[:1] == "\n" else n
 
     def __missing__(self, word: str) -> int:
-        n = self.merge(word)
+        if len(word) > 1 and word[-2] not in "\n " and word[-1] != " " and word[-2:] not in self.joined:
+            n = self[word[:-1]] + self["\n" + word[-1]]
+        else:
+            n = self.merge(word)
         if len(word) <= TABLE_CHARS:
             if len(self) > self.fixed + TABLE_ROWS:
                 self.clear()
