@@ -6,6 +6,7 @@ of the source crosses whole numbers; a document is emitted once for each one tha
 
 A source may hold a third of all rows, so its order is cut into slices of (size class, first digest letters): rows are ranked
 inside their slice and slice counts give the rank of its first row. Only counts are ever gathered by source.
+Sizes are counted once and written to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeflow.session import staged
+
 WORD = r"[^\x20\x09-\x0D]+"
 HEX = 16.0**12
 
@@ -58,12 +61,9 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return rows.select("has_source", "source", "source_size", target.alias("target"))
 
 
-def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Add source_size, target and copies to rows that have ``mix_id``, ``mix_source`` and ``mix_size``; their other columns stay.
-
-    Names starting with ``mix_`` are used for the work.
-    """
-    rows = rows.withColumns(
+def keyed(rows: DataFrame, mix: Mix) -> DataFrame:
+    """Where each row stands: source, size class, slice of the class, digest."""
+    return rows.withColumns(
         {
             "mix_has": F.col("mix_source").isNotNull(),
             "mix_source": F.coalesce("mix_source", F.lit("")),
@@ -71,8 +71,17 @@ def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
             "mix_class": F.floor(F.sqrt(F.col("mix_size").cast("double"))),
         }
     ).withColumn("mix_slice", F.substring("mix_digest", 1, 3))
+
+
+def with_copies(rows: DataFrame, sizes: DataFrame, mix: Mix) -> DataFrame:
+    """Add source_size, target and copies to rows that have ``mix_id``, ``mix_source`` and ``mix_size``; their other columns stay.
+
+    ``sizes`` has these three columns of the same rows and is read several times. Names starting with ``mix_`` are used for the
+    work.
+    """
+    rows = keyed(rows, mix)
     key = ["mix_has", "mix_source", "mix_class", "mix_slice"]
-    slices = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("size"))
+    slices = keyed(sizes, mix).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("size"))
     classes = slices.groupBy(*key[:3]).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     of_source = classes.groupBy(*key[:2]).agg(F.sum("size").alias("source_size"))
     targets = source_targets(of_source.select(F.col("mix_has").alias("has_source"), F.col("mix_source").alias("source"), "source_size"), mix)
@@ -101,8 +110,8 @@ def mix_plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     A null text has size 0; rows without a source are one source, the last. Empty sources have target 0 and none of their
     documents is taken. Repeated rows count as documents of their own; rows of equal id are alike, so their order is free.
     """
-    rows = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), word_count(F.col(text_col)).alias("mix_size"))
-    out = with_copies(rows, mix)
+    sizes = staged(docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), word_count(F.col(text_col)).alias("mix_size")))
+    out = with_copies(sizes, sizes, mix)
     return out.select(
         F.col("mix_id").alias("doc_id"),
         F.col("mix_size").alias("size"),
@@ -121,7 +130,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
         F.col(source_col).alias("mix_source"),
         word_count(F.col(text_col)).alias("mix_size"),
     )
-    out = with_copies(whole, mix).where(F.col("mix_copies") > 0)
+    sizes = staged(whole.select("mix_id", "mix_source", "mix_size"))
+    out = with_copies(whole, sizes, mix).where(F.col("mix_copies") > 0)
     return out.select("mix_row", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_no")).select("mix_row.*")
 
 
