@@ -47,6 +47,38 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
+def dealt_cells(members: DataFrame, keep: list[str]) -> DataFrame:
+    """(cell, side, *keep) of rows (key, node, blocks, ...): pairs of blocks of each key.
+
+    A key of one block is one cell. Otherwise a row goes to its own block and, beside each other block, to the cell of the two;
+    pairs inside a block are found in its own cell, where all rows have side 0.
+    """
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = members.select("key", *keep, own.alias("own"), "blocks").select("*", other.alias("other"))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("int")
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), *keep)
+
+
+def class_facts(firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, class_id, n_links, copy_of) of every node.
+
+    ``firsts`` has (node, rep, copies): the least id and the rows of each node; ``found`` has (node, links, root) for some nodes,
+    several times for some, where links counts rows of other nodes.
+    """
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = firsts.join(group, "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = named.select("node", "component").join(least, "component").join(links, "node", "left").select("node", "class_id", "links")
+    return firsts.join(named, "node", "left").select(
+        "node",
+        F.coalesce("class_id", "rep").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.col("rep").alias("copy_of"),
+    )
+
+
 def roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The least member reached by each of n members through the links (i, j), for links that fit one task."""
     root = np.arange(n)

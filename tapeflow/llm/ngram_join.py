@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.llm.common import Ids, joined_groups, narrow, prepare, texts, words
-from tapeflow.llm.components import components, roots
+from tapeflow.llm.components import class_facts, dealt_cells, roots
 from tapeflow.session import staged
 
 HASHES, ROWS, STEP = 128, 4, 16
@@ -186,12 +186,8 @@ def cells_of(nodes: DataFrame, join: Join) -> DataFrame:
     buckets = band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
     first = F.min(F.struct(F.col("key").bitwiseAND(BANDS - 1).alias("band"), "key")).alias("first")
     buckets = buckets.groupBy("n", "members").agg(first).select(F.col("first.key").alias("key"), F.col("first.band").alias("band"), F.ceil(F.col("n") / join.block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = band.join(buckets, "key").select("key", "band", "node", own.alias("own"), "blocks").select("*", other.alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("int")
-    return members.select(F.xxhash64("key", low, high).alias("cell"), side.alias("side"), F.col("band").cast("int").alias("band"), "node")
+    members = band.join(buckets, "key").select("key", F.col("band").cast("int").alias("band"), "node", "blocks")
+    return dealt_cells(members, ["band", "node"])
 
 
 def with_sets(cells: DataFrame, docs: DataFrame, first: DataFrame, join: Join) -> DataFrame:
@@ -251,17 +247,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     cells = staged(cells_of(nodes, join))
     firsts = nodes.select("node", "rep", "copies")
     found = staged(compared(with_sets(cells, docs, firsts, join), join))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = firsts.join(group, "node")
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.select("node", "component").join(least, "component").join(links, "node", "left").select("node", "class_id", "links")
-    facts = firsts.join(named, "node", "left").select(
-        "node",
-        F.coalesce("class_id", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.col("rep").alias("copy_of"),
-    )
+    facts = class_facts(firsts, found)
     full = all_rows.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "n_links", "copy_of")
     bare = docs.where(F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     bare = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_of"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeflow.llm import line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts
+from tapeflow.llm import line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts, vector_join
 from tapeflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,7 @@ def over(name: str, table: str, digest: Callable[[DataFrame], DataFrame], sql: s
 over("op1_ngram_join", "documents", ngram_join.digest, ngram_join.SQL)
 over("op2_suffix_dedup", "documents", suffix_dedup.digest, suffix_dedup.SQL)
 over("op3_token_counts", "documents", token_counts.digest)
+over("op5_embedding_near_dedup", "embeddings", vector_join.digest, vector_join.SQL)
 over("op6_line_dedup", "documents", line_dedup.digest, line_dedup.SQL)
 over("op7_mixing", "documents", mixing.digest, mixing.SQL)
 over("op9_packing", "documents", packing.digest)
