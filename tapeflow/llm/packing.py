@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END = 1
 DIMS, BITS = 4, 12
 #: Words, their pre-tokens and letters remembered per worker.
-TABLE_ROWS, PART_ROWS, TABLE_CHARS = 150_000, 500_000, 16_000_000
+TABLE_ROWS, PART_ROWS, TABLE_CHARS = 150_000, 400_000, 16_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,6 +49,7 @@ class WordTable(dict):
         ]:
             raise ValueError("this tokenizer does not drop white space and case and cut at commas")
         self.parts: dict[str, bytes] = {}
+        self.part_chars = 0
         self.new: list[bytes] = []
         self.forget()
 
@@ -77,12 +79,14 @@ class WordTable(dict):
         """Find the ids of the words that came since."""
         if not self.new:
             return
-        if len(self.parts) > PART_ROWS or sum(map(len, self.parts)) > TABLE_CHARS:
+        if len(self.parts) > PART_ROWS or self.part_chars > TABLE_CHARS:
             self.parts.clear()
+            self.part_chars = 0
         pairs = list(map(self.cut, self.new))
         unknown = list({x for pair in pairs for x in pair} - self.parts.keys())
         for i in range(0, len(unknown), 20_000):
             some = unknown[i : i + 20_000]
+            self.part_chars += sum(map(len, some))
             self.parts |= {x: np.array(e.ids, np.uint32).tobytes() for x, e in zip(some, self.encode(some), strict=True)}
         found = [self.parts[a] + self.parts[b] for a, b in pairs]
         more = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -99,7 +103,7 @@ class WordTable(dict):
         at = [list(map(look, words(t))) for t in found]
         self.look_up()
         count = np.fromiter(map(len, at), np.int64, len(at))
-        flat = np.fromiter((x for a in at for x in a), np.int64, int(count.sum()))
+        flat = np.fromiter(chain.from_iterable(at), np.int64, int(count.sum()))
         size = self.size[flat]
         edge = np.zeros(len(flat) + 1, np.int64)
         np.cumsum(size, out=edge[1:])
@@ -164,7 +168,7 @@ def curve_keys(ids: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, ids): the place on the curve and the ids as unsigned little-endian 32-bit numbers.
+    """(doc_id, key, wide, ids): the place on the curve and the ids as unsigned little-endian numbers, of 32 bits if wide, else 16.
 
     A null or empty text has the end id only. Other columns are ignored.
     """
@@ -174,12 +178,15 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_
         for batch in batches:
             if batch.num_rows:
                 ids, per_doc = table.tokens(texts(batch.column(1)))
-                stop = np.cumsum(per_doc) * 4
-                raw = ids.astype("<u4").tobytes()
-                parts = [raw[a:b] for a, b in zip(stop - per_doc * 4, stop, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(ids, per_doc)), pa.array(parts, pa.binary())], names=["doc_id", "key", "ids"])
+                wide = int(ids.max()) > 0xFFFF
+                size = 4 if wide else 2
+                stop = np.cumsum(per_doc) * size
+                raw = ids.astype(f"<u{size}").tobytes()
+                parts = [raw[a:b] for a, b in zip(stop - per_doc * size, stop, strict=True)]
+                cols = [batch.column(0), pa.array(curve_keys(ids, per_doc)), pa.array([wide] * len(parts)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "wide", "ids"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(each, "doc_id long, key long, ids binary")
+    return narrow(docs, id_col, text_col).mapInArrow(each, "doc_id long, key long, wide boolean, ids binary")
 
 
 def cut(at: np.ndarray, size: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,8 +236,8 @@ def pack(tokens: DataFrame, length: int = 2048, with_ids: bool = True, partition
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u4")
+            for doc, wide, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
                 held.append((doc, 0, len(ids), ids))
             whole = sum(len(x[3]) for x in held) // length
             if not whole:
@@ -249,8 +256,8 @@ def pack(tokens: DataFrame, length: int = 2048, with_ids: bool = True, partition
 
     n = partitions or width(tokens.sparkSession)
     order = ["key", "spread", "doc_id"]
-    spread = tokens.select("doc_id", "ids", "key", F.xxhash64("doc_id").alias("spread"))
-    near = spread.repartitionByRange(n, "key", "spread").sortWithinPartitions(*order).select("doc_id", "ids")
+    spread = tokens.select("doc_id", "wide", "ids", "key", F.xxhash64("doc_id").alias("spread"))
+    near = spread.repartitionByRange(n, "key", "spread").sortWithinPartitions(*order).select("doc_id", "wide", "ids")
     return near.mapInArrow(each, PIECES + (", ids array<int>" if with_ids else ""))
 
 
