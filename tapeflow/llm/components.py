@@ -50,13 +50,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def dealt_cells(members: DataFrame, keep: list[str]) -> DataFrame:
     """(cell, side, *keep) of rows (key, node, blocks, ...): pairs of blocks of each key.
 
-    A key of one block is one cell. Otherwise a row goes to its own block and, beside each other block, to the cell of the two;
-    pairs inside a block are found in its own cell, where all rows have side 0.
+    A row goes to the cell of its own block, on side 2, where pairs inside the block are found; and to a cell with each other
+    block, on side 0 or 1, where pairs have one row of each side.
     """
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = members.select("key", *keep, own.alias("own"), "blocks").select("*", other.alias("other"))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("int")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
     return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), *keep)
 
 

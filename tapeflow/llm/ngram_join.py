@@ -134,14 +134,15 @@ def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def cell_links(side: np.ndarray, band: int, sig: np.ndarray, sets: list[np.ndarray], join: Join) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of a cell whose first common band is this one."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = side[0] == 2
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
     size = np.array([len(s) for s in sets], np.int64)
     num, den = join.threshold.numerator, join.threshold.denominator
     need = least_matches(join.threshold, join.tolerance)
     bands = sig.reshape(len(sig), BANDS, ROWS)
     found = []
     for a in left:
-        b = left[left > a] if not len(right) else right
+        b = left[left > a] if inside else right
         b = b[np.minimum(size[a], size[b]) * den >= num * np.maximum(size[a], size[b])]
         if band and len(b):
             b = b[~(bands[b, :band] == bands[a, :band]).all(2).any(1)]
@@ -257,8 +258,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
 
 def without_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document names its class, with all their columns unchanged."""
-    gone = near_duplicates(docs, join, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("ngram_join_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("ngram_join_gone"), "left_anti")
+    gone = near_duplicates(docs, join, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:

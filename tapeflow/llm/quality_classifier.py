@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import prepare, texts
+from tapeflow.llm.common import narrow, prepare, texts
 from tapeflow.llm.linear import Ftrl, bounded_sample, logits, temperature
 from tapeflow.session import staged
 
@@ -178,7 +178,7 @@ def toxic_starts(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str = "do
     """Word starts in many toxic rows and in next to no other row of the sample of ``labels`` (doc_id, toxic)."""
     some = bounded_sample(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("label_id"), (F.col("toxic") > 0).alias("toxic")), F.col("label_id"), fit.labelled)
     known = F.broadcast(staged(some))  # fit.labelled narrow rows at most
-    rows = docs.join(known, docs[id_col] == known["label_id"]).select("toxic", F.col(text_col).alias("text"))
+    rows = narrow(docs, id_col, text_col).join(known, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()

@@ -107,17 +107,16 @@ def cell_links(side: np.ndarray, piece: int, home: np.ndarray, node: np.ndarray,
     p = x[:, part]
     own = (p * p).sum(1)
     norm = np.linalg.norm(vectors, axis=1)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    inside = not len(right)
-    if inside:
-        right = left
+    inside = side[0] == 2
+    left = np.flatnonzero(side != 1)
+    right = left if inside else np.flatnonzero(side == 1)
     found = []
     for k in range(0, len(left), 256):
         a = left[k : k + 256]
         near = own[a][:, None] + own[right] - 2 * p[a] @ p[right].T <= square + 1e-7
         i, j = np.nonzero(near)
         i, j = a[i], right[j]
-        once = np.where(home[i] & home[j], (i < j) | (not inside), np.where(home[i], node[i] < node[j], home[j] & (node[j] < node[i])))
+        once = np.where(home[i] & home[j], True, np.where(home[i], node[i] < node[j], home[j] & (node[j] < node[i])))
         # a pair inside a cell comes in both orders, at home once
         once &= (i < j) if inside else True
         i, j = i[once], j[once]
