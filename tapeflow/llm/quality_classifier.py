@@ -49,6 +49,7 @@ class Fit:
     keep: float = 0.5
 
 
+CAPITAL = re.compile("[A-Z\u00c0-\u00de\u0391-\u03a9\u0410-\u042f]")
 Starts = dict[int, frozenset[str]]
 
 
@@ -56,25 +57,38 @@ def word_starts(kinds: set[str], n: int) -> set[str]:
     return {w[:n] for w in kinds if len(w) >= n}
 
 
+class Places(dict):
+    """Hashed places of words, remembered while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = at = xxhash.xxh3_64_intdigest(word) & (DIMS - 1)
+        return at
+
+
+PLACES, START_PLACES = Places(), Places()
+
+
 def votes(text: str, starts: Starts) -> tuple[list[int], list[int], list[str], set[str]]:
     """Votes on form and on civility, style marks, and the set of lower-case words."""
-    words = WORD.findall(text)
-    lower = [w.lower() for w in words]
+    lower = WORD.findall(text.lower())
     count = Counter(lower)
-    kinds = set(count)
-    n = len(words)
-    civil = [BAD if kinds.intersection(INSULTS[k]) else GOOD if n else NONE for k in INSULTS]
+    kinds = count.keys()
+    n = len(lower)
+    civil = [BAD if any(w in kinds for w in INSULTS[k]) else GOOD if n else NONE for k in INSULTS]
+    first = {s[: STARTS[0]] for known in starts.values() for s in known}
+    likely = [w for w in kinds if w[: STARTS[0]] in first] if first else []
     for k in STARTS:
         known = starts.get(k)
-        civil.append(NONE if not known or not n else GOOD if known.isdisjoint(word_starts(kinds, k)) else BAD)
+        civil.append(NONE if not known or not n else GOOD if known.isdisjoint(w[:k] for w in likely) else BAD)
     if not n:
         return [BAD] * len(FORM), civil, ["empty"], kinds
-    letters = sum(map(len, words))
+    letters = sum(map(len, lower))
     symbols = sum(map(text.count, "#*$%&|<>")) / n
     neighbours = sum(map(str.__eq__, lower, lower[1:])) / n
     top = max(count.values()) / n
-    small = text.lower()
-    capitals = sum(map(str.__ne__, text, small)) / letters if len(small) == len(text) else 0.0
+    capitals = len(CAPITAL.findall(text)) / letters
     lines = [x for x in text.split("\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
     ends = (text.count(".") + text.count("!") + text.count("?")) / n
@@ -152,10 +166,12 @@ class WeakLabels:
 def hashed(marks: list[str], kinds: set[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a document's features: its words, their first five letters, and its style marks with more weight."""
     seed = xxhash.xxh3_64_intdigest
-    found = [*kinds, *(w + "-" for w in word_starts(kinds, 5))]
-    at = np.unique(np.fromiter((seed(w) & (DIMS - 1) for w in found), np.int64, len(found)))
+    at = set(map(PLACES.__getitem__, kinds))
+    at.update(map(START_PLACES.__getitem__, [w[:5] + "-" for w in kinds if len(w) > 4]))
+    at = np.fromiter(at, np.int64, len(at))
     own = np.unique(np.fromiter((seed("mark " + m) & (DIMS - 1) for m in marks), np.int64, len(marks)))
-    at = np.setdiff1d(at, own, assume_unique=True)
+    at = np.sort(at)
+    at = at[~np.isin(at, own, assume_unique=True)]
     return np.concatenate([at, own]), np.concatenate([np.full(len(at), 0.5), np.ones(len(own))])
 
 
