@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeflow.session import staged
+
 NUDGE = 3e-9
 
 
@@ -75,3 +77,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         for f in df.schema.fields
     ]
     return df.select(*cols)
+
+
+#: Rows up to which one side of a join is sent to all executors: some MB of narrow rows.
+SMALL_ROWS = 100_000
+
+
+def attach(facts: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join facts with a frame of one narrow row per key without shuffling the facts by a key that may hold a third of them.
+
+    The frame is written and counted first; it is broadcast up to ``SMALL_ROWS`` rows. Beyond that no key is that hot for its
+    number alone, and the join is left to the session's skew handling.
+    """
+    per_key = staged(per_key)
+    few = per_key.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return facts.join(F.broadcast(per_key) if few else per_key, keys, how)

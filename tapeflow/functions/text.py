@@ -34,7 +34,7 @@ def base_asset_loose(product: str | Column) -> Column:
 
 def product_of_symbol(symbol: str | Column) -> Column:
     """Joined exchange symbols to dashed products; others unchanged."""
-    return F.regexp_replace(_col(symbol), "^(.+?)USDT?$", "$1-USD")
+    return F.regexp_replace(F.trim(F.upper(_col(symbol))), "USDT?$", "-USD")
 
 
 def interval_ms(name: str | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.functions.columns import int_div
+from tapeflow.functions.columns import attach, int_div
 from tapeflow.functions.series import Series, number_rows
 from tapeflow.operators.candles import tail_rows
 from tapeflow.operators.ohlcv import MINUTE_SPAN
@@ -71,7 +71,7 @@ def class_balance(labeled: DataFrame) -> DataFrame:
 
 def with_length(numbered: DataFrame, row: str = "row_idx") -> DataFrame:
     ends = numbered.groupBy("product_id").agg((F.max(row) + 1).alias("n_rows"))
-    return numbered.join(ends, "product_id")
+    return attach(numbered, ends, ["product_id"])
 
 
 def recency_weight(numbered: DataFrame, half_life: float) -> DataFrame:
@@ -148,7 +148,7 @@ def rows_to_folds(numbered: DataFrame, folds: DataFrame) -> DataFrame:
     """Every row once per fold that trains on or validates with it."""
     train = F.col("row_idx").between(F.col("train_start"), F.col("train_end"))
     val = F.col("row_idx").between(F.col("val_start"), F.col("val_end"))
-    joined = numbered.join(folds, "product_id").where(train | val)
+    joined = attach(numbered, folds, ["product_id"]).where(train | val)
     return joined.withColumn("part", F.when(train, "train").otherwise("val")).drop(
         "train_start", "train_end", "val_start", "val_end"
     )

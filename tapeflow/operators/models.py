@@ -8,7 +8,8 @@ metrics of all assets are DataFrame work.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -19,6 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.functions.columns import attach
 from tapeflow.operators import evaluation as V
 from tapeflow.operators import labels as L
 from tapeflow.operators import monitors as D
@@ -116,63 +118,68 @@ def blend(models: Sequence[Fitted], df: DataFrame, out: str = "prob") -> DataFra
 
 
 # ---------------------------------------------------------------- calibration
+def _inside(c):
+    return F.least(F.greatest(c, F.lit(EPS)), F.lit(1.0 - EPS))
+
+
+def _log_odds(df: DataFrame, prob: str) -> DataFrame:
+    p = _inside(F.col(prob))
+    return df.withColumns({"_cp": p, "_logit": F.ln(p / (1.0 - p))})
+
+
+#: Stages and result column of each method. Platt's penalty is a unit-strength one on the summed loss.
+CALIBRATORS: dict[str, Callable[[int], tuple[list, Callable]]] = {
+    "identity": lambda n: ([], lambda: F.col("_cp")),
+    "isotonic": lambda n: ([IsotonicRegression(featuresCol="_cp", labelCol="_y", predictionCol="_fit")], lambda: F.col("_fit")),
+    "platt": lambda n: (
+        [
+            VectorAssembler(inputCols=["_logit"], outputCol="_lv"),
+            LogisticRegression(featuresCol="_lv", labelCol="_y", probabilityCol="_fit", maxIter=500, regParam=1.0 / n, standardization=False),
+        ],
+        lambda: vector_to_array("_fit")[1],
+    ),
+}
+
+
 @dataclass
 class Calibrator:
-    method: str = "identity"
-    model: Model | None = None
+    method: str
+    model: Model
+    value: Callable
 
     def transform(self, df: DataFrame, prob: str = "prob", out: str = "calibrated") -> DataFrame:
-        p = F.least(F.greatest(F.col(prob), F.lit(EPS)), F.lit(1.0 - EPS))
-        df = df.withColumn("_cp", p)
-        if self.method == "identity":
-            return df.withColumn(out, F.col("_cp")).drop("_cp")
-        if self.method == "isotonic":
-            scored = self.model.transform(df).withColumnRenamed("prediction", out)
-        else:
-            ready = VectorAssembler(inputCols=["_logit"], outputCol="_lv").transform(df.withColumn("_logit", F.ln(F.col("_cp") / (1.0 - F.col("_cp")))))
-            scored = self.model.transform(ready).withColumn(out, vector_to_array("probability")[1])
-            scored = scored.drop("rawPrediction", "probability", "prediction", "_lv", "_logit")
-        return scored.withColumn(out, F.least(F.greatest(F.col(out), F.lit(EPS)), F.lit(1.0 - EPS))).drop("_cp")
-
-    def flat(self, df: DataFrame) -> bool:
-        spread = self.transform(df).agg(F.stddev_pop("calibrated").alias("s")).first().s
-        return (spread or 0.0) < 0.01
-
-
-def calibrate(scored: DataFrame) -> Calibrator:
-    """Isotonic with enough distinct probabilities, else Platt, else unchanged;
-    a method that flattens the probabilities is passed over."""
-    p = F.least(F.greatest(F.col("prob"), F.lit(EPS)), F.lit(1.0 - EPS))
-    ready = scored.withColumn("_cp", p).withColumn("target", F.col("target").cast("double"))
-    facts = ready.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("classes"), F.count_distinct(F.round("_cp", 6)).alias("levels")
-    ).first()
-    if facts.n == 0 or facts.classes < 2:
-        return Calibrator()
-    if facts.levels >= max(12, min(50, facts.n // 8)):
-        iso = Calibrator("isotonic", IsotonicRegression(featuresCol="_cp", labelCol="target").fit(ready))
-        if not iso.flat(scored):
-            return iso
-    logit = VectorAssembler(inputCols=["_logit"], outputCol="_lv").transform(ready.withColumn("_logit", F.ln(F.col("_cp") / (1.0 - F.col("_cp")))))
-    # Same regularization as a unit-strength L2 penalty on the summed loss.
-    platt = Calibrator("platt", LogisticRegression(featuresCol="_lv", labelCol="target", maxIter=500, regParam=1.0 / facts.n, standardization=False).fit(logit))
-    return Calibrator() if platt.flat(scored) else platt
+        scored = self.model.transform(_log_odds(df, prob))
+        return scored.select(*df.columns, _inside(self.value()).alias(out))
+
+
+def calibrate(scored: DataFrame, method: str = "isotonic") -> Calibrator:
+    """Fit the named method to ``prob`` and ``target``; without two classes nothing can be fitted and probabilities stay.
+
+    The method is the caller's choice, whatever the size; ``calibrator_table`` compares them.
+    """
+    facts = scored.agg(F.count("target").alias("n"), F.count_distinct("target").alias("classes")).first()
+    method = method if facts.classes > 1 else "identity"
+    stages, value = CALIBRATORS[method](max(1, facts.n))
+    ready = _log_odds(scored, "prob").withColumn("_y", F.col("target").cast("double"))
+    return Calibrator(method, Pipeline(stages=stages).fit(ready), value)
+
+
+def calibrator_table(train: DataFrame, held: DataFrame) -> DataFrame:
+    """(method, log_loss, spread) on rows held back: what each method gains, and whether it flattens the probabilities."""
+    parts = [calibrate(train, m).transform(held).select(F.lit(m).alias("method"), "target", "calibrated") for m in CALIBRATORS]
+    p = F.col("calibrated")
+    loss = -F.when(F.col("target") > 0, F.ln(p)).otherwise(F.ln(1.0 - p))
+    return reduce(DataFrame.unionByName, parts).groupBy("method").agg(F.avg(loss).alias("log_loss"), F.stddev_pop(p).alias("spread"))
 
 
 # ---------------------------------------------------------------- importance
 def permutation_importance(
     fitted: Fitted, val: DataFrame, key: str = "product_id", repeats: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Mean AUC drop per feature when it is shuffled: one scored union, one grouped AUC."""
+    """Mean AUC drop per feature when it is shuffled: all trials in one frame, one grouped AUC."""
     table = staged(val.select(key, "row_idx", "target", *fitted.features))
     base = V.auc(fitted.score(table), [key]).withColumnRenamed("auc", "base_auc")
-    parts = None
-    for i, feature in enumerate(fitted.features):
-        for r in range(repeats):
-            part = P.permuted(table, feature, key, seed + 1_000 * i + r).select(
-                F.lit(feature).alias("feature"), F.lit(r).alias("repeat"), *table.columns
-            )
-            parts = part if parts is None else parts.unionByName(part)
+    parts = P.permuted_trials(table, fitted.features, key, repeats, seed)
     drops = V.auc(fitted.score(parts), [key, "feature", "repeat"]).join(base, key)
     return drops.groupBy(key, "feature").agg(F.avg(F.col("base_auc") - F.col("auc")).alias("permutation"))
 
@@ -180,11 +187,9 @@ def permutation_importance(
 def feature_contribution(fitted: Fitted, df: DataFrame, key: str = "product_id", top: int = 6) -> DataFrame:
     """Mean probability change per feature against its mean, top both ways."""
     means = df.groupBy(key).agg(*[F.avg(f).alias(f"_m_{f}") for f in fitted.features])
-    base = staged(fitted.score(zero_filled(df, fitted.features), "_p").join(means, key).select(key, "row_idx", "_p", *fitted.features, *[f"_m_{f}" for f in fitted.features]))
-    parts = None
-    for f in fitted.features:
-        part = base.withColumns({f: F.col(f"_m_{f}"), "feature": F.lit(f)})
-        parts = part if parts is None else parts.unionByName(part)
+    base = attach(fitted.score(zero_filled(df, fitted.features), "_p"), means, [key])
+    each = base.withColumn("feature", F.explode(F.array(*map(F.lit, fitted.features))))
+    parts = each.withColumns({f: F.when(F.col("feature") == f, F.col(f"_m_{f}")).otherwise(F.col(f)) for f in fitted.features})
     moved = fitted.score(parts, "_q").groupBy(key, "feature").agg(F.avg(F.col("_p") - F.col("_q")).alias("contribution"))
     from pyspark.sql import Window
 
@@ -201,72 +206,67 @@ def feature_contribution(fitted: Fitted, df: DataFrame, key: str = "product_id",
 # ---------------------------------------------------------------- walk-forward
 @dataclass
 class WalkForwardResult:
-    folds: list[dict]
+    folds: DataFrame
     stable: list[str]
-    auc_mean: float
-    auc_std: float
     auc_test: float
     model: Fitted
-    importance: list[dict] = field(default_factory=list)
+    importance: DataFrame
+
+
+def selected(rows: DataFrame, val: DataFrame, features: Sequence[str], fit: Callable[[DataFrame, Sequence[str]], Fitted], cfg: WalkForwardConfig) -> dict[str, float]:
+    """Features a first fit finds useful, with their gain: uncorrelated ones, ranked by gain and permutation."""
+    first = fit(rows, features)
+    gain = first.importance()
+    kept, _ = P.correlation_filter(P.correlations(rows, features), features, gain)
+    gains = rows.sparkSession.createDataFrame([(c, gain.get(c, 0.0)) for c in kept], "feature string, importance double")
+    scores = permutation_importance(first, val, repeats=cfg.permutations).join(F.broadcast(gains), "feature")
+    ranked = P.weak_feature_filter(scores.select("product_id", "feature", "importance", "permutation"), cfg.max_features)
+    return {r.feature: gain.get(r.feature, 0.0) for r in ranked.orderBy("rank").collect()}  # cfg.max_features at most
 
 
 def walk_forward(
     labeled: DataFrame, features: Sequence[str], cfg: WalkForwardConfig = WalkForwardConfig(),
     model_factory: Callable[[], Estimator] | None = None, boost: BoosterConfig = BoosterConfig(),
 ) -> WalkForwardResult:
-    """Validate one product: per fold fit, select, refit and score; then one final
-    fit on the stable features and one test evaluation.
+    """Validate one product: select and fit inside each fold, score all folds together, then fit once on the stable features.
 
-    ``labeled`` has row_idx, target and the features of a single product.
+    ``labeled`` has product_id, row_idx, target and the features; ``sample_weight`` is used where present, and the booster stops
+    early on a fifth of its training rows, taken by hash.
     """
-    factory = model_factory or (lambda: booster(boost))
     table = staged(labeled)
-    n = table.count()
-    test = max(1, int(n * cfg.test_share))
-    wf = n - test
-    spark = labeled.sparkSession
-    product = table.select("product_id").first().product_id
-    lengths = spark.createDataFrame([(product, wf)], "product_id string, n_rows bigint")
-    folds = L.walk_forward_folds(lengths, cfg.min_train, cfg.gap, cfg.splits).orderBy("fold_id").collect()
-    if not folds:
-        raise ValueError("not enough rows for walk-forward folds")
-    row, results, chosen = F.col("row_idx"), [], []
-    for f in folds:
-        train_df = table.where(row <= f.train_end)
-        val_df = table.where(row.between(f.val_start, f.val_end))
-        if train_df.select("target").distinct().count() < 2 or val_df.select("target").distinct().count() < 2:
-            continue
-        base = train(train_df, features, factory())
-        gain = base.importance()
-        kept, _ = P.correlation_filter(P.correlations(train_df, features), features, gain)
-        perm = {r.feature: r.permutation for r in permutation_importance(base, val_df, repeats=cfg.permutations).collect()}
-        scores = spark.createDataFrame(
-            [(product, c, gain.get(c, 0.0), perm.get(c, 0.0)) for c in kept], "product_id string, feature string, importance double, permutation double"
-        )
-        final = [r.feature for r in P.weak_feature_filter(scores, cfg.max_features).orderBy("rank").collect()]
-        fitted = train(train_df, final, factory())
-        scored = staged(fitted.score(val_df).select("product_id", "row_idx", "target", "prob"))
-        results.append(
-            dict(
-                product_id=product, fold_id=f.fold_id, auc=V.auc(scored, ["product_id"]).first().auc,
-                log_loss=V.log_loss(scored, ["product_id"]).first().log_loss, n_features=len(final),
-            )
-        )
-        chosen += [dict(product_id=product, fold_id=f.fold_id, feature=c, importance=gain.get(c, 0.0)) for c in final]
-    if not results:
-        raise RuntimeError("no fold had two classes")
-    stable_df = P.stable_features(
-        spark.createDataFrame(chosen, "product_id string, fold_id bigint, feature string, importance double"),
-        spark.createDataFrame([(r["product_id"], r["fold_id"], r["auc"]) for r in results], "product_id string, fold_id bigint, auc double"),
-        cfg.max_features,
-    )
-    stable = [r.feature for r in stable_df.orderBy("rank").collect()]
-    model = train(table.where(row < wf), stable, factory())
-    held = model.score(table.where(row >= wf))
-    aucs = [r["auc"] for r in results]
-    mean = sum(aucs) / len(aucs)
-    std = (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
-    return WalkForwardResult(results, stable, mean, std, V.auc(held, ["product_id"]).first().auc, model, chosen)
+    spark = table.sparkSession
+    weighted = "sample_weight" in table.columns
+    ends = table.groupBy("product_id").agg((F.max("row_idx") + 1).alias("rows")).first()
+    held_from = ends["rows"] - max(1, int(ends["rows"] * cfg.test_share))
+    lengths = spark.createDataFrame([(ends["product_id"], held_from)], "product_id string, n_rows bigint")
+    tagged = L.rows_to_folds(table, L.walk_forward_folds(lengths, cfg.min_train, cfg.gap, cfg.splits))
+    stop = F.pmod(F.xxhash64("row_idx", "fold_id"), F.lit(5)) == 0
+    tagged = staged(tagged.withColumn("is_validation", stop & (F.col("part") == "train")))
+    usable = [r.fold_id for r in L.usable_folds(tagged).select("fold_id").distinct().orderBy("fold_id").collect()]  # cfg.splits at most
+    if not usable:
+        raise ValueError("no fold has both classes in training and validation")
+
+    def fit(rows: DataFrame, names: Sequence[str]) -> Fitted:
+        return train(rows, names, model_factory() if model_factory else booster(boost, weighted, "is_validation" in rows.columns))
+
+    scored, chosen = [], []
+    for fold in usable:
+        part = tagged.where(F.col("fold_id") == fold)
+        rows, val = part.where("part = 'train'"), part.where("part = 'val'")
+        gains = selected(rows, val, features, fit, cfg)
+        scored.append(fit(rows, list(gains)).score(val).select("product_id", "fold_id", "row_idx", "target", "prob").withColumn("n_features", F.lit(len(gains)).cast("long")))
+        chosen += [(ends["product_id"], fold, name, gain) for name, gain in gains.items()]
+    scored = staged(reduce(DataFrame.unionByName, scored))
+    keys = ["product_id", "fold_id"]
+    folds = V.auc(scored, keys).join(V.log_loss(scored, keys).select(*keys, "log_loss"), keys).join(scored.select(*keys, "n_features").distinct(), keys)
+    folds = staged(folds.select(*keys, "auc", "log_loss", "n_features"))
+    importance = spark.createDataFrame(chosen, "product_id string, fold_id bigint, feature string, importance double")
+    ranked = P.stable_features(importance, folds.select(*keys, "auc"), cfg.max_features)
+    stable = [r.feature for r in ranked.orderBy("rank").collect()]  # cfg.max_features at most
+    before = table.withColumn("is_validation", F.pmod(F.xxhash64("row_idx"), F.lit(5)) == 0).where(F.col("row_idx") < held_from)
+    model = fit(before, stable)
+    held = V.auc(model.score(table.where(F.col("row_idx") >= held_from)), ["product_id"]).first()
+    return WalkForwardResult(folds, stable, held.auc if held else float("nan"), model, importance)
 
 
 # ---------------------------------------------------------------- regimes

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeflow.functions.columns import attach
 from tapeflow.functions.quantiles import exact_percentiles
 
 # Drift and regime gates.
@@ -60,31 +61,32 @@ def drift_evaluate(
                 for f in features
             ]
         ),
-        lambda c: c["v"].isNotNull() & c["b"].isNotNull() & ~F.isnan(c["v"]),
+        lambda c: c["v"].isNotNull() & c["b"].isNotNull() & ~F.isnan(c["v"]) & (F.abs(c["v"]) != float("inf")),
     )
 
     def outside(c):
         return _outside(c["v"], c["b"]["low"], c["b"]["median"], c["b"]["high"])
 
-    judged = df.join(maps, key, "left").withColumn("_c", checks)
+    judged = attach(df, maps, [key], "left").withColumn("_c", checks)
     judged = judged.select(
         *ids,
         F.size("_c").cast("bigint").alias("checked_features"),
         F.size(F.filter("_c", outside)).cast("bigint").alias("outlier_count"),
+        F.col("_b").isNull().alias("_off"),
     )
     few = F.col("checked_features") < MIN_CHECKS
     share = F.col("outlier_count") / F.greatest(F.col("checked_features"), F.lit(1))
     return judged.withColumns(
         {
             "outlier_ratio": F.when(few, 0.0).otherwise(share),
-            "drift_status": F.when(F.col("checked_features") == 0, "disabled")
+            "drift_status": F.when(F.col("_off"), "disabled")
             .when(few, "insufficient_checks").when(share >= BLOCK_RATIO, "out_of_distribution").otherwise("ok"),
             "drift_actionable": few | (share < BLOCK_RATIO),
-            "drift_reason": F.when(F.col("checked_features") == 0, "drift_monitor_disabled")
+            "drift_reason": F.when(F.col("_off"), "drift_monitor_disabled")
             .when(few, "drift_monitor_insufficient_checks")
             .when(share >= BLOCK_RATIO, "drift_blocked_out_of_distribution").otherwise("ok"),
         }
-    )
+    ).drop("_off")
 
 
 def regime_limits(df: DataFrame, key: str = "product_id") -> DataFrame:

@@ -69,9 +69,9 @@ def unsupported_bases(bases: DataFrame, products: DataFrame) -> DataFrame:
     return bases.join(products.select("base_asset").distinct(), "base_asset", "left_anti")
 
 
-def measured_products(candidates: DataFrame, n: int) -> DataFrame:
-    """The n most traded candidates; only their candles are measured."""
-    return candidates.orderBy(F.col("quote_volume_24h").desc(), "product_id").limit(n)
+def within(candles: DataFrame, now_ms: int, lookback_ms: int) -> DataFrame:
+    """Candles that opened in the look-back before the given clock."""
+    return candles.where(F.col("open_time") >= now_ms - lookback_ms)
 
 
 def candle_coverage(candles: DataFrame, expected: int) -> DataFrame:

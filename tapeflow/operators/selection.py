@@ -9,6 +9,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeflow.functions.columns import attach
+
 from tapeflow.functions.names import BOOK_CANCEL, FLOW_DERIVED, FLOW_RAW, OHLCV_CATEGORY
 
 SLOT_ROWS = 65_536
@@ -94,24 +96,27 @@ def stable_features(selected: DataFrame, folds: DataFrame, max_features: int = M
     return both.withColumn("rank", rank).where(F.col("rank") <= max_features)
 
 
-def permuted(df: DataFrame, feature: str, key: str, seed: int) -> DataFrame:
-    """``df`` with one feature shuffled inside each group.
+def permuted_trials(df: DataFrame, features: Sequence[str], key: str, repeats: int, seed: int) -> DataFrame:
+    """``df`` once per (feature, repeat), with that feature shuffled inside each group.
 
-    Rows and donor values are both numbered in a random order per random slot, so
-    a large group is shuffled slot by slot instead of in one task.
+    Trials are a number that rows are exploded by, so the plan does not grow with them. Rows and donor values are both
+    numbered in a random order per random slot, so a large group is shuffled slot by slot instead of in one task.
     """
     sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SLOT_ROWS).alias("_slots"))
-    slot = F.pmod(F.xxhash64(F.lit(seed), key, "row_idx"), F.col("_slots"))
-    rows = df.join(sizes, key).withColumn("_slot", slot).drop("_slots")
-    w = Window.partitionBy(key, "_slot")
+    trial = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1)))
+    rows = attach(df, sizes, [key]).withColumn("_trial", trial)
+    rows = rows.withColumn("_slot", F.pmod(F.xxhash64(F.lit(seed), "_trial", key, "row_idx"), F.col("_slots"))).drop("_slots")
+    at = F.expr(f"_trial div {repeats}").cast("int")
+    w = Window.partitionBy(key, "_trial", "_slot")
     mine = rows.withColumn("_n", F.row_number().over(w.orderBy("row_idx")))
     donors = rows.select(
-        key, "_slot", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1), "row_idx"), "row_idx")).alias("_n"),
-        F.col(feature).alias("_shuffled"),
-    )
-    return (
-        mine.join(donors, [key, "_slot", "_n"]).withColumn(feature, F.col("_shuffled")).drop("_slot", "_n", "_shuffled")
+        key, "_trial", "_slot", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1), "_trial", "row_idx"), "row_idx")).alias("_n"),
+        F.element_at(F.array(*[F.col(f).cast("double") for f in features]), at + 1).alias("_shuffled"),
     )
+    moved = {f: F.when(at == i, F.col("_shuffled")).otherwise(F.col(f)) for i, f in enumerate(features)}
+    names = F.array(*map(F.lit, features))
+    out = mine.join(donors, [key, "_trial", "_slot", "_n"]).withColumns(moved)
+    return out.withColumns({"feature": F.element_at(names, at + 1), "repeat": F.col("_trial") % repeats}).drop("_trial", "_slot", "_n", "_shuffled")
 
 
 def folds_needed(folds: int) -> int:

@@ -499,19 +499,21 @@ def resolve_thresholds(x: Inputs):
 
 # ---------------------------------------------------------------- drift, regime, signals
 DRIFT = "ret_1 ret_5 rsi_14 atr_pct bb_pct bb_width realized_vol_5 realized_vol_20 volume_ratio hl_ratio range_compression_20 price_vs_ema_fast".split()
-SQL_VIEWS["early"] = ("SELECT *, row_idx < 300 AS is_train FROM kept", ("kept",))
+SQL_VIEWS["early"] = (
+    "SELECT *, row_idx < n - greatest(1, CAST(floor(n * 0.15e0) AS BIGINT)) AS is_train FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS n FROM kept)", ("kept",),
+)
 BOUND_SQL = f"""long AS (SELECT product_id, open_time, is_train, f AS feature, v AS value FROM (SELECT * FROM (SELECT product_id, open_time, is_train, {', '.join(DRIFT)} FROM early) UNPIVOT (v FOR f IN ({', '.join(DRIFT)})))),
   bounds AS (SELECT product_id, feature, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS high FROM long WHERE is_train GROUP BY 1, 2)"""
 
 
 def labeled_rows(x: Inputs, columns=None):
     kept = staged(features(x))
-    return staged(number_rows(kept, ["product_id"], "open_time", CANDLE_SPAN))
+    return staged(L.holdout_split(number_rows(kept, ["product_id"], "open_time", CANDLE_SPAN)))
 
 
 @query("drift_bounds", f"WITH {BOUND_SQL} SELECT product_id, feature, {r6('low', 'median', 'high')} FROM bounds", ("early",))
 def drift_bounds(x: Inputs):
-    return rounded(D.drift_bounds(labeled_rows(x).where(F.col("row_idx") < 300), DRIFT))
+    return rounded(D.drift_bounds(labeled_rows(x).where("NOT is_test"), DRIFT))
 
 
 DRIFT_SQL = f"""{BOUND_SQL}, chk AS (SELECT l.product_id, open_time, value < low - m OR value > high + m AS out FROM (SELECT *, 0.1e0 * greatest(abs(high - low), abs(median) * 0.1e0, 1e-9) AS m FROM bounds) b
@@ -527,7 +529,7 @@ DRIFT_SQL = f"""{BOUND_SQL}, chk AS (SELECT l.product_id, open_time, value < low
 )
 def drift_evaluate(x: Inputs):
     rows = labeled_rows(x)
-    bounds = D.drift_bounds(rows.where(F.col("row_idx") < 300), DRIFT)
+    bounds = D.drift_bounds(rows.where("NOT is_test"), DRIFT)
     return rounded(D.drift_evaluate(rows, KEY, DRIFT, bounds))
 
 
@@ -539,7 +541,7 @@ def drift_evaluate(x: Inputs):
 )
 def drift_bounds_join(x: Inputs):
     rows = labeled_rows(x)
-    return D.drift_by_feature(rows, DRIFT, D.drift_bounds(rows.where(F.col("row_idx") < 300), DRIFT))
+    return D.drift_by_feature(rows, DRIFT, D.drift_bounds(rows.where("NOT is_test"), DRIFT))
 
 
 LIMIT_SQL = "lim AS (SELECT product_id, quantile_cont(realized_vol_5, 0.95) AS vol_limit, quantile_cont(range_compression_20, 0.15) AS compression_limit, quantile_cont(bb_width, 0.15) AS width_limit FROM early WHERE is_train GROUP BY 1)"
@@ -547,7 +549,7 @@ LIMIT_SQL = "lim AS (SELECT product_id, quantile_cont(realized_vol_5, 0.95) AS v
 
 @query("regime_heuristic_fit", f"WITH {LIMIT_SQL} SELECT product_id, {r6('vol_limit', 'compression_limit', 'width_limit')} FROM lim", ("early",))
 def regime_heuristic_fit(x: Inputs):
-    return rounded(D.regime_limits(labeled_rows(x).where(F.col("row_idx") < 300)))
+    return rounded(D.regime_limits(labeled_rows(x).where("NOT is_test")))
 
 
 REGIME_SQL = f"""{LIMIT_SQL}, rg AS (SELECT o.product_id, o.open_time, o.row_idx, CASE WHEN realized_vol_5 IS NULL OR range_compression_20 IS NULL OR bb_width IS NULL THEN 'unknown'
@@ -561,7 +563,7 @@ REGIME_SQL = f"""{LIMIT_SQL}, rg AS (SELECT o.product_id, o.open_time, o.row_idx
     ("early",),
 )
 def regime_evaluate(x: Inputs):
-    limits = D.regime_limits(labeled_rows(x).where(F.col("row_idx") < 300))
+    limits = D.regime_limits(labeled_rows(x).where("NOT is_test"))
     rows = ohlcv_features(x.candle_table(), CANDLE_SPAN, drop_incomplete=False, columns=list(D.REGIME_FEATURES))
     return D.regime_evaluate(rows, limits).select(*KEY, "regime", "regime_actionable", "regime_reason")
 
@@ -597,7 +599,7 @@ SCORE_P = "((open_time // 3600000 * 7919) % 1000) / 1000e0"
 )
 def score_signals(x: Inputs):
     rows = labeled_rows(x)
-    train = rows.where(F.col("row_idx") < 300)
+    train = rows.where("NOT is_test")
     drift = D.drift_evaluate(rows, KEY, DRIFT, D.drift_bounds(train, DRIFT))
     gated = D.regime_evaluate(rows, D.regime_limits(train)).join(drift, KEY)
     p = ((F.expr("open_time div 3600000") * 7919) % 1000) / 1000.0

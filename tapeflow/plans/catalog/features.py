@@ -156,6 +156,7 @@ def merged_flow(x: Inputs):
 
 
 def some_flow(x: Inputs):
+    """Flow with hours missing, for the two queries about joining it."""
     return merged_flow(x).where((F.col("open_time") / HOUR).cast("bigint") % 9 != 0)
 
 
@@ -180,7 +181,7 @@ def candles_with_order_flow(x: Inputs):
     return rounded(candles_with_flow(x.candles(), some_flow(x)).orderBy(*KEY))
 
 
-@query("merge_order_flow_neutral", f"SELECT product_id, open_time, {r6(*MERGED)} FROM merged", ("merged",))
+@query("merge_order_flow_neutral", f"SELECT product_id, open_time, {r6(*MERGED)} FROM merged_some", ("merged_some",))
 def merge_order_flow_neutral(x: Inputs):
     return rounded(G.merge_order_flow(x.candles(), some_flow(x)).select(*KEY, *MERGED))
 
@@ -206,7 +207,7 @@ FLOW_GROUPS = {
 def _flow_group(name: str, cols: list[str]) -> None:
     @query(name, f"SELECT product_id, open_time, {r6(*cols)} FROM flow_features", ("flow_features",))
     def run(x: Inputs):
-        wide = G.flow_features(x.candle_table(), staged(some_flow(x)), CANDLE_SPAN, drop_incomplete=False, columns=cols)
+        wide = G.flow_features(x.candle_table(), staged(merged_flow(x)), CANDLE_SPAN, drop_incomplete=False, columns=cols)
         return rounded(wide.select(*KEY, *cols))
 
 
@@ -222,5 +223,5 @@ EVERYTHING = OHLCV_FEATURES + MERGED + FLOW_DERIVED
     ("flow_features",),
 )
 def features_order_flow(x: Inputs):
-    wide = G.flow_features(x.candle_table(), staged(some_flow(x)), CANDLE_SPAN)
+    wide = G.flow_features(x.candle_table(), staged(merged_flow(x)), CANDLE_SPAN)
     return rounded(wide.select(*KEY, "trade_count", *EVERYTHING))

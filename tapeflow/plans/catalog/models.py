@@ -1,6 +1,7 @@
 """Model-fit queries: every product of the given tables, small boosters.
 
-MLlib learners have no SQL counterpart, so these are rows-only checks.
+MLlib learners have no SQL counterpart, so these are rows-only checks. They read all candle features; the boosters have few trees,
+as each tree is several Spark jobs.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import rounded
+from tapeflow.functions.names import OHLCV_FEATURES
 from tapeflow.operators import labels as L
 from tapeflow.operators import models as M
 from tapeflow.operators import monitors as D
@@ -18,7 +20,7 @@ from tapeflow.plans.registry import query
 from tapeflow.plans.views import CANDLE_SPAN, Inputs
 from tapeflow.session import staged
 
-FEATURES = "ret_1 ret_5 rsi_14 bb_pct realized_vol_20 volume_ratio hl_ratio hour_sin".split()
+FEATURES = list(OHLCV_FEATURES)
 SMALL = M.BoosterConfig(trees=5)
 
 
@@ -69,7 +71,7 @@ def blend_probabilities(x: Inputs):
 
 @query("calibrate")
 def calibrate(x: Inputs):
-    scored = staged(x.scored().withColumn("target", (F.col("prob") + F.col("target") * 0.3 > 0.6).cast("int")))
+    scored = staged(x.scored())
     return rounded(M.calibrate(scored).transform(scored).select("product_id", "row_idx", "prob", "calibrated"))
 
 
@@ -77,23 +79,20 @@ def calibrate(x: Inputs):
 def permutation_importance(x: Inputs):
     rows = staged(split(labeled(x)))
     fitted = M.train_booster(rows, FEATURES, SMALL)
-    return rounded(M.permutation_importance(fitted, rows.where("is_validation"), repeats=2))
+    return rounded(M.permutation_importance(fitted, rows.where("is_validation")))
 
 
 @query("feature_contribution")
 def feature_contribution(x: Inputs):
     rows = staged(split(labeled(x)))
-    return rounded(M.feature_contribution(M.train_booster(rows, FEATURES, SMALL), rows, top=3))
+    return rounded(M.feature_contribution(M.train_booster(rows, FEATURES, SMALL), rows))
 
 
 @query("walk_forward_validate")
 def walk_forward_validate(x: Inputs):
-    table = labeled(x)
-    cfg = M.WalkForwardConfig(splits=2, gap=15, min_train=150, permutations=1)
-    out = []
-    for p in products(table):
-        out += M.walk_forward(table.where(F.col("product_id") == p), FEATURES[:4], cfg, boost=M.BoosterConfig(trees=2)).folds
-    return rounded(x.spark.createDataFrame(out, "product_id string, fold_id bigint, auc double, log_loss double, n_features bigint"))
+    table = staged(split(labeled(x)).drop("is_validation"))
+    cfg = M.WalkForwardConfig(splits=2, gap=15, min_train=150, permutations=2)
+    return rounded(per_product(table, lambda df, p: M.walk_forward(df, FEATURES, cfg, boost=SMALL).folds))
 
 
 @query("regime_mixture")
@@ -101,15 +100,3 @@ def regime_mixture(x: Inputs):
     table = labeled(x)
     states = per_product(table, lambda df, p: M.regime_states(df))
     return D.label_states(states.withColumn("state", F.col("state").cast("bigint")))
-
-
-@query("shap_importance")
-def shap_importance(x: Inputs):
-    """Ranking used where no SHAP values exist: gain importance of each product's model."""
-
-    def run(df, p):
-        shares = M.train_booster(staged(split(df)), FEATURES, SMALL).importance()
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in shares.items()]))
-        return df.groupBy("product_id").agg(F.count(F.lit(1)).alias("rows")).select("product_id", "rows", pairs.alias("s")).select("product_id", "rows", "s.*")
-
-    return rounded(per_product(labeled(x), run))

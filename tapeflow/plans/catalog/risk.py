@@ -420,22 +420,24 @@ def listing_age_days(x: Inputs):
     return ev.select("event_id", S.listing_age_days("new_at", 1_707_000_000_000).alias("age_days"))
 
 
-COV_SQL = """cs AS (SELECT product_id, least(count(DISTINCT open_time) / 300e0, 1e0) AS cov FROM candles WHERE open_time >= 1705600800000 GROUP BY 1),
-  vs AS (SELECT product_id, CASE WHEN count(r) >= 2 THEN stddev_pop(r) * sqrt(1440e0) * 100e0 ELSE 0e0 END AS vol FROM (SELECT product_id, ln(close) - ln(lag(close) OVER (PARTITION BY product_id ORDER BY open_time)) AS r FROM candles WHERE open_time >= 1705600800000) GROUP BY 1)"""
+#: The screen's clock and how far it looks back.
+NOW, LOOKBACK = 1_706_680_800_000, 300 * 3_600_000
+COV_SQL = f"""cs AS (SELECT product_id, least(count(DISTINCT open_time) / 300e0, 1e0) AS cov FROM candles WHERE open_time >= {NOW} - {LOOKBACK} GROUP BY 1),
+  vs AS (SELECT product_id, CASE WHEN count(r) >= 2 THEN stddev_pop(r) * sqrt(1440e0) * 100e0 ELSE 0e0 END AS vol FROM (SELECT product_id, ln(close) - ln(lag(close) OVER (PARTITION BY product_id ORDER BY open_time)) AS r FROM candles WHERE open_time >= {NOW} - {LOOKBACK}) GROUP BY 1)"""
 
 
 @query("candle_coverage", f"WITH {COV_SQL} SELECT product_id, {rnd('cov')} AS candle_coverage_pct FROM cs", ("candles",))
 def candle_coverage(x: Inputs):
-    return rounded(S.candle_coverage(x.candles().where(F.col("open_time") >= 1_705_600_800_000), 300))
+    return rounded(S.candle_coverage(S.within(x.candles(), NOW, LOOKBACK), 300))
 
 
 @query("daily_realized_vol", f"WITH {COV_SQL} SELECT product_id, {rnd('vol')} AS daily_realized_vol_pct FROM vs", ("candles",))
 def daily_realized_vol(x: Inputs):
-    return rounded(S.daily_realized_vol(x.candle_table().where(F.col("open_time") >= 1_705_600_800_000)))
+    return rounded(S.daily_realized_vol(S.within(x.candle_table(), NOW, LOOKBACK)))
 
 
 SQL_VIEWS["stats"] = (
-    "SELECT product_id, (s_suppkey % 11) / 10e0 AS cov, (s_suppkey % 7) / 10e0 AS vol FROM (SELECT * FROM preferred ORDER BY quote_volume_24h DESC, product_id LIMIT 40)", ("preferred",),
+    "SELECT product_id, (s_suppkey % 11) / 10e0 AS cov, (s_suppkey % 7) / 10e0 AS vol FROM preferred", ("preferred",),
 )
 SQL_VIEWS["screened"] = (
     """WITH m AS (SELECT p.*, least(coalesce(cov, 0e0), 1e0) AS candle_coverage_pct, coalesce(vol, 0e0) AS daily_realized_vol_pct, CASE WHEN quote_volume_24h > 0 THEN ln(1e0 + quote_volume_24h) END AS lq FROM preferred p LEFT JOIN stats USING (product_id)),
@@ -453,7 +455,7 @@ SQL_VIEWS["screened"] = (
 
 def screened(x: Inputs):
     pref = staged(preferred(x))
-    stats = S.measured_products(pref, 40).select(
+    stats = pref.select(
         "product_id", ((F.col("s_suppkey") % 11) / 10.0).alias("candle_coverage_pct"), ((F.col("s_suppkey") % 7) / 10.0).alias("daily_realized_vol_pct")
     )
     return S.screen(pref, pref, stats)

@@ -254,7 +254,7 @@ def base_asset(x: Inputs):
 )
 def symbol_to_product_id(x: Inputs):
     k = F.col("event_id") % 3
-    symbol = F.concat(F.upper("event_type"), F.when(k == 0, "USDT").when(k == 1, "USD").otherwise(""))
+    symbol = F.concat(F.lit(" "), F.lower("event_type"), F.when(k == 0, "USDT").when(k == 1, "USD").otherwise(""))
     return x.table("events").select("event_id", X.product_of_symbol(symbol).alias("product_id"))
 
 

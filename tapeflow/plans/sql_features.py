@@ -232,7 +232,8 @@ def _merged_sql(right: str) -> str:
 
 
 SQL_VIEWS["flow_some"] = ("SELECT * FROM flow_raw WHERE (open_time // 3600000) % 9 <> 0", ("flow_raw",))
-SQL_VIEWS["merged"] = (_merged_sql("flow_some"), ("numbered", "flow_some"))
+SQL_VIEWS["merged_some"] = (_merged_sql("flow_some"), ("numbered", "flow_some"))
+SQL_VIEWS["merged"] = (_merged_sql("flow_raw"), ("numbered", "flow_raw"))
 ohlcv_views("merged", "mo")
 _f1 = {
     "cvd_5": f"coalesce({full('sum', 'volume_delta', 5)}, 0e0)",

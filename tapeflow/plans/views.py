@@ -121,7 +121,7 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                CASE WHEN l_discount = 0 THEN 0.0e0 ELSE l_quantity END AS new_quantity,
                CASE WHEN l_linestatus = 'O' THEN l_quantity / 10.0e0 ELSE 0.0e0 END AS buy_volume,
                CASE WHEN l_linestatus = 'F' THEN l_quantity / 10.0e0 ELSE 0.0e0 END AS sell_volume
-        FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01 00:00:00'
+        FROM lineitem
         """,
         (),
     ),
@@ -278,8 +278,7 @@ class Inputs:
 
         bid = F.col("l_suppkey") % 2 == 0
         cents = (F.col("l_partkey") % 40) / 100.0
-        rows = self.table("lineitem").where(F.col("l_shipdate") >= F.lit("2001-01-01 00:00:00").cast("timestamp_ntz"))
-        rows = rows.select(
+        rows = self.table("lineitem").select(
             F.concat(F.col("l_returnflag"), F.lit("-USD")).alias("product_id"),
             epoch_ms("l_shipdate").alias("window_ms"),
             F.struct(

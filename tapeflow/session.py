@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,22 +38,44 @@ def local_session(app: str = "tapeflow", cpus: str | int = "*", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own, or a new local one where none is set."""
+    """Shared folder for checkpoints and staged tables: the cluster's own.
+
+    Only a local master may do without the setting; it gets a new folder. On a cluster a folder of one machine would lose the
+    files of all others, so a missing setting, or a path without a scheme, is an error there.
+    """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
+    local = re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is not None
+    if not configured and local:
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, configured)
+    if not configured or not (local or "://" in configured or configured.startswith("file:/")):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a URI that all executors share")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+#: Tables staged by this process, by application.
+_STAGED: dict[str, list[str]] = defaultdict(list)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared checkpoint folder and read it back.
 
     For inputs read several times in one plan: the costly part before it runs
     once, survives lost executors, and columns are still pruned on each read.
+    ``release`` deletes what was staged once its results are no longer read.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED[spark.sparkContext.applicationId].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process staged for the session; frames read from them end here."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

@@ -9,7 +9,7 @@ from tapeflow.functions.columns import int_div, yes
 from tapeflow.functions.series import running
 from tapeflow.functions.text import time_to_ms
 
-TRADE = "STRUCT<trade_id: STRING, product_id: STRING, price: STRING, size: STRING, side: STRING, time: STRING>"
+TRADE = "STRUCT<trade_id: STRING, product_id: STRING, price: STRING, size: STRING, side: STRING, time: STRING, trade_time: STRING>"
 UPDATE = "STRUCT<side: STRING, price_level: STRING, new_quantity: STRING>"
 MESSAGE = (
     "channel STRING, sequence_num BIGINT, timestamp STRING, product_id STRING, "
@@ -24,22 +24,21 @@ def parse_messages(raw: DataFrame, text: str = "value") -> DataFrame:
 
 
 def feed_trades(messages: DataFrame) -> DataFrame:
-    """Trades of ``events[].trades`` and of a top-level ``trades`` list, in order."""
-    nested = F.flatten(F.transform(F.col("m.events"), lambda e: F.coalesce(e["trades"], F.array().cast(f"ARRAY<{TRADE}>"))))
-    empty = F.array().cast(f"ARRAY<{TRADE}>")
-    trades = F.concat(F.coalesce(nested, empty), F.coalesce(F.col("m.trades"), empty))
+    """Trades of a top-level ``trades`` list, or else of each event; a missing id is numbered inside its list."""
+    lists = F.when(F.col("m.trades").isNotNull(), F.array("m.trades")).otherwise(F.transform(F.col("m.events"), lambda e: e["trades"]))
     rest = [c for c in messages.columns if c != "m"]
-    rows = messages.select(*rest, "m", F.posexplode(trades).alias("idx", "t"))
+    numbered = F.flatten(F.transform(lists, lambda l: F.transform(F.coalesce(l, F.array().cast(f"ARRAY<{TRADE}>")), lambda t, i: F.struct(i.alias("idx"), t.alias("t")))))
+    own = [F.col(f"m.{c}").alias(f"_{c}") for c in ("sequence_num", "product_id", "timestamp")]
+    rows = messages.select(*rest, *own, F.explode(numbered).alias("_e")).select(*rest, "_sequence_num", "_product_id", "_timestamp", "_e.*")
+    number = F.when(F.col("_sequence_num") != 0, F.concat_ws(":", F.col("_sequence_num").cast("string"), F.col("idx").cast("string")))
     return rows.select(
         *rest,
-        F.coalesce("t.product_id", "m.product_id").alias("product_id"),
-        F.coalesce(
-            F.col("t.trade_id"), F.concat_ws(":", F.coalesce("m.sequence_num", F.lit(0)).cast("string"), F.col("idx").cast("string"))
-        ).alias("trade_id"),
+        F.coalesce("t.product_id", "_product_id").alias("product_id"),
+        F.coalesce(F.nullif(F.col("t.trade_id"), F.lit("")), number, F.col("t.trade_id")).alias("trade_id"),
         F.col("t.price").alias("price"),
         F.col("t.size").alias("size"),
         F.col("t.side").alias("side"),
-        time_to_ms(F.coalesce("t.time", "m.timestamp")).alias("ts_ms"),
+        time_to_ms(F.coalesce(F.nullif("t.time", F.lit("")), F.nullif("t.trade_time", F.lit("")), "_timestamp")).alias("ts_ms"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +77,27 @@ def stream_positions(events: DataFrame, cfg: L.LedgerConfig) -> DataFrame:
 
 
 # ---------------------------------------------------------------- gaps
+def gap_rows(numbers: pd.DataFrame, carried: int | None) -> tuple[pd.DataFrame, int | None]:
+    """Jumps of more than one over the highest number of the current epoch, and the highest number at the end.
+
+    A snapshot opens an epoch; ``carried`` is the highest number so far and counts in the first one.
+    """
+    numbers = numbers[numbers["sequence_num"] > 0]
+    if numbers.empty:
+        return numbers.assign(last_sequence=[], gap_size=[]), carried
+    epoch = numbers["is_snapshot"].astype(int).cumsum()
+    highest = numbers.groupby(epoch)["sequence_num"].cummax()
+    if carried is not None:
+        highest = highest.where(epoch > 0, highest.clip(lower=carried))
+    before = highest.groupby(epoch).shift()
+    if carried is not None and not epoch.iloc[0]:
+        before.iloc[0] = carried
+    jumps = numbers.assign(last_sequence=before, gap_size=numbers["sequence_num"] - before - 1)
+    return jumps[jumps["gap_size"] > 0], int(highest.iloc[-1])
+
+
 class GapProcessor(StatefulProcessor):
-    """Last sequence number per connection; a snapshot restarts it."""
+    """Carries the highest sequence number of each connection from batch to batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "sequence_num bigint")
@@ -86,20 +106,12 @@ class GapProcessor(StatefulProcessor):
         batch = gather(rows, ["arrival_seq"])
         if batch is None:
             return
-        last, out = (self.last.get()[0] if self.last.exists() else None), []
-        for r in batch.itertuples(index=False):
-            if r.sequence_num <= 0:
-                continue
-            if last is None or r.is_snapshot:
-                last = r.sequence_num
-            elif r.sequence_num > last:
-                if r.sequence_num > last + 1:
-                    out.append((key[0], r.arrival_seq, last, r.sequence_num, r.sequence_num - last - 1))
-                last = r.sequence_num
-        if last is not None:
-            self.last.update((int(last),))
-        if out:
-            yield pd.DataFrame(out, columns=["connection_key", "arrival_seq", "last_sequence", "sequence_num", "gap_size"])
+        jumps, highest = gap_rows(batch, self.last.get()[0] if self.last.exists() else None)
+        if highest is not None:
+            self.last.update((highest,))
+        if len(jumps):
+            found = jumps[["arrival_seq", "last_sequence", "sequence_num", "gap_size"]].astype("int64")
+            yield found.assign(connection_key=key[0])[["connection_key", *found.columns]]
 
     def close(self) -> None:
         pass
@@ -126,8 +138,29 @@ def stream_health(events: DataFrame, interval: str = "60 seconds", delay: str =
 
 
 # ---------------------------------------------------------------- chop state
+def chop_counts(exits: pd.DataFrame, earlier: np.ndarray, cfg: RiskConfig, blocked: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Exits and stops of the window that ends with each exit, and the end of its block; and what later exits may still count.
+
+    ``exits`` is ordered by time; ``earlier`` has (time, stop) of exits before it. Both are counted between two sorted places.
+    """
+    t, stop = exits["ts_ms"].to_numpy("int64"), exits["is_stop"].to_numpy("int64")
+    earlier = earlier[np.argsort(earlier[:, 0], kind="stable")]
+    own, old = np.searchsorted(t, t - cfg.chop_window_ms), np.searchsorted(earlier[:, 0], t - cfg.chop_window_ms)
+    own_sum, old_sum = (np.concatenate([[0], np.cumsum(x)]) for x in (stop, earlier[:, 1]))
+    here = np.arange(1, len(t) + 1)
+    count = here - own + len(earlier) - old
+    stops = own_sum[here] - own_sum[own] + old_sum[-1] - old_sum[old]
+    locks = (count >= cfg.lock_exits) | (stops >= cfg.lock_stops)
+    until = np.maximum(np.maximum.accumulate(np.where(locks, t + cfg.chop_block_ms, 0)), blocked)
+    out = exits[["product_id", "ts_ms", "event_id"]].assign(
+        adverse_count=count, stop_count=stops, blocked_until_ms=until, caution=count >= cfg.caution_exits
+    )
+    every = np.concatenate([earlier, np.stack([t, stop], 1)])
+    return out, every[every[:, 0] >= t[-1] - cfg.chop_window_ms]
+
+
 class ChopProcessor(StatefulProcessor):
-    """Adverse exits of the trailing window per product; a timer forgets them."""
+    """Carries the exits of the trailing window per product; a timer forgets them."""
 
     def __init__(self, cfg: RiskConfig) -> None:
         self.cfg = cfg
@@ -141,23 +174,17 @@ class ChopProcessor(StatefulProcessor):
         batch = gather(rows, ["ts_ms", "event_id"])
         if batch is None:
             return
-        recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        blocked, out = (self.blocked.get()[0] if self.blocked.exists() else 0), []
-        for r in batch.itertuples(index=False):
-            recent = [e for e in recent if e[0] >= r.ts_ms - self.cfg.chop_window_ms]
-            recent.append((int(r.ts_ms), int(r.is_stop)))
-            stops = sum(e[1] for e in recent)
-            if len(recent) >= self.cfg.lock_exits or stops >= self.cfg.lock_stops:
-                blocked = max(blocked, int(r.ts_ms) + self.cfg.chop_block_ms)
-            out.append((key[0], r.ts_ms, r.event_id, len(recent), stops, blocked, len(recent) >= self.cfg.caution_exits))
-        self.recent.put(recent)
-        self.blocked.update((blocked,))
+        held = list(self.recent.get()) if self.recent.exists() else []
+        out, keep = chop_counts(
+            batch.assign(product_id=key[0]), np.array(held, "int64").reshape(-1, 2), self.cfg, self.blocked.get()[0] if self.blocked.exists() else 0
+        )
+        until = int(out["blocked_until_ms"].iloc[-1])
+        self.recent.put([(int(a), int(b)) for a, b in keep])
+        self.blocked.update((until,))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(int(max(recent[-1][0] + self.cfg.chop_window_ms, blocked) + 1))
-        yield pd.DataFrame(
-            out, columns=["product_id", "ts_ms", "event_id", "adverse_count", "stop_count", "blocked_until_ms", "caution"]
-        )
+        self.handle.registerTimer(max(int(batch["ts_ms"].iloc[-1]) + self.cfg.chop_window_ms, until) + 1)
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.recent.clear()

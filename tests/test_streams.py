@@ -101,3 +101,51 @@ def test_sync_can_repeat_a_batch(spark, tmp_path):
     handle(df.withColumn("close", F.lit(2.0)), 1)
     got = spark.read.parquet(str(tmp_path / "t")).collect()
     assert [(r.product_id, r.close, r.base_asset) for r in got] == [("A-USD", 2.0, "A")]
+
+
+def test_gaps_across_batches_and_snapshots():
+    from tapeflow.streaming.jobs import gap_rows
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 14))
+        df = pd.DataFrame({"arrival_seq": range(n), "sequence_num": rng.integers(0, 12, n), "is_snapshot": rng.random(n) < 0.2})
+        carried = None if rng.random() < 0.3 else int(rng.integers(1, 10))
+        top, want = carried, []
+        for i, q, snap in df.itertuples(index=False):
+            if q > 0:
+                if top is not None and not snap and q > top + 1:
+                    want.append((i, top, q, q - top - 1))
+                top = q if snap or top is None else max(top, q)
+        got, end = gap_rows(df, carried)
+        assert [tuple(map(int, r)) for r in got[["arrival_seq", "last_sequence", "sequence_num", "gap_size"]].itertuples(index=False)] == want
+        assert end == top
+
+
+def test_feed_lists_and_missing_ids(spark):
+    from tapeflow.sources.feed import feed_trades, parse_messages
+
+    rows = [
+        ('{"sequence_num": 7, "timestamp": "2024-01-01T00:00:00Z", "events": [{"trades": [{"price": "1"}, {"price": "2", "trade_id": ""}]}, {"trades": [{"price": "3"}]}]}',),
+        ('{"sequence_num": 8, "events": [{"trades": [{"price": "9"}]}], "trades": [{"price": "4", "trade_time": "2024-01-01T00:00:01Z"}]}',),
+    ]
+    got = feed_trades(parse_messages(spark.createDataFrame(rows, "value string"))).collect()
+    assert sorted((r.price, r.trade_id) for r in got) == [("1", "7:0"), ("2", "7:1"), ("3", "7:0"), ("4", "8:0")]
+    assert {r.price: r.ts_ms for r in got}["4"] == 1_704_067_201_000
+
+
+def test_drift_skips_values_that_are_not_finite(spark):
+    from tapeflow.operators.monitors import drift_evaluate
+
+    names = [f"f{i}" for i in range(9)]
+    bounds = spark.createDataFrame([("A", f, 0.0, 0.5, 1.0) for f in names], "product_id string, feature string, low double, median double, high double")
+    rows = spark.createDataFrame([("A", 1, *[float("inf")] * 9), ("A", 2, *[0.5] * 9), ("B", 3, *[0.5] * 9)], ["product_id", "id", *names])
+    got = {r.id: (r.checked_features, r.drift_status) for r in drift_evaluate(rows, ["product_id", "id"], names, bounds).collect()}
+    assert got == {1: (0, "insufficient_checks"), 2: (9, "ok"), 3: (0, "disabled")}
+
+
+def test_symbols_are_trimmed_and_upper_case(spark):
+    from tapeflow.functions.text import product_of_symbol
+
+    df = spark.createDataFrame([(" btcusdt ",), ("ETHUSD",), ("xy",)], "s string")
+    assert [r[0] for r in df.select(product_of_symbol("s")).collect()] == ["BTC-USD", "ETH-USD", "XY"]
