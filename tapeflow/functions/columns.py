@@ -83,12 +83,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 SMALL_ROWS = 100_000
 
 
-def attach(facts: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def attach(facts: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
     """Join facts with a frame of one narrow row per key without shuffling the facts by a key that may hold a third of them.
 
-    The frame is written and counted first; it is broadcast up to ``SMALL_ROWS`` rows. Beyond that no key is that hot for its
+    The frame is written and counted first; it is broadcast up to ``most`` rows. Beyond that no key is that hot for its
     number alone, and the join is left to the session's skew handling.
     """
     per_key = staged(per_key)
-    few = per_key.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    few = per_key.limit(most + 1).count() <= most
     return facts.join(F.broadcast(per_key) if few else per_key, keys, how)

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeflow.functions.columns import attach
 from tapeflow.session import staged
 
-HEAVY_VALUES = 1_000_000
+#: Groups whose cuts (some kB each) are sent to all executors.
+CUT_ROWS = 2_000
 FINE = 16
 STRIPES = FINE * FINE
 SKETCH = 2_000
@@ -31,7 +33,7 @@ def with_stripe(df: DataFrame, keys: Sequence[str], value: str, out: str = "_s")
     keys = list(keys)
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, STRIPE_POINTS, SKETCH).alias("_cuts"))
     cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % FINE == FINE - 1))
-    return add_stripe(df.join(cuts, keys), value, out)
+    return add_stripe(attach(df, cuts, keys, most=CUT_ROWS), value, out)
 
 
 def exact_percentiles(
@@ -39,37 +41,20 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    heavy_values: int = HEAVY_VALUES,
     weight: str | None = None,
 ) -> DataFrame:
     """One row per group with linearly interpolated percentiles of ``value``.
 
     Equal values are counted first (``weight`` holds counts made earlier) and the
-    counts are written once, so the input is read once. A group with few distinct
-    values uses Spark's exact ``percentile``, which keeps one counter per distinct
-    value. A group above ``heavy_values`` is cut into value stripes by a sketch;
-    stripes are only counted, and just those holding a wanted rank are ordered.
-    At most rows / heavy_values groups are heavy, which bounds the broadcast of
-    their keys.
+    counts are written once, so the input is read once. Each group is cut into
+    value stripes by a sketch; stripes are only counted, and just those holding a
+    wanted rank are ordered.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = staged(present.groupBy(*keys, F.col(value).alias("_v")).agg(n.alias("_n")))
-    heavy = counted.groupBy(*keys).count().where(F.col("count") > heavy_values).select(*keys)
-    if not heavy.limit(1).count():
-        return _in_place(counted, keys, points)
-    heavy = F.broadcast(heavy)
-    light = _in_place(counted.join(heavy, keys, "left_anti"), keys, points)
-    return light.unionByName(_by_stripe(counted.join(heavy, keys), keys, points))
-
-
-def _in_place(counted: DataFrame, keys: list[str], points: Mapping[str, float]) -> DataFrame:
-    return (
-        counted.groupBy(*keys)
-        .agg(F.percentile("_v", [float(p) for p in points.values()], F.col("_n")).alias("_p"))
-        .select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(points)])
-    )
+    return _by_stripe(counted, keys, points)
 
 
 def _by_stripe(counted: DataFrame, keys: list[str], points: Mapping[str, float]) -> DataFrame:
@@ -91,7 +76,7 @@ def _by_stripe(counted: DataFrame, keys: list[str], points: Mapping[str, float])
         for edge in (F.floor(r), F.ceil(r)):
             wanted = wanted | ((edge >= F.col("_before")) & (edge < F.col("_before") + F.col("_sn")))
     by_value = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = striped.join(F.broadcast(totals.where(wanted)), [*keys, "_s"]).withColumn(
+    inside = attach(striped, totals.where(wanted), [*keys, "_s"]).withColumn(
         "_cum", F.col("_before") + F.sum("_n").over(by_value)
     )
     low = {n: F.min(F.when(F.col("_cum") > F.floor(r), F.col("_v"))) for n, r in rank.items()}

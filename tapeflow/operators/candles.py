@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeflow.functions.columns import bucket_start, int_div
+from tapeflow.functions.columns import attach, bucket_start, int_div
 from tapeflow.functions.series import running
 
 MINUTE_MS = 60_000
@@ -124,8 +124,7 @@ def reconcile(published: DataFrame, backfill: DataFrame, now_ms: int | Column, l
     """Published candles plus closed backfill candles newer than the last published one."""
     last = published.groupBy("product_id").agg(F.max("open_time").alias("_last"))
     fresh = (
-        closed_before(backfill, now_ms, length_ms)
-        .join(last, "product_id", "left")
+        attach(closed_before(backfill, now_ms, length_ms), last, ["product_id"], "left")
         .where(F.col("_last").isNull() | (F.col("open_time") > F.col("_last")))
         .drop("_last")
     )
@@ -149,7 +148,7 @@ def tail_rows(numbered: DataFrame, n: int, keys: list[str] | None = None, row: s
     """Last n rows of each numbered series: compares with the series length, no sort."""
     keys = keys or ["product_id"]
     ends = numbered.groupBy(*keys).agg((F.max(row) + 1).alias("_len"))
-    return numbered.join(ends, keys).where(F.col(row) >= F.col("_len") - n).drop("_len")
+    return attach(numbered, ends, keys).where(F.col(row) >= F.col("_len") - n).drop("_len")
 
 
 def top_k(df: DataFrame, k: int, *order: Column, by: list[str] | None = None) -> DataFrame:

@@ -109,7 +109,7 @@ def regime_limits(df: DataFrame, key: str = "product_id") -> DataFrame:
 
 def regime_evaluate(df: DataFrame, limits: DataFrame, key: str = "product_id") -> DataFrame:
     """Regime of each row by the limits; missing inputs are unknown and allowed."""
-    joined = df.join(limits, key, "left")
+    joined = attach(df, limits, [key], "left")
     vol, comp, width = F.col("realized_vol_5"), F.col("range_compression_20"), F.col("bb_width")
     vol_max = F.coalesce("vol_limit", F.lit(VOL_MAX))
     tight = (comp <= F.coalesce("compression_limit", F.lit(COMPRESSION_MIN))) & (

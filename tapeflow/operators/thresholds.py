@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.functions.columns import attach
 from tapeflow.functions.quantiles import exact_percentiles
 from tapeflow.operators.evaluation import sharpe
 
@@ -37,7 +38,7 @@ def threshold_stats(scored: DataFrame, cuts: DataFrame, buy: bool, key: str = "p
     """
     lists = cuts.groupBy(key).agg(F.collect_list("threshold").alias("_cuts"))
     hits = F.filter("_cuts", lambda t: (F.col("prob") >= t) if buy else (F.col("prob") <= t))
-    rows = scored.join(lists, key).select(key, "target", "target_return", F.explode(hits).alias("threshold"))
+    rows = attach(scored, lists, [key]).select(key, "target", "target_return", F.explode(hits).alias("threshold"))
     return rows.groupBy(key, "threshold").agg(
         F.count(F.lit(1)).alias("support"),
         F.avg("target_return").alias("mean_return"),
