@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.functions.columns import ratio
+from tapeflow.functions.columns import int_div, ratio
 from tapeflow.functions.names import CANDLE, FLOW_RAW
 from tapeflow.functions.text import base_asset
 from tapeflow.operators.candles import dedupe_last
+from tapeflow.session import staged
 
 KEY = ["product_id", "open_time"]
+DAY, DAY_MS = "open_day", 86_400_000
+PARTITION = ["base_asset", DAY]
 
 
 def with_base(df: DataFrame) -> DataFrame:
@@ -30,30 +33,30 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str] | None = No
     return dedupe_last(both, keys, "load_seq").drop("load_seq")
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written to a path, in whatever store it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(target) and len(store.listStatus(target)) > 0
+
+
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, columns: list[str]) -> None:
-    """Upsert into a Parquet table partitioned by base asset.
+    """Upsert into a Parquet table partitioned by base asset and day.
 
-    Only the partitions of the incoming bases are read and rewritten.
+    Only the days of the incoming rows are read and rewritten, so a load costs what it brings and not the history.
     """
     rows = with_base(incoming.select(*[c for c in incoming.columns if c in {*columns, *KEY, "load_seq"}]))
-    try:
-        stored = spark.read.option("mergeSchema", True).parquet(path)
-    except Exception as exc:  # the first load creates the table
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        merged = dedupe_last(
-            rows if "load_seq" in rows.columns else rows.withColumn("load_seq", F.lit(1)), KEY, "load_seq"
-        ).drop("load_seq")
+    rows = staged(rows.withColumn(DAY, int_div("open_time", DAY_MS).cast("int")))
+    if has_files(spark, path):
+        touched = rows.select(*PARTITION).distinct()
+        merged = upsert(spark.read.option("mergeSchema", True).parquet(path).join(touched, PARTITION, "left_semi"), rows)
     else:
-        touched = rows.select("base_asset").distinct()
-        merged = upsert(stored.join(touched, "base_asset", "left_semi"), rows)
-    from tapeflow.session import staged
-
+        merged = dedupe_last(rows if "load_seq" in rows.columns else rows.withColumn("load_seq", F.lit(1)), KEY, "load_seq").drop("load_seq")
     (
         staged(merged)  # the write replaces files the plan reads
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("base_asset")
+        .partitionBy(*PARTITION)
         .parquet(path)
     )
 

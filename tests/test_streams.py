@@ -149,3 +149,19 @@ def test_symbols_are_trimmed_and_upper_case(spark):
 
     df = spark.createDataFrame([(" btcusdt ",), ("ETHUSD",), ("xy",)], "s string")
     assert [r[0] for r in df.select(product_of_symbol("s")).collect()] == ["BTC-USD", "ETH-USD", "XY"]
+
+
+def test_a_load_of_one_day_rewrites_one_day(spark, tmp_path):
+    from tapeflow.functions.names import CANDLE
+    from tapeflow.sources.store import DAY_MS, upsert_table
+
+    path = tmp_path / "t"
+    schema = "product_id string, open_time long, close_time long, open double, high double, low double, close double, volume double, trade_count long"
+    day = lambda d, v: [("a-usd", d * DAY_MS + i * 60_000, d * DAY_MS + i * 60_000 + 59_999, v, v, v, v, v, 1) for i in range(5)]
+    upsert_table(spark, str(path), spark.createDataFrame([r for d in range(4) for r in day(d, 1.0)], schema), CANDLE)
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    upsert_table(spark, str(path), spark.createDataFrame(day(2, 2.0)[:2], schema), CANDLE)
+    after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    assert {f.parent.name for f in set(before.items()) ^ set(after.items()) for f in [f[0]]} == {"open_day=2"}
+    got = spark.read.parquet(str(path))
+    assert got.count() == 20 and got.where("close = 2").count() == 2
