@@ -184,3 +184,30 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text"
 def digest(docs: DataFrame) -> DataFrame:
     cols = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept covered_words".split()
     return repetition_metrics(docs).select(*map(F.col, cols))
+
+
+SQL = r"""
+WITH word AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), piece AS (
+  SELECT doc_id, k, unnest(generate_series(1, len(w) - k + 1)) AS i, w FROM word, (VALUES (5), (10), (101)) AS size(k)
+), again AS (
+  SELECT doc_id, k, i FROM (
+    SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, md5(array_to_string(w[i : i + k - 1], ' '))) AS n FROM piece
+  ) WHERE n > 1
+), place AS (
+  SELECT DISTINCT doc_id, k, i + unnest(generate_series(0, k - 1)) AS at FROM again
+), cover AS (
+  SELECT doc_id, count(*) FILTER (k = 5) AS five, count(*) FILTER (k = 10) AS ten, count(*) FILTER (k = 101) AS long FROM place GROUP BY doc_id
+), line AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM word)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(five, 0) AS n_repeat_words, coalesce(ten, 0) AS covered_words, coalesce(long, 0) > 0 AS over_long
+  FROM word LEFT JOIN line USING (doc_id) LEFT JOIN cover USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * covered_words <= 20 * n_words AND NOT over_long AS kept, covered_words
+FROM base
+"""

@@ -44,4 +44,4 @@ over("op6_line_dedup", "documents", line_dedup.digest, line_dedup.SQL)
 over("op7_mixing", "documents", mixing.digest, mixing.SQL)
 over("op8_language_id", "documents", language_id.digest)
 over("op9_packing", "documents", packing.digest)
-over("op10_quality_rules", "documents", quality_rules.digest)
+over("op10_quality_rules", "documents", quality_rules.digest, quality_rules.SQL)
