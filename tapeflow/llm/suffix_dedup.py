@@ -139,14 +139,14 @@ class Block:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
-    def distinct(self) -> Distinct:
+    def distinct(self, in_block: int = IN_BLOCK) -> Distinct:
         start, n, _, anchor, context = self.contexts()
         order = np.lexsort((start, context, anchor))
         start, n, anchor, context = start[order], n[order], anchor[order], context[order]
         new_anchor = runs(anchor)
         first = new_anchor | runs(context)
         kinds = np.add.reduceat(first, np.flatnonzero(new_anchor)) if len(first) else np.zeros(0, np.int64)
-        many = (kinds > IN_BLOCK)[np.cumsum(new_anchor) - 1][first] if len(first) else np.zeros(0, bool)
+        many = (kinds > in_block)[np.cumsum(new_anchor) - 1][first] if len(first) else np.zeros(0, bool)
         later = ~first
         return Distinct(start[first], n[first], anchor[first], context[first], many, expand(start[later], n[later]))
 
@@ -192,7 +192,7 @@ def by_shard(shard: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(shard[at].tolist(), at.tolist(), np.append(at, len(shard))[1:].tolist(), strict=True))
 
 
-def judged(sent: list[np.ndarray]) -> list[bytes]:
+def judged(sent: list[np.ndarray], hot: int = HOT) -> list[bytes]:
     """A code for each entry that blocks sent to a shard."""
     size = np.cumsum([0, *map(len, sent)])
     seen = np.concatenate(sent)
@@ -202,9 +202,9 @@ def judged(sent: list[np.ndarray]) -> list[bytes]:
     many = s["at"] == MANY
     first = new_anchor | runs(s["context"]) | many
     heads = np.flatnonzero(new_anchor)
-    kinds = np.add.reduceat(first.astype(np.int64), heads) + (HOT + 1) * np.add.reduceat(many.astype(np.int64), heads)
+    kinds = np.add.reduceat(first.astype(np.int64), heads) + (hot + 1) * np.add.reduceat(many.astype(np.int64), heads)
     kinds = kinds[np.cumsum(new_anchor) - 1]
-    code = np.where(~first, REPEATED, np.where(kinds == 1, SOLE, np.where(kinds <= HOT, SEVERAL, SINGLY))).astype(np.uint8)
+    code = np.where(~first, REPEATED, np.where(kinds == 1, SOLE, np.where(kinds <= hot, SEVERAL, SINGLY))).astype(np.uint8)
     out = np.empty(len(seen), np.uint8)
     out[order] = code
     return [out[a:b].tobytes() for a, b in zip(size[:-1], size[1:], strict=True)]
@@ -287,11 +287,14 @@ class Unsettled:
         return cls(several[order], shard[order], starts[by], hashes[by], to, copies)
 
 
-def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def repeats(
+    docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, in_block: int = IN_BLOCK, hot: int = HOT
+) -> DataFrame:
     """The digest columns of every row, and with ``with_text`` also spans (removed, from and to in bytes) and kept (binary).
 
     Texts are UTF-8 bytes, a null one is empty. Texts below ``length`` stay whole. Order is by id; a missing id comes first,
-    and rows of one id follow one another in byte order, so the second of two equal rows goes. Other columns are ignored.
+    and rows of one id follow one another in byte order, so the second of two equal rows goes. Other columns are ignored. An anchor
+    with more than ``in_block`` contexts in a block or ``hot`` in all has its strings dealt singly; the result is the same.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -303,7 +306,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
 
     def survey(table: pa.Table) -> pa.Table:
         block = Block.of(table, length)
-        shard, seen, _ = block.distinct().sent(block, shards)
+        shard, seen, _ = block.distinct(in_block).sent(block, shards)
         parts = by_shard(shard)
         return pa.table(
             {
@@ -314,7 +317,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
         )
 
     def judge(table: pa.Table) -> pa.Table:
-        codes = judged([np.frombuffer(x, SEEN) for x in table["seen"].to_pylist()])
+        codes = judged([np.frombuffer(x, SEEN) for x in table["seen"].to_pylist()], hot)
         return pa.table({"block": table["block"], "shard": table["shard"], "codes": pa.array(codes, pa.binary())})
 
     def codes_of(d: Distinct, block: Block, shard_column, code_column) -> np.ndarray:
@@ -328,7 +331,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
             return pa.table({n: pa.array([], t) for n, t in (("shard", pa.int32()), ("block", pa.int32()), ("heads", pa.binary()), ("raw", pa.binary()), ("singles", pa.binary()))})
         number = table["block"][0].as_py()
         block = Block.of(table, length)
-        d = block.distinct()
+        d = block.distinct(in_block)
         codes = codes_of(d, block, answers["shard"].to_pylist(), answers["codes"].to_pylist())
         u = Unsettled.of(block, d, codes, shards)
         rows = {s: [b"", b"", b""] for s in {*u.context_shard.tolist(), *u.start_shard.tolist()}}
@@ -361,7 +364,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block.of(table, length)
-        d = block.distinct()
+        d = block.distinct(in_block)
         said = {s: (a, b) for s, a, b in zip(*(answers[c].to_pylist() for c in ("shard", "contexts", "strings")), strict=True)}
         own = next((s for s in said if s < 0), None)
         codes = np.frombuffer(said[own][0], np.uint8) if own is not None else np.zeros(0, np.uint8)

@@ -109,11 +109,10 @@ def brute_suffixes(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(100, 1000), (48, 1000), (48, 1)])
-def test_suffix_dedup(docs, rows, no_docs, length, hot, monkeypatch):
-    if hot == 1:  # every unsettled string dealt singly
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    got = suffix_dedup.repeats(docs, length, with_text=False)
+@pytest.mark.parametrize(("length", "in_block", "hot"), [(100, 4, 1000), (48, 1, 1000), (48, 4, 1)])
+def test_suffix_dedup(docs, rows, no_docs, length, in_block, hot):
+    """Also with every unsettled string dealt singly."""
+    got = suffix_dedup.repeats(docs, length, with_text=False, in_block=in_block, hot=hot)
     assert Counter(map(tuple, got.collect())) == Counter(brute_suffixes(rows, length))
     if length == 100:
         assert suffix_dedup.digest(no_docs).count() == 0
