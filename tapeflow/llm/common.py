@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Whole texts travel in batches, so memory grows with the
 #: rows of a batch and not with a partition.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "1000"
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 

@@ -21,7 +21,7 @@ from tapeflow.llm.common import Ids, narrow, prepare, spans_to_mask, texts, word
 
 SYMBOLS = "#*$%&|<>"
 #: Words of suffixes sorted at once; longer batches are cut at documents.
-SORT_WORDS = 1_000_000
+SORT_WORDS = 400_000
 METRICS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, "
     "longest_repeat long, base_failed boolean, kept boolean"
