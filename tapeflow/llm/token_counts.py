@@ -2,8 +2,8 @@
 
 The vocabulary shows where no merge can reach: no piece has a word-start mark after another letter,
 and some characters stand in no piece of two or more. Texts are cut there, so pieces of text encode
-alone as they do inside; a word's last letter is cut off where no piece has it after the one before. A proof over the vocabulary, done once per worker with the library itself,
-lists the strings that encode alone as one token; pre-tokens found in that list count one each.
+alone as they do inside; letters are cut off a word's end while no piece has them after the one before. A proof
+over the vocabulary, done once per worker with the library itself, lists the strings that encode alone as one token; pre-tokens found in that list count one each.
 Only the rest go to the library, once per distinct string and worker while its table has room.
 """
 
@@ -69,10 +69,21 @@ class PieceCounter(dict):
         return n - 1 - self.newline if word[:1] == "\n" else n
 
     def __missing__(self, word: str) -> int:
-        if len(word) > 1 and word[-2] not in "\n " and word[-1] != " " and word[-2:] not in self.joined:
-            n = self[word[:-1]] + self["\n" + word[-1]]
-        else:
-            n = self.merge(word)
+        # a loop: runs of letters that no piece joins can be as long as the text
+        end, n = len(word), 0
+        while end > 1 and word[end - 2] not in "\n " and word[end - 1] != " " and word[end - 2 : end] not in self.joined:
+            end -= 1
+            n += self.known("\n" + word[end])
+        if end == len(word):
+            return self.keep(word, self.merge(word))
+        return self.keep(word, n + self.known(word[:end]))
+
+    def known(self, word: str) -> int:
+        """Tokens of a word from whose end nothing can be cut."""
+        n = self.get(word)
+        return self.keep(word, self.merge(word)) if n is None else n
+
+    def keep(self, word: str, n: int) -> int:
         if len(word) <= TABLE_CHARS:
             if len(self) > self.fixed + TABLE_ROWS:
                 self.clear()

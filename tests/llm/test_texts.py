@@ -46,6 +46,13 @@ def test_single_token_proof_is_right():
     assert len(some) > 50 and all(len(counter.model.encode(w)) == 1 for w in some)
 
 
+def test_long_runs_without_merges_are_counted_as_by_the_library():
+    counter = token_counts.counter(token_counts.model_path())
+    long = [c * 5_000 for c in "7漢😀•ก"] + ["12233" * 1_000, "漢字かな。" * 900, "a漢" * 3_000, "don't" + "9" * 2_000 + "ing"]
+    for text in long + [f"x {t} y\n{t}\n  {t} " for t in long]:
+        assert counter.count(text) == len(counter.model.encode(text)), text[:30]
+
+
 # --- quality rules
 
 
