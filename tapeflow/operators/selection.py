@@ -25,15 +25,24 @@ def feature_catalog(spark: SparkSession) -> DataFrame:
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, abs_corr) for every pair, from one partial-aggregated pass."""
-    pairs = list(combinations(features, 2))
-    sums = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.abs(f"c{i}").alias("abs_corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").withColumn(
-        "abs_corr", F.when(~F.isnan("abs_corr"), F.col("abs_corr"))
+    """(feature_a, feature_b, abs_corr) for every pair, from one partial-aggregated pass.
+
+    Pairs are rows of one short aggregate: all features have over 6,000, too many for columns of a plan.
+    """
+    names, last = F.array(*map(F.lit, features)), len(features) - 1
+    rows = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
+    first = rows.select("_v", F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("_a"))
+    both = first.select("_v", "_a", F.explode(F.sequence(F.col("_a") + 1, F.lit(last))).alias("_b"))
+    x, y = F.get("_v", "_a"), F.get("_v", "_b")
+    whole = both.select("_a", "_b", x.alias("_x"), y.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    # F.corr raises on a constant column; such a pair has no correlation
+    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
+    found = whole.groupBy("_a", "_b").agg(F.try_divide(F.covar_pop("_x", "_y"), spread).alias("_c"))
+    pairs = df.sparkSession.createDataFrame(list(combinations(range(last + 1), 2)), "_a int, _b int")
+    known = pairs.join(found, ["_a", "_b"], "left")
+    return known.select(
+        F.get(names, F.col("_a")).alias("feature_a"), F.get(names, F.col("_b")).alias("feature_b"),
+        F.when(~F.isnan("_c"), F.abs("_c")).alias("abs_corr"),
     )
 
 

@@ -1,7 +1,6 @@
-"""Model-fit queries: every product of the given tables, small boosters.
+"""Model-fit queries: every product of the given tables, all features, boosters of the operators' default size.
 
-MLlib learners have no SQL counterpart, so these are rows-only checks. They read all candle features; the boosters have few trees,
-as each tree is several Spark jobs.
+MLlib learners have no SQL counterpart, so these are rows-only checks.
 """
 
 from __future__ import annotations
@@ -12,21 +11,24 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import rounded
-from tapeflow.functions.names import OHLCV_FEATURES
+from tapeflow.functions.names import ALL_FEATURES
+from tapeflow.operators import flow_features as G
 from tapeflow.operators import labels as L
 from tapeflow.operators import models as M
 from tapeflow.operators import monitors as D
-from tapeflow.operators.ohlcv import ohlcv_features
+from tapeflow.plans.catalog.features import merged_flow
 from tapeflow.plans.registry import query
 from tapeflow.plans.views import CANDLE_SPAN, Inputs
 from tapeflow.session import staged
 
-FEATURES = list(OHLCV_FEATURES)
-SMALL = M.BoosterConfig(trees=5)
+FEATURES = list(ALL_FEATURES)
+BOOST = M.BoosterConfig()
+#: The operator's folds and shuffles; the first training part is shorter, as products have some 470 rows at sf0.01.
+WALK = M.WalkForwardConfig(min_train=150)
 
 
 def labeled(x: Inputs):
-    kept = staged(ohlcv_features(x.candle_table(), CANDLE_SPAN))
+    kept = staged(G.flow_features(x.candle_table(), staged(merged_flow(x)), CANDLE_SPAN))
     return staged(L.label_net_return(kept, 5, 0.20, 0.05, CANDLE_SPAN))
 
 
@@ -51,7 +53,7 @@ def split(df):
 def train_booster(x: Inputs):
     def run(df, p):
         rows = staged(split(df))
-        return M.train_booster(rows, FEATURES, SMALL).score(rows).select("product_id", "open_time", "target", "prob")
+        return M.train_booster(rows, FEATURES, BOOST).score(rows).select("product_id", "open_time", "target", "prob")
 
     return rounded(per_product(labeled(x), run))
 
@@ -59,7 +61,7 @@ def train_booster(x: Inputs):
 @query("gain_importance")
 def gain_importance(x: Inputs):
     table = split(labeled(x))
-    fitted = M.train_booster(table, FEATURES, SMALL)
+    fitted = M.train_booster(table, FEATURES, BOOST)
     share = F.create_map(*[F.lit(v) for kv in fitted.importance().items() for v in kv])
     known = table.agg(*[F.count(f).alias(f) for f in FEATURES]).unpivot([], FEATURES, "feature", "known_rows")
     return rounded(known.withColumn("importance", share[F.col("feature")]))
@@ -68,7 +70,7 @@ def gain_importance(x: Inputs):
 @query("blend_probabilities")
 def blend_probabilities(x: Inputs):
     rows = staged(split(labeled(x)))
-    models = [M.train_booster(rows, FEATURES, SMALL), M.train(rows, FEATURES, M.forest(SMALL))]
+    models = [M.train_booster(rows, FEATURES, BOOST), M.train(rows, FEATURES, M.forest(BOOST))]
     return rounded(M.blend(models, rows).select("product_id", "open_time", "prob"))
 
 
@@ -81,21 +83,20 @@ def calibrate(x: Inputs):
 @query("permutation_importance")
 def permutation_importance(x: Inputs):
     rows = staged(split(labeled(x)))
-    fitted = M.train_booster(rows, FEATURES, SMALL)
+    fitted = M.train_booster(rows, FEATURES, BOOST)
     return rounded(M.permutation_importance(fitted, rows.where("is_validation")))
 
 
 @query("feature_contribution")
 def feature_contribution(x: Inputs):
     rows = staged(split(labeled(x)))
-    return rounded(M.feature_contribution(M.train_booster(rows, FEATURES, SMALL), rows))
+    return rounded(M.feature_contribution(M.train_booster(rows, FEATURES, BOOST), rows))
 
 
 @query("walk_forward_validate")
 def walk_forward_validate(x: Inputs):
     table = staged(split(labeled(x)).drop("is_validation"))
-    cfg = M.WalkForwardConfig(splits=2, gap=15, min_train=150, permutations=1)
-    return rounded(per_product(table, lambda df, p: M.walk_forward(df, FEATURES[:8], cfg, boost=M.BoosterConfig(trees=2)).folds))
+    return rounded(per_product(table, lambda df, p: M.walk_forward(df, FEATURES, WALK, boost=BOOST).folds))
 
 
 @query("regime_mixture")
