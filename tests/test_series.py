@@ -112,6 +112,31 @@ def test_expanding_quantile_flag(spark, block_rows):
     assert (got == (df["v"] > cut).astype(float).to_numpy()).all()
 
 
+def test_expanding_quantile_groups_hold_at_most_a_block(spark, monkeypatch):
+    """A value that fills most rows, and more values than one round of stripes can part."""
+    from tapeflow.functions import prefix_rank as P
+
+    block = 8
+    monkeypatch.setattr(P, "_count_rows", bounded(P._count_rows, block))
+    monkeypatch.setattr(P, "_count_folded", bounded(P._count_folded, block))
+    rng = np.random.default_rng(6)
+    v = np.where(np.arange(2_000) % 3 > 0, 0.5, rng.permutation(2_000) / 1_000)
+    v = np.concatenate([v, rng.permutation(2_500) / 1_000])
+    df = pd.DataFrame({"product_id": "A", "row_idx": np.arange(len(v)), "v": v})
+    out = P.above_running_quantile(spark.createDataFrame(df), ["product_id"], "row_idx", "v", 0.75, min_rows=10, fallback=3.0, out="hit", block_rows=block)
+    got = out.orderBy("row_idx").toPandas()["hit"].to_numpy()
+    cut = df["v"].expanding(min_periods=10).quantile(0.75).fillna(3.0)
+    assert (got == (df["v"] > cut).astype(float).to_numpy()).all()
+
+
+def bounded(count, most):
+    def run(pdf):
+        assert len(pdf) <= most
+        return count(pdf)
+
+    return run
+
+
 def test_percentiles_of_hot_groups(spark):
     rng = np.random.default_rng(8)
     df = pd.DataFrame({"k": np.where(np.arange(6_000) % 6 == 0, "b", "a"), "v": np.round(rng.lognormal(0, 2, 6_000), 3)})
