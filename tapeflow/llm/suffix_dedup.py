@@ -35,7 +35,7 @@ CHUNK = 1 << 20
 PLACE_BITS = 30
 SOLE, REPEATED, SEVERAL, SINGLY = range(4)
 SEEN = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4")])
-HEAD = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
+HEAD = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 SINGLE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 MANY = np.uint32(0xFFFFFFFF)
 LETTERS = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64)

@@ -127,6 +127,18 @@ def test_suffix_dedup(docs, rows, no_docs, length, in_block, hot):
             assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] == r["n_bytes"] - len(r["kept"])
 
 
+def test_suffix_dedup_of_contexts_with_over_255_starts(spark):
+    """At 900 bytes a context has up to 645 starts; their number took one byte once."""
+    import random
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared = [noise(2_000) for _ in range(4)]
+    rows = [(i, noise(400 + 37 * i) + shared[i % 4][: 1_200 + 90 * i] + noise(300)) for i in range(8)]
+    got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 900, with_text=False)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_suffixes(rows, 900))
+
+
 def test_suffix_judgement_of_hot_anchors():
     import numpy as np
 
