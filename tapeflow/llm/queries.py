@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeflow.llm import (
+    alignment,
     decontamination,
     language_id,
     line_dedup,
@@ -47,3 +48,4 @@ over("op8_language_id", "documents", language_id.digest)
 over("op9_packing", "documents", packing.digest)
 over("op10_quality_rules", "documents", quality_rules.digest, quality_rules.SQL)
 over("op12_decontamination", "documents benchmark", decontamination.digest, decontamination.SQL)
+over("op13_alignment", "documents", alignment.digest)
