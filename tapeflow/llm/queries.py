@@ -16,6 +16,7 @@ from tapeflow.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    spelling,
     suffix_dedup,
     token_counts,
     vector_join,
@@ -47,5 +48,6 @@ over("op7_mixing", "documents", mixing.digest, mixing.SQL)
 over("op8_language_id", "documents", language_id.digest)
 over("op9_packing", "documents", packing.digest)
 over("op10_quality_rules", "documents", quality_rules.digest, quality_rules.SQL)
+over("op11_spelling_variants", "documents", spelling.digest)
 over("op12_decontamination", "documents benchmark", decontamination.digest, decontamination.SQL)
 over("op13_alignment", "documents", alignment.digest)
