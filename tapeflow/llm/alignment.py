@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ MARK = "▁"
 #: White space as the pattern of tokenizer A knows it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Pieces remembered in each of two generations, the longest one remembered, and letters encoded together.
-TABLE_ROWS, TABLE_CHARS, JOINED_CHARS = 150_000, 48, 100_000
+TABLE_ROWS, TABLE_CHARS, JOINED_CHARS = 80_000, 48, 50_000
+#: Documents and bytes of one block; a longer document is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 500, 1_000_000
 #: Pairs whose counts are broadcast, at most; 24 bytes each.
 HOT_PAIRS = 100_000
 B_BITS = 32
@@ -228,29 +231,42 @@ def file_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) cut into blocks."""
+    for batch in batches:
+        at = 0
+        lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(np.cumsum(lengths[at : at + BLOCK_ROWS]), BLOCK_BYTES, side="right"))
+            yield batch.slice(at, max(1, fits))
+            at += max(1, fits)
+
+
 COUNTED = "block long, ids binary, facts binary, shas binary, edges binary, one binary, pairs binary, which binary"
 
 
 def encoded(docs: DataFrame, a: str | None = None, b: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each block of documents, packed; see ``Block``."""
+    """One row for each block of documents.
+
+    ids: Arrow stream of the ids; facts: A tokens, B tokens, groups of each; shas: length and hash of each; edges: identity links
+    and others of each; one: A ids of the identity links; pairs: distinct other links; which: the other links as places in them.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces_of(a or file_path(DEFAULT_A), b or file_path(DEFAULT_B))
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             cut, place = table.pair.cut, Ids()
-            at = [list(map(place.__getitem__, cut.findall(" " + t))) if t else [] for t in texts(batch.column(1))]
+            at = [np.fromiter(map(place.__getitem__, cut.findall(" " + t)), np.int32) if t else np.zeros(0, np.int32) for t in texts(batch.column(1))]
             n_a, n_b, n_groups, spelled, one_raw, other_raw = zip(*table.rows(list(place)), strict=True) if place else [()] * 6
             count = np.fromiter(map(len, at), np.int64, len(at))
-            flat = np.fromiter(chain.from_iterable(at), np.int64, int(count.sum()))
+            flat = np.concatenate(at).astype(np.int64)
             stop = np.cumsum(count)
             total = lambda x: np.diff(np.append(0, np.cumsum(np.array(x, np.int64)[flat]))[np.append(0, stop)])
             bad = total([n < 0 for n in n_a]) > 0
             facts = np.stack([total(n_a), total(n_b), total(n_groups)], 1)
             facts[bad] = 0
-            shas = [hashlib.sha256(";".join(map(spelled.__getitem__, x)).encode()).digest() if x and not b else b"" for x, b in zip(at, bad.tolist(), strict=True)]
+            shas = [hashlib.sha256(";".join(map(spelled.__getitem__, x.tolist())).encode()).digest() if len(x) and not b else b"" for x, b in zip(at, bad.tolist(), strict=True)]
             kept, edges, parts = flat[~np.repeat(bad, count)], np.zeros((len(at), 2), np.int64), []
             for i, (raw, kind) in enumerate(((one_raw, "<u4"), (other_raw, "<i8"))):
                 size = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(kind).itemsize
