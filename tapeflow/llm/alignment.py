@@ -34,9 +34,9 @@ MARK = "▁"
 #: White space as the pattern of tokenizer A knows it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Pieces remembered in each of two generations, the longest one remembered, and letters encoded together.
-TABLE_ROWS, TABLE_CHARS, JOINED_CHARS = 80_000, 48, 50_000
+TABLE_ROWS, TABLE_CHARS, JOINED_CHARS = 120_000, 32, 50_000
 #: Documents and bytes of one block; a longer document is a block of its own.
-BLOCK_ROWS, BLOCK_BYTES = 500, 1_000_000
+BLOCK_ROWS, BLOCK_BYTES = 200, 250_000
 #: Pairs whose counts are broadcast, at most; 24 bytes each.
 HOT_PAIRS = 100_000
 B_BITS = 32
@@ -102,6 +102,7 @@ class Pair:
         alone = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and level.get("use_regex", True) and not parts.get("normalizer")
         if alone and not parts["model"].get("ignore_merges") and all(len(self.library.model.tokenize(t)) == 1 for t in vocab):
             self.ranks = self.by_rank(vocab)
+            self.library = None  # no longer needed
 
     def by_rank(self, vocab: dict[str, int]):
         import tiktoken
