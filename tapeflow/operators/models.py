@@ -8,9 +8,10 @@ metrics of all assets are DataFrame work.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -25,6 +26,7 @@ from tapeflow.operators import evaluation as V
 from tapeflow.operators import labels as L
 from tapeflow.operators import monitors as D
 from tapeflow.operators import selection as P
+from tapeflow.operators.boosting import PATIENCE, grow, shapley_importance, shapley_table, shapley_values
 from tapeflow.session import staged
 
 EPS = 1e-6
@@ -39,6 +41,7 @@ class BoosterConfig:
     step: float = 0.05
     subsample: float = 0.8
     seed: int = 42
+    patience: int = PATIENCE
 
 
 @dataclass(frozen=True)
@@ -56,15 +59,13 @@ def zero_filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(0.0)) for f in features})
 
 
-def booster(cfg: BoosterConfig, weighted: bool = False, validated: bool = False) -> GBTClassifier:
+def booster(cfg: BoosterConfig, weighted: bool = False) -> GBTClassifier:
     gbt = GBTClassifier(
         featuresCol="features", labelCol="target", maxDepth=cfg.depth, stepSize=cfg.step, maxIter=cfg.trees,
         subsamplingRate=cfg.subsample, seed=cfg.seed,
     )
     if weighted:
         gbt = gbt.setWeightCol("sample_weight")
-    if validated:
-        gbt = gbt.setValidationIndicatorCol("is_validation")
     return gbt
 
 
@@ -80,6 +81,8 @@ class Fitted:
 
     model: Model
     features: list[str]
+    #: loss on the held rows after each grown round, of boosters stopped by patience
+    losses: list[float] = field(default_factory=list)
 
     def score(self, df: DataFrame, out: str = "prob") -> DataFrame:
         ready = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep").transform(
@@ -92,21 +95,37 @@ class Fitted:
         """Gain importance, normalized; uniform when the model has none."""
         values = getattr(self.model, "featureImportances", None)
         shares = values.toArray() if values is not None else []
+        if len(shares):  # a cut ensemble knows only the features up to the last one it splits on
+            shares = np.pad(shares, (0, len(self.features) - len(shares)))
         if len(shares) == 0 or shares.sum() <= 0:
             return dict.fromkeys(self.features, 1.0 / len(self.features))
         return dict(zip(self.features, (float(s) for s in shares / shares.sum()), strict=True))
 
 
+#: Rows of one task of a fit. Every level of every tree is a job, so few rows are better held in few tasks.
+TASK_ROWS = 20_000
+
+
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Feature vectors, written once and read as partitions of ``TASK_ROWS``: a fit reads them for every level of every tree."""
+    ready = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(zero_filled(df, features))
+    kept = staged(ready.select("features", *[c for c in ("target", "sample_weight", "is_validation") if c in df.columns]))
+    return kept.coalesce(max(1, -(-kept.count() // TASK_ROWS)))
+
+
 def train(df: DataFrame, features: Sequence[str], estimator: Estimator) -> Fitted:
-    ready = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(
-        zero_filled(df, features)
-    )
-    return Fitted(estimator.fit(ready), list(features))
+    return Fitted(estimator.fit(assembled(df, features)), list(features))
 
 
 def train_booster(df: DataFrame, features: Sequence[str], cfg: BoosterConfig = BoosterConfig()) -> Fitted:
-    """Boosted trees; ``sample_weight`` and ``is_validation`` are used when present."""
-    return train(df, features, booster(cfg, "sample_weight" in df.columns, "is_validation" in df.columns))
+    """Boosted trees; ``sample_weight`` is used when present. With ``is_validation`` those rows are held back, and the ensemble is
+    cut at the round of least loss on them, once ``cfg.patience`` rounds brought no better one."""
+    estimator = booster(cfg, "sample_weight" in df.columns)
+    if "is_validation" not in df.columns:
+        return train(df, features, estimator)
+    ready = assembled(df, features)
+    model, losses = grow(ready.where("NOT is_validation"), ready.where("is_validation"), estimator, cfg.patience)
+    return Fitted(model, list(features), losses)
 
 
 def blend(models: Sequence[Fitted], df: DataFrame, out: str = "prob") -> DataFrame:
@@ -184,6 +203,12 @@ def permutation_importance(
     return drops.groupBy(key, "feature").agg(F.avg(F.col("base_auc") - F.col("auc")).alias("permutation"))
 
 
+def shap_importance(fitted: Fitted, val: DataFrame, key: str = "product_id") -> DataFrame:
+    """Mean absolute Shapley value of each feature, of the margin and over all rows, by key."""
+    rows = zero_filled(val, fitted.features)
+    return shapley_importance(shapley_values(rows, fitted.features, shapley_table(fitted.model), [key]), fitted.features, key)
+
+
 def feature_contribution(fitted: Fitted, df: DataFrame, key: str = "product_id", top: int = 6) -> DataFrame:
     """Mean probability change per feature against its mean, top both ways."""
     means = df.groupBy(key).agg(*[F.avg(f).alias(f"_m_{f}") for f in fitted.features])
@@ -235,7 +260,6 @@ def walk_forward(
     """
     table = staged(labeled)
     spark = table.sparkSession
-    weighted = "sample_weight" in table.columns
     ends = table.groupBy("product_id").agg((F.max("row_idx") + 1).alias("rows")).first()
     held_from = ends["rows"] - max(1, int(ends["rows"] * cfg.test_share))
     lengths = spark.createDataFrame([(ends["product_id"], held_from)], "product_id string, n_rows bigint")
@@ -247,7 +271,7 @@ def walk_forward(
         raise ValueError("no fold has both classes in training and validation")
 
     def fit(rows: DataFrame, names: Sequence[str]) -> Fitted:
-        return train(rows, names, model_factory() if model_factory else booster(boost, weighted, "is_validation" in rows.columns))
+        return train(rows, names, model_factory()) if model_factory else train_booster(rows, names, boost)
 
     scored, chosen = [], []
     for fold in usable:

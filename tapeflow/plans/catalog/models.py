@@ -53,7 +53,9 @@ def split(df):
 def train_booster(x: Inputs):
     def run(df, p):
         rows = staged(split(df))
-        return M.train_booster(rows, FEATURES, BOOST).score(rows).select("product_id", "open_time", "target", "prob")
+        fitted = M.train_booster(rows, FEATURES, BOOST)
+        grown = {"n_grown": F.lit(len(fitted.losses)), "n_trees": F.lit(fitted.model.getNumTrees)}
+        return fitted.score(rows).withColumns(grown).select("product_id", "open_time", "target", "prob", "n_grown", "n_trees")
 
     return rounded(per_product(labeled(x), run))
 
@@ -87,6 +89,12 @@ def permutation_importance(x: Inputs):
     return rounded(M.permutation_importance(fitted, rows.where("is_validation")))
 
 
+@query("shap_importance")
+def shap_importance(x: Inputs):
+    rows = staged(split(labeled(x)))
+    return rounded(M.shap_importance(M.train_booster(rows, FEATURES, BOOST), rows.where("is_validation")))
+
+
 @query("feature_contribution")
 def feature_contribution(x: Inputs):
     rows = staged(split(labeled(x)))
