@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapeflow.functions.columns import rounded
 from tapeflow.functions.names import ALL_FEATURES
 from tapeflow.operators import flow_features as G
+from tapeflow.operators import hidden_states as H
 from tapeflow.operators import labels as L
 from tapeflow.operators import models as M
 from tapeflow.operators import monitors as D
@@ -112,3 +113,11 @@ def regime_mixture(x: Inputs):
     table = labeled(x)
     states = per_product(table, lambda df, p: M.regime_states(df))
     return D.label_states(states.withColumn("state", F.col("state").cast("bigint")))
+
+
+@query("hidden_regimes")
+def hidden_regimes(x: Inputs):
+    """Fitted hidden states of every product and their names, on the rows before the holdout."""
+    rows = L.holdout_split(labeled(x)).where("NOT is_test")
+    states = H.hidden_regimes(rows, list(D.REGIME_FEATURES), CANDLE_SPAN)
+    return D.label_states(staged(states))
