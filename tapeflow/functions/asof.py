@@ -33,16 +33,25 @@ def asof_last(
     return carried.where(F.col("_side") == 1).select(*keys, "_l.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def trailing(
-    df: DataFrame, *, keys: Sequence[str], at: str, window_ms: int, aggs: Mapping[str, Column], block_ms: int | None = None
+def trailing_sums(
+    df: DataFrame, *, keys: Sequence[str], at: str, window_ms: int, sums: Mapping[str, Column], block_ms: int | None = None
 ) -> DataFrame:
-    """Aggregates over [t - window, t] per row. A block also gets the rows of the
-    previous blocks that its frames can reach."""
+    """Sums of whole numbers over [t - window, t] per row, rows of the same time included; a null number adds nothing.
+
+    Every row enters the sum at its time and leaves it a unit after the window, so one running sum over both ends answers all
+    rows: the work grows with the rows, however many share a window. Keys are not null.
+    """
     keys = list(keys)
-    block = block_ms or max(window_ms, 60 * MINUTE_MS)
-    own = int_div(at, block)
-    last = int_div(F.col(at) + window_ms, block)
-    spread = df.withColumn("_blk", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_blk") == own)
-    w = Window.partitionBy(*keys, "_blk").orderBy(at).rangeBetween(-window_ms, 0)
-    out = spread.withColumns({n: c.over(w) for n, c in aggs.items()})
-    return out.where("_own").drop("_blk", "_own")
+    valued = df.select(*keys, F.col(at).alias("_at"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"_v_in_{n}") for n, c in sums.items()], F.struct("*").alias("_row"))
+    marks = F.array(F.struct(F.lit(0).cast("bigint").alias("later"), F.lit(1).alias("sign")), F.struct(F.lit(window_ms + 1).cast("bigint").alias("later"), F.lit(-1).alias("sign")))
+    moving = F.lit(False)
+    for n in sums:
+        moving = moving | (F.col(f"_v_in_{n}") != 0)
+    ends = valued.where(moving).withColumn("_m", F.explode(marks)).select(
+        *keys, (F.col("_at") + F.col("_m.later")).alias("_at"), F.lit(0).alias("_side"), *[(F.col(f"_v_in_{n}") * F.col("_m.sign")).alias(f"_v_in_{n}") for n in sums]
+    )
+    asked = valued.select(*keys, "_at", F.lit(1).alias("_side"), *[F.lit(0).cast("bigint").alias(f"_v_in_{n}") for n in sums], "_row")
+    line = ends.unionByName(asked, allowMissingColumns=True)
+    block = int_div("_at", block_ms or max(window_ms, 60 * MINUTE_MS))
+    done = running(line, keys=keys, order=["_at", "_side"], block=block, specs={n: ("sum", f"_v_in_{n}") for n in sums})
+    return done.where(F.col("_side") == 1).select("_row.*", *sums)

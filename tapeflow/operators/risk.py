@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.functions.asof import MINUTE_MS, trailing
+from tapeflow.functions.asof import MINUTE_MS, trailing_sums
 from tapeflow.functions.columns import int_div, yes
 from tapeflow.functions.series import running
 
@@ -138,9 +138,9 @@ def adverse_exit(cfg: RiskConfig = RiskConfig()) -> Column:
 def chop_exits(exits: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """Adverse exits with trailing counts and, where they lock, until when entries are blocked."""
     bad = exits.where(adverse_exit(cfg)).withColumn("is_stop", (F.lower(F.trim("reason")) == "stop_loss_hit").cast("bigint"))
-    counted = trailing(
+    counted = trailing_sums(
         bad, keys=["product_id"], at="ts_ms", window_ms=cfg.chop_window_ms,
-        aggs={"adverse_count": F.count(F.lit(1)), "stop_count": F.sum("is_stop")},
+        sums={"adverse_count": F.lit(1), "stop_count": F.col("is_stop")},
     )
     locks = (F.col("adverse_count") >= cfg.lock_exits) | (F.col("stop_count") >= cfg.lock_stops)
     return counted.withColumn("block_until", F.when(locks, F.col("ts_ms") + cfg.chop_block_ms))
@@ -151,10 +151,10 @@ def chop_at(signals: DataFrame, exits: DataFrame, cfg: RiskConfig = RiskConfig()
     locked = chop_exits(exits, cfg).select("product_id", "ts_ms", "is_stop", "block_until", F.lit(1).alias("is_exit"), F.lit(0).alias("_side"))
     mine = [c for c in signals.columns if c not in ("product_id", "ts_ms")]
     asked = signals.select("product_id", "ts_ms", F.struct(*mine).alias("_s"), F.lit(1).alias("_side"))
-    line = trailing(
+    line = trailing_sums(
         locked.unionByName(asked, allowMissingColumns=True), keys=["product_id"], at="ts_ms", window_ms=cfg.chop_window_ms,
-        aggs={"adverse_count": F.sum("is_exit"), "stop_count": F.sum("is_stop")},
-    ).fillna(0, ["adverse_count", "stop_count"])
+        sums={"adverse_count": F.col("is_exit"), "stop_count": F.col("is_stop")},
+    )
     line = running(
         line, keys=["product_id"], order=["ts_ms", "_side"], block=int_div("ts_ms", 60 * MINUTE_MS),
         specs={"blocked_until_ms": ("max", "block_until")},
