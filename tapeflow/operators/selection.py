@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,44 +25,69 @@ def feature_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, category string, candidate boolean")
 
 
-def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, abs_corr) for every pair, from one partial-aggregated pass.
+def gram(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(a, b, n, sa, sb, saa, sbb, sab) of every two features (by number, a < b) over the rows where both are known.
 
-    Pairs are rows of one short aggregate: all features have over 6,000, too many for columns of a plan.
+    With m the mask of known values, the sums are products of the tables m, xm and x²m, so a task adds them up as four small
+    matrices, and rows are neither copied for each pair nor shuffled. Values are taken from each feature's least one, which leaves
+    exact zeros for a constant.
     """
-    names, last = F.array(*map(F.lit, features)), len(features) - 1
-    rows = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
-    first = rows.select("_v", F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("_a"))
-    both = first.select("_v", "_a", F.explode(F.sequence(F.col("_a") + 1, F.lit(last))).alias("_b"))
-    x, y = F.get("_v", "_a"), F.get("_v", "_b")
-    whole = both.select("_a", "_b", x.alias("_x"), y.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    # F.corr raises on a constant column; such a pair has no correlation
-    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
-    found = whole.groupBy("_a", "_b").agg(F.try_divide(F.covar_pop("_x", "_y"), spread).alias("_c"))
-    pairs = df.sparkSession.createDataFrame(list(combinations(range(last + 1), 2)), "_a int, _b int")
-    known = pairs.join(found, ["_a", "_b"], "left")
-    return known.select(
-        F.get(names, F.col("_a")).alias("feature_a"), F.get(names, F.col("_b")).alias("feature_b"),
-        F.when(~F.isnan("_c"), F.abs("_c")).alias("abs_corr"),
-    )
+    names = list(features)
+    low = df.select([F.min(F.col(f).cast("double")).alias(f) for f in names]).first()
+    base = np.array([0.0 if v is None else v for v in low], float)
+    pairs = np.triu_indices(len(names), 1)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss, xy = (np.zeros((len(names), len(names))) for _ in range(4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1) - base
+            m = (~np.isnan(x)).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            n += m.T @ m
+            s += x.T @ m
+            ss += (x * x).T @ m
+            xy += x.T @ x
+        i, j = pairs
+        cols = [i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], xy[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", *GRAM])
+
+    parts = df.select(*[F.col(f).cast("double").alias(f) for f in names]).mapInArrow(each, "a int, b int, " + ", ".join(f"{c} double" for c in GRAM))
+    return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in GRAM])
+
+
+GRAM = ("n", "sa", "sb", "saa", "sbb", "sab")
+#: Share of its sum of squares below which a spread is rounding.
+FLAT = 1e-12
+
+
+def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature_a, feature_b, abs_corr) for every pair, over the rows where both are known; null where one of them is constant."""
+    names = F.array(*map(F.lit, features))
+    n = F.col("n")
+    va, vb = n * F.col("saa") - F.col("sa") ** 2, n * F.col("sbb") - F.col("sb") ** 2
+    varied = (n > 0) & (va > FLAT * n * F.col("saa")) & (vb > FLAT * n * F.col("sbb"))
+    corr = (n * F.col("sab") - F.col("sa") * F.col("sb")) / (F.sqrt(va) * F.sqrt(vb))
+    found = gram(df, features).select("a", "b", F.when(varied, F.least(F.abs(corr), F.lit(1.0))).alias("abs_corr"))
+    return found.select(F.get(names, F.col("a")).alias("feature_a"), F.get(names, F.col("b")).alias("feature_b"), "abs_corr")
 
 
 def correlation_filter(
     matrix: DataFrame, features: Sequence[str], importance: Mapping[str, float], cut: float = CORRELATION_CUT
 ) -> tuple[list[str], list[str]]:
-    """Of each strongly correlated pair drop the less important one, in column order.
+    """(kept, dropped): one pass over the pairs above the cut, by the later feature and then the earlier one; the less important
+    of a pair goes (the earlier one if equal), unless one of them went before.
 
-    The pairs above the cut (at most features^2 / 2) are decided on the driver.
+    Pairs are at most features^2 / 2, and which of them still counts depends on all before it, so they are read in order here.
     """
-    strong = {(r.feature_a, r.feature_b) for r in matrix.where(F.col("abs_corr") > cut).collect()}
-    dropped: set[str] = set()
-    for j, later in enumerate(features):
-        for earlier in features[:j]:
-            if (earlier, later) not in strong or dropped & {earlier, later}:
-                continue
-            weaker = later if importance.get(later, 0.0) < importance.get(earlier, 0.0) else earlier
-            dropped.add(weaker)
-    return [f for f in features if f not in dropped], sorted(dropped)
+    place = {f: i for i, f in enumerate(features)}
+    strong = matrix.where(F.col("abs_corr") > cut).select("feature_a", "feature_b").collect()
+    gone: set[str] = set()
+    for _, _, a, b in sorted((place[r.feature_b], place[r.feature_a], r.feature_a, r.feature_b) for r in strong):
+        if gone.isdisjoint((a, b)):
+            gone.add(b if importance.get(b, 0.0) < importance.get(a, 0.0) else a)
+    return [f for f in features if f not in gone], sorted(gone)
 
 
 def weak_feature_filter(scores: DataFrame, max_features: int = MAX_FEATURES, key: str = "product_id") -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 import tapeflow.plans.sql_features  # noqa: F401
 from tapeflow.functions.columns import rounded
+from tapeflow.functions.names import ALL_FEATURES
 from tapeflow.functions.series import Ema, Series, ema, number_rows, running
 from tapeflow.operators import evaluation as V
+from tapeflow.operators import flow_features as FF
 from tapeflow.operators import labels as L
 from tapeflow.operators import monitors as D
 from tapeflow.operators import selection as P
@@ -17,7 +19,7 @@ from tapeflow.operators import signals as G
 from tapeflow.operators import thresholds as Q
 from tapeflow.operators.ohlcv import ohlcv_features, slope_share
 from tapeflow.plans import sql_features as Z
-from tapeflow.plans.catalog.features import NOT_NULL
+from tapeflow.plans.catalog.features import NOT_NULL, merged_flow
 from tapeflow.plans.registry import query, r6, rnd
 from tapeflow.plans.views import CANDLE_SPAN, HOUR, SQL_VIEWS, Inputs
 from tapeflow.session import staged
@@ -397,6 +399,45 @@ def correlation_matrix(x: Inputs):
     return df.withColumn("abs_corr", F.round("abs_corr", 6))
 
 
+PAIR_SQL = ", ".join(f"abs(corr({a}, {b})) AS p{i * len(ALL_FEATURES) + j}" for (i, a), (j, b) in combinations(enumerate(ALL_FEATURES), 2))
+NAMES_SQL = "[" + ", ".join(f"'{f}'" for f in ALL_FEATURES) + "]"
+SQL_VIEWS["pairs"] = (
+    f"""SELECT {NAMES_SQL}[k // {len(ALL_FEATURES)} + 1] AS feature_a, {NAMES_SQL}[k % {len(ALL_FEATURES)} + 1] AS feature_b, k // {len(ALL_FEATURES)} AS i, k % {len(ALL_FEATURES)} AS j,
+          CASE WHEN NOT isnan(c) THEN c END AS abs_corr
+        FROM (SELECT CAST(substr(name, 2) AS INT) AS k, c FROM (SELECT {PAIR_SQL} FROM flow_features WHERE {NOT_NULL}) UNPIVOT INCLUDE NULLS (c FOR name IN (*)))""",
+    ("flow_features",),
+)
+
+
+def _all_pairs(x: Inputs):
+    wide = FF.flow_features(x.candle_table(), staged(merged_flow(x)), CANDLE_SPAN)
+    return staged(P.correlations(wide, list(ALL_FEATURES)))
+
+
+@query("correlation_all_features", f"SELECT feature_a, feature_b, {rnd('abs_corr')} AS abs_corr FROM pairs", ("pairs",))
+def correlation_all_features(x: Inputs):
+    return rounded(_all_pairs(x))
+
+
+@query(
+    "correlation_drop",
+    f"""WITH RECURSIVE w AS (SELECT '{ALL_FEATURES[0]}' AS f, 1e0 AS w UNION ALL SELECT feature_b, coalesce(abs_corr, 0) FROM pairs WHERE i = 0),
+          strong AS (SELECT row_number() OVER (ORDER BY j, i) AS k, feature_a AS a, feature_b AS b, CASE WHEN y.w < x.w THEN feature_b ELSE feature_a END AS weaker
+            FROM pairs JOIN w x ON x.f = feature_a JOIN w y ON y.f = feature_b WHERE abs_corr > 0.85),
+          g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS gone UNION ALL
+            SELECT s.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, weaker) END FROM g JOIN strong s ON s.k = g.k + 1)
+        SELECT f AS feature, {rnd('w')} AS importance, list_contains((SELECT gone FROM g ORDER BY k DESC LIMIT 1), f) AS dropped FROM w""",
+    ("pairs",),
+)
+def correlation_drop(x: Inputs):
+    """Greedy drop over all features; a feature counts as important as it is correlated with the last return."""
+    pairs, first = _all_pairs(x), ALL_FEATURES[0]
+    weight = {first: 1.0} | {r.feature_b: r.abs_corr or 0.0 for r in pairs.where(F.col("feature_a") == first).collect()}  # one row a feature
+    _, gone = P.correlation_filter(pairs, list(ALL_FEATURES), weight)
+    rows = [(f, float(weight[f]), f in set(gone)) for f in ALL_FEATURES]
+    return rounded(x.spark.createDataFrame(rows, "feature string, importance double, dropped boolean"))
+
+
 SCORE_SQL = """SELECT registry_key, 'f' || model_seq % 40 AS feature, avg(sharpe) + 4.1 AS importance, avg(auc_val) - 0.55 AS permutation FROM model_records GROUP BY ALL"""
 
 

@@ -45,3 +45,26 @@ def test_correlations_of_as_many_features_as_the_catalog_has(spark):
     assert got[got["feature_b"] == "f113"]["abs_corr"].isna().all()
     some = got[got["feature_b"] != "f113"].iloc[::37]
     np.testing.assert_allclose(some["abs_corr"], [want.loc[a, b] for a, b in zip(some["feature_a"], some["feature_b"])], rtol=1e-9)
+
+
+def test_correlations_are_pairwise_complete_and_the_drop_is_greedy(spark):
+    rng = np.random.default_rng(4)
+    df = pd.DataFrame(rng.normal(1e3, 1, size=(500, 6)), columns=list("abcdef"))
+    df["b"] = df["a"] + 0.1 * rng.normal(size=500)
+    df["c"] = df["b"] + 0.1 * rng.normal(size=500)
+    df["e"] = 7.0
+    df.loc[rng.random(500) < 0.3, "a"] = np.nan
+    df.loc[rng.random(500) < 0.4, "d"] = np.nan
+    df.loc[df["a"].notna(), "f"] = 5.5  # constant where a is known
+    frame = spark.createDataFrame(df.astype(object).where(df.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in df)).repartition(3)
+    matrix = N.correlations(frame, list(df))
+    got = {(r.feature_a, r.feature_b): r.abs_corr for r in matrix.collect()}
+    assert len(got) == 15 and got["a", "f"] is None and got["a", "e"] is None
+    want = df.corr().abs()
+    for (a, b), v in got.items():
+        if v is not None:
+            assert abs(v - want.loc[a, b]) < 1e-9
+    assert N.correlation_filter(matrix, list(df), {"a": 1.0, "b": 2.0, "c": 1.5})[1] == ["a", "c"]
+    assert N.correlation_filter(matrix, list(df), {"a": 3.0, "b": 2.0, "c": 1.5})[1] == ["b", "c"]
+    assert N.correlation_filter(matrix, list(df), {})[1] == ["a", "b"]
+    assert N.correlations(frame.limit(0), list(df)).where("abs_corr IS NOT NULL").count() == 0
