@@ -2,14 +2,17 @@
 
 Document frequencies come from all rows that may be learned from. The regression is fitted on a bounded sample of them with
 follow-the-regularised-leader and an elastic net; a fifth of the sample is held back to find the temperature of the scores.
-Only letters count: anything else is one blank between words.
+Only letters and the marks on them count (Unicode categories L and M): anything else is one blank between words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,6 @@ from tapeflow.llm.linear import Ftrl, bounded_sample, logits, softmax, temperatu
 
 DIMS_BITS, LONGEST = 15, 3
 DIMS = 1 << DIMS_BITS
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
@@ -33,10 +35,30 @@ class Fit:
     learner: Ftrl = field(default_factory=lambda: Ftrl(alpha=1.0, l1=0.02, l2=0.02))
 
 
+def ranges(chars: np.ndarray) -> str:
+    """Pattern ranges of ascending code points."""
+    first = np.append(True, np.diff(chars) > 1)
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(chars[first], chars[np.append(first[1:], True)], strict=True))
+
+
+@lru_cache(1)
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """What is no letter or mark, and a letter; a quicker pattern for the former, and the characters it gets wrong."""
+    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    kinds = np.array([unicodedata.category(c)[0] for c in every])
+    quick = re.compile(r"[\W\d_]+")
+    word = np.array([not quick.match(c) for c in every])
+    letter, mark = kinds == "L", kinds == "M"
+    sets = [ranges(np.flatnonzero(x)) for x in (letter | mark, letter, word != (letter | mark))]
+    return re.compile(f"[^{sets[0]}]+"), re.compile(f"[{sets[1]}]"), quick, re.compile(f"[{sets[2]}]")
+
+
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashed n-grams of a text and how often each occurs; none without a letter."""
-    letters = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    others, letter, quick, odd = patterns()
+    low = (text or "").lower()
+    letters = (others if odd.search(low) else quick).sub(" ", low).strip()
+    if not letter.search(letters):
         return None
     c = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     h, counts = c.copy(), np.zeros(DIMS, np.int64)
