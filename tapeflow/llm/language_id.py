@@ -43,13 +43,16 @@ def ranges(chars: np.ndarray) -> str:
 
 @lru_cache(1)
 def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
-    """What is no letter or mark, and a letter; a quicker pattern for the former, and the characters it gets wrong."""
+    """What is no letter or mark, and a letter; a quicker pattern for the former, and the characters up to U+FFFF that it gets wrong."""
     every = [chr(i) for i in range(sys.maxunicode + 1)]
     kinds = np.array([unicodedata.category(c)[0] for c in every])
     quick = re.compile(r"[\W\d_]+")
     word = np.array([not quick.match(c) for c in every])
     letter, mark = kinds == "L", kinds == "M"
-    sets = [ranges(np.flatnonzero(x)) for x in (letter | mark, letter, word != (letter | mark))]
+    wrong = word != (letter | mark)
+    # long lists of ranges above U+FFFF make a pattern slow; such texts are told by their largest character
+    wrong[0x10000:] = False
+    sets = [ranges(np.flatnonzero(x)) for x in (letter | mark, letter, wrong)]
     return re.compile(f"[^{sets[0]}]+"), re.compile(f"[{sets[1]}]"), quick, re.compile(f"[{sets[2]}]")
 
 
@@ -57,7 +60,8 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashed n-grams of a text and how often each occurs; none without a letter."""
     others, letter, quick, odd = patterns()
     low = (text or "").lower()
-    letters = (others if odd.search(low) else quick).sub(" ", low).strip()
+    slow = not low.isascii() and (max(low) > "\uffff" or odd.search(low))
+    letters = (others if slow else quick).sub(" ", low).strip()
     if not letter.search(letters):
         return None
     c = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
