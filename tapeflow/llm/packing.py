@@ -8,6 +8,7 @@ rest is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +28,92 @@ from tapeflow.session import staged
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END = 1
 DIMS, BITS = 4, 12
-#: Words, their pre-tokens and letters remembered per worker.
-TABLE_ROWS, PART_ROWS, TABLE_CHARS = 150_000, 400_000, 16_000_000
+#: Words remembered per worker, and their bytes.
+TABLE_ROWS, TABLE_CHARS = 300_000, 16_000_000
+#: Words merged at once.
+STEP = 20_000
+#: What the tokenizer's file has to name for merges by rank: its cut of words into parts, and the mark of a part's last letter.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LAST = "</w>"
+#: Neither stands in a plain word.
+STOP, GAP = "\x01", "\n"
+#: Lower-case words of these letters have no other form after normalization.
+PLAIN = regex.compile("[!-~\u00a1-\u024f]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Merges:
+    """Ids of plain words by merging ranks, with a stop behind each part in the place of the mark of its last letter.
+
+    Equal to the library where tokens are numbered in the order of their merges and each is what its own letters merge to. Both
+    are proven over the vocabulary; ``proven`` is false for another tokenizer.
+    """
+
+    def __init__(self, parts: dict):
+        import tiktoken
+        from tokenizers import models
+
+        model, self.proven = parts["model"], False
+        split = parts["pre_tokenizer"].get("pretokenizers", [{}])
+        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        letters = {c: i for i, c in enumerate(bytes_to_letters())}
+        special = {t["content"] for t in parts["added_tokens"]}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if (
+            steps != ["NFC", "Replace", "Lowercase"]
+            or [x.get("type") for x in split] != ["Split", "ByteLevel"]
+            or split[0]["pattern"] != {"Regex": PARTS}
+            or split[1]["add_prefix_space"]
+            or split[1]["use_regex"]
+            or (model["end_of_word_suffix"], model["ignore_merges"], model["dropout"]) != (LAST, False, None)
+            or any(x not in vocab or x + LAST not in vocab for x in letters)
+            or any("<|" not in x for x in special)
+        ):
+            return
+        made = [vocab[a + b] for a, b in merges]
+        first = min(made, default=0)
+        if any(x >= y for x, y in zip(made, made[1:])) or any(max(vocab[x], vocab[x + LAST]) >= first for x in letters):
+            return
+        whole = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=LAST)
+        inner = {t: i for t, i in vocab.items() if not t.endswith(LAST)}
+        open_end = models.BPE(vocab=inner, merges=[m for m in merges if m[0] + m[1] in inner])
+        for t in vocab:
+            alone = open_end.tokenize(t) if t in inner else whole.tokenize(t[: -len(LAST)])
+            if len(alone) != 1:
+                return
+        # ranks: bytes, then bytes with the stop, then merges in their order
+        named = {bytes([i]): vocab[c] for c, i in letters.items()} | {bytes([i]) + STOP.encode(): vocab[c + LAST] for c, i in letters.items()}
+        for a, b in merges:
+            raw = (a + b).removesuffix(LAST)
+            named[bytes(letters[c] for c in raw) + (STOP.encode() if (a + b).endswith(LAST) else b"")] = vocab[a + b]
+        self.id_of = np.fromiter(named.values(), np.uint32, len(named))
+        self.gap = ord(GAP)
+        ranks = {raw: i for i, raw in enumerate(named)}
+        self.merge = tiktoken.Encoding("parts", pat_str=f"{GAP}|[^{GAP}{STOP}]+{STOP}", mergeable_ranks=ranks, special_tokens={})
+        self.part = regex.compile(PARTS)
+        self.proven = len(ranks) == 2 * len(letters) + len(merges)
+
+    def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain lower-case words one after another, and how many each has."""
+        text = self.part.sub(r"\g<0>" + STOP, GAP.join(found)) + GAP
+        rank = self.merge.encode_to_numpy(text, disallowed_special=())
+        gap = rank == self.gap
+        edge = np.flatnonzero(gap)
+        return self.id_of[rank[~gap]], np.diff(edge, prepend=-1) - 1
+
+
+def bytes_to_letters() -> list[str]:
+    """The letter that stands for each byte: itself where it prints, else the next one from U+0100."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(i if i in prints else next(other)) for i in range(256)]
+
+
 class WordTable(dict):
     """Numbers words between white space; such words encode alone as they do inside a text, as white space is dropped.
 
-    A word of plain Latin letters with full stops or commas behind it is two pre-tokens at most and has no case after
-    normalization, so ``parts`` keeps the ids of lower-case letters and of what follows them.
+    When the table is full, words that came once since the last time are forgotten, and the rarer ones beyond half of the table.
     """
 
     def __init__(self, path: str):
@@ -44,22 +122,35 @@ class WordTable(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        if [self.encode([x])[0].ids for x in ("a B", "a", "b,")] != [[a, b] for a, b in [[self.tokenizer.token_to_id(y + "</w>") for y in "ab"]]] + [
-            [self.tokenizer.token_to_id(y + "</w>") for y in z] for z in ("a", "b,")
+        if [self.encode([x])[0].ids for x in ("a B", "a", "b,")] != [[a, b] for a, b in [[self.tokenizer.token_to_id(y + LAST) for y in "ab"]]] + [
+            [self.tokenizer.token_to_id(y + LAST) for y in z] for z in ("a", "b,")
         ]:
             raise ValueError("this tokenizer does not drop white space and case and cut at commas")
-        self.parts: dict[str, bytes] = {}
-        self.part_chars = 0
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f))
         self.new: list[bytes] = []
-        self.forget()
+        self.ids, self.chars = np.zeros(0, np.uint32), 0
+        self.start, self.size, self.uses = (np.zeros(0, np.int64) for _ in range(3))
 
     def encode(self, found: list[str]):
         return self.tokenizer.encode_batch_fast(found, add_special_tokens=False)
 
     def forget(self) -> None:
+        """Keep the words in use."""
+        least = 2
+        half = TABLE_ROWS // 2
+        if len(self.uses) > half:
+            least = max(least, int(np.partition(self.uses, -half)[-half]) + 1)
+        keep = self.uses >= least
+        kept = [w for w, k in zip(self, keep.tolist(), strict=True) if k]
+        self.chars = sum(map(len, kept))
+        if self.chars > TABLE_CHARS // 2:
+            keep, kept, self.chars = np.zeros(len(keep), bool), [], 0
         self.clear()
-        self.new.clear()
-        self.ids, self.start, self.size, self.chars = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.update(zip(kept, range(len(kept))))
+        self.ids = self.ids[expand(self.start[keep], self.size[keep])]
+        self.size, self.uses = self.size[keep], self.uses[keep] // 2
+        self.start = np.cumsum(self.size) - self.size
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -67,32 +158,36 @@ class WordTable(dict):
         self.chars += len(word)
         return n
 
-    def cut(self, word: bytes) -> tuple[str, str]:
-        text = word.decode("utf-8", "replace")
-        low = text.lower()
-        core = low.rstrip(".,")
-        if core.isalpha() and max(core) < "\u0250":
-            return core, low[len(core) :]
-        return text, ""
+    def found(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one after another, and how many each has."""
+        shown = b"\n".join(some).decode("utf-8", "replace")
+        low = shown.lower().split("\n")
+        if self.merges.proven:
+            plain = np.fromiter((PLAIN.fullmatch(w) is not None and "<|" not in w for w in low), bool, len(low))
+        else:
+            plain = np.zeros(len(low), bool)
+        size = np.zeros(len(low), np.int64)
+        of = np.flatnonzero(plain)
+        ids, size[of] = self.merges.ids([low[i] for i in of.tolist()]) if len(of) else (np.zeros(0, np.uint32), 0)
+        odd = np.flatnonzero(~plain)
+        if not len(odd):
+            return ids, size
+        words_of = shown.split("\n")
+        other = [e.ids for e in self.encode([words_of[i] for i in odd.tolist()])]
+        size[odd] = list(map(len, other))
+        at = np.repeat(plain, size)
+        out = np.empty(len(at), np.uint32)
+        out[at], out[~at] = ids, np.fromiter(chain.from_iterable(other), np.uint32, len(at) - len(ids))
+        return out, size
 
     def look_up(self) -> None:
         """Find the ids of the words that came since."""
         if not self.new:
             return
-        if len(self.parts) > PART_ROWS or self.part_chars > TABLE_CHARS:
-            self.parts.clear()
-            self.part_chars = 0
-        pairs = list(map(self.cut, self.new))
-        unknown = list({x for pair in pairs for x in pair} - self.parts.keys())
-        for i in range(0, len(unknown), 20_000):
-            some = unknown[i : i + 20_000]
-            self.part_chars += sum(map(len, some))
-            self.parts |= {x: np.array(e.ids, np.uint32).tobytes() for x, e in zip(some, self.encode(some), strict=True)}
-        found = [self.parts[a] + self.parts[b] for a, b in pairs]
-        more = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at = len(self.ids) + np.cumsum(more) - more
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
-        self.size, self.start = np.concatenate([self.size, more]), np.concatenate([self.start, at])
+        ids, size = zip(*(self.found(self.new[i : i + STEP]) for i in range(0, len(self.new), STEP)), strict=True)
+        self.ids, self.size = np.concatenate([self.ids, *ids]), np.concatenate([self.size, *size])
+        self.start = np.cumsum(self.size) - self.size
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.new), np.int64)])
         self.new.clear()
 
     def tokens(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +199,7 @@ class WordTable(dict):
         self.look_up()
         count = np.fromiter(map(len, at), np.int64, len(at))
         flat = np.fromiter(chain.from_iterable(at), np.int64, int(count.sum()))
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         size = self.size[flat]
         edge = np.zeros(len(flat) + 1, np.int64)
         np.cumsum(size, out=edge[1:])
