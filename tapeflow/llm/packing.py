@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,15 @@ END = 1
 DIMS, BITS = 4, 12
 #: Words remembered per worker, and their bytes.
 TABLE_ROWS, TABLE_CHARS = 300_000, 16_000_000
-#: Words merged at once.
-STEP = 20_000
+#: Words merged and letters looked up at once.
+STEP, STEP_CHARS = 20_000, 1_000_000
 #: What the tokenizer's file has to name for merges by rank: its cut of words into parts, and the mark of a part's last letter.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LAST = "</w>"
 #: Neither stands in a plain word.
 STOP, GAP = "\x01", "\n"
-#: Lower-case words of these letters have no other form after normalization.
-PLAIN = regex.compile("[!-~\u00a1-\u024f]+")
+#: Letters up to here, in lower case, have no other form after normalization.
+PLAIN_TOP = 0x24F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,13 +95,54 @@ class Merges:
         self.part = regex.compile(PARTS)
         self.proven = len(ranks) == 2 * len(letters) + len(merges)
 
+    def odd(self, low: str, words: int) -> np.ndarray:
+        """Which lines of a text in lower case are no plain words."""
+        code = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        bad = ((code > PLAIN_TOP) | (KIND[np.minimum(code, PLAIN_TOP)] == 0)) & (code != ord(GAP))
+        bad[:-1] |= (code[:-1] == ord("<")) & (code[1:] == ord("|"))  # how the special tokens start
+        at = np.flatnonzero(bad)
+        out = np.zeros(words, bool)
+        if len(at):
+            out[np.searchsorted(np.flatnonzero(code == ord(GAP)), at)] = True
+        return out
+
+    def stopped(self, text: str) -> str:
+        """The text with a stop behind each part of its plain words."""
+        if "'" in text:
+            return self.part.sub(r"\g<0>" + STOP, text)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = KIND[code]
+        ends = np.flatnonzero((kind > 0) & ((kind == DIGIT) | (kind != np.append(kind[1:], 0))))
+        return np.insert(code, ends + 1, ord(STOP)).tobytes().decode("utf-32-le")
+
     def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain lower-case words one after another, and how many each has."""
-        text = self.part.sub(r"\g<0>" + STOP, GAP.join(found)) + GAP
+        quoted = np.fromiter(("'" in w for w in found), bool, len(found))
+        order = np.argsort(quoted, kind="stable")
+        text = ""
+        for some in ([w for w in found if "'" not in w], [w for w in found if "'" in w]):
+            if some:
+                text += self.stopped(GAP.join(some)) + GAP
         rank = self.merge.encode_to_numpy(text, disallowed_special=())
         gap = rank == self.gap
-        edge = np.flatnonzero(gap)
-        return self.id_of[rank[~gap]], np.diff(edge, prepend=-1) - 1
+        size = np.diff(np.flatnonzero(gap), prepend=-1) - 1
+        ids = self.id_of[rank[~gap]]
+        back = np.argsort(order, kind="stable")
+        return ids[expand((np.cumsum(size) - size)[back], size[back])], size[back]
+
+
+LETTER, DIGIT, SIGN = 1, 2, 3
+
+
+def letter_kinds() -> np.ndarray:
+    """Kind of each plain letter, 0 for white space and control letters."""
+    out = np.zeros(PLAIN_TOP + 1, np.uint8)
+    for code in (*range(0x21, 0x7F), *range(0xA1, PLAIN_TOP + 1)):
+        out[code] = {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(code))[0], SIGN)
+    return out
+
+
+KIND = letter_kinds()
 
 
 def bytes_to_letters() -> list[str]:
@@ -152,20 +194,12 @@ class WordTable(dict):
         self.size, self.uses = self.size[keep], self.uses[keep] // 2
         self.start = np.cumsum(self.size) - self.size
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        self.chars += len(word)
-        return n
-
     def found(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words, one after another, and how many each has."""
         shown = b"\n".join(some).decode("utf-8", "replace")
-        low = shown.lower().split("\n")
-        if self.merges.proven:
-            plain = np.fromiter((PLAIN.fullmatch(w) is not None and "<|" not in w for w in low), bool, len(low))
-        else:
-            plain = np.zeros(len(low), bool)
+        low = shown.lower()
+        plain = ~self.merges.odd(low, len(some)) if self.merges.proven else np.zeros(len(some), bool)
+        low = low.split("\n")
         size = np.zeros(len(low), np.int64)
         of = np.flatnonzero(plain)
         ids, size[of] = self.merges.ids([low[i] for i in of.tolist()]) if len(of) else (np.zeros(0, np.uint32), 0)
@@ -180,6 +214,19 @@ class WordTable(dict):
         out[at], out[~at] = ids, np.fromiter(chain.from_iterable(other), np.uint32, len(at) - len(ids))
         return out, size
 
+    def numbers(self, flat: list[bytes]) -> np.ndarray:
+        """Numbers of words; the ids of those that are new have to be found after."""
+        out = np.fromiter(map(self.get, flat, repeat(-1)), np.int64, len(flat))
+        gone = np.flatnonzero(out < 0)
+        if len(gone):
+            missing = [flat[i] for i in gone.tolist()]
+            new = list(dict.fromkeys(missing))
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.new += new
+            self.chars += sum(map(len, new))
+            out[gone] = np.fromiter(map(self.__getitem__, missing), np.int64, len(missing))
+        return out
+
     def look_up(self) -> None:
         """Find the ids of the words that came since."""
         if not self.new:
@@ -194,11 +241,19 @@ class WordTable(dict):
         """All ids of some texts, each with the end id, and the number for each text."""
         if len(self) > TABLE_ROWS or self.chars > TABLE_CHARS:
             self.forget()
-        look = self.__getitem__
-        at = [list(map(look, words(t))) for t in found]
+        count = np.zeros(len(found), np.int64)
+        numbers, flat, chars = [np.zeros(0, np.int64)], [], 0
+        for i, text in enumerate(found):
+            some = words(text)
+            count[i] = len(some)
+            flat += some
+            chars += len(text)
+            if chars > STEP_CHARS:
+                numbers.append(self.numbers(flat))
+                flat, chars = [], 0
+        numbers.append(self.numbers(flat))
         self.look_up()
-        count = np.fromiter(map(len, at), np.int64, len(at))
-        flat = np.fromiter(chain.from_iterable(at), np.int64, int(count.sum()))
+        flat = np.concatenate(numbers)
         self.uses += np.bincount(flat, minlength=len(self.uses))
         size = self.size[flat]
         edge = np.zeros(len(flat) + 1, np.int64)
