@@ -165,7 +165,7 @@ def cell_links(side: np.ndarray, band: int, sig: np.ndarray, sets: list[np.ndarr
 
 
 def classes(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, node, bands) of documents with an id and a word; node is a 64-bit hash of the set of shingles."""
+    """(doc_id, mark, node, bands) of documents with an id and a word; node and mark are 64-bit hashes of the set of shingles and of the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +174,12 @@ def classes(docs: DataFrame, join: Join) -> DataFrame:
             some = [s for s in sets if len(s)]
             node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in some), np.uint64, len(some))
             bands = np.stack([band_keys(signature(s)) for s in some]).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
-            ids = batch.column(0).filter(pa.array(full))
+            ids, mark = (batch.column(c).filter(pa.array(full)) for c in (0, 2))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(node.view(np.int64)), lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, mark, pa.array(node.view(np.int64)), lists], names=["doc_id", "mark", "node", "bands"])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(each, "doc_id long, node long, bands array<long>")
+    marked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(each, "doc_id long, mark long, node long, bands array<long>")
 
 
 def cells_of(nodes: DataFrame, join: Join) -> DataFrame:
@@ -192,18 +193,27 @@ def cells_of(nodes: DataFrame, join: Join) -> DataFrame:
 
 
 def with_sets(cells: DataFrame, docs: DataFrame, first: DataFrame, join: Join) -> DataFrame:
-    """Sets and signatures of the members, made again from the text of one document of each."""
+    """Sets and signatures of the members, made again from the text of one document of each.
+
+    An id may stand for several texts, so a set goes to the node that is its hash and not to all nodes of the id.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(texts(batch.column(2)), join.size)
-            cols = [batch.column(0), batch.column(1), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "copies", "sig", "shingles"])
+            sets = {}
+            for doc_id, found in zip(batch.column(0).to_pylist(), shingle_sets(texts(batch.column(1)), join.size), strict=True):
+                if len(found):
+                    raw = found.tobytes()
+                    sets[doc_id, xxhash.xxh3_64_intdigest(raw)] = found, raw
+            cols = [pa.array([k[0] for k in sets], pa.int64()), pa.array(np.fromiter((k[1] for k in sets), np.uint64, len(sets)).view(np.int64))]
+            cols += [pa.array([signature(x).tobytes() for x, _ in sets.values()], pa.binary()), pa.array([raw for _, raw in sets.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "set_node", "sig", "shingles"])
 
     wanted = first.join(cells.select("node").distinct(), "node", "left_semi")
-    text = wanted.join(docs, wanted["rep"] == docs["doc_id"]).dropDuplicates(["node"]).select("node", "copies", "text")
-    sets = text.mapInArrow(each, "node long, copies long, sig binary, shingles binary")
-    return cells.join(sets, "node")
+    text = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = text.mapInArrow(each, "doc_id long, set_node long, sig binary, shingles binary")
+    own = wanted.join(sets, (wanted["node"] == sets["set_node"]) & (wanted["rep"] == sets["doc_id"]))
+    return cells.join(own.dropDuplicates(["node"]).select("node", "copies", "sig", "shingles"), "node")
 
 
 def compared(members: DataFrame, join: Join) -> DataFrame:
@@ -232,16 +242,8 @@ def compared(members: DataFrame, join: Join) -> DataFrame:
     return near.mapInArrow(each, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, copy_of, kept of every row.
-
-    class_id is the least id that links reach, itself included; n_links counts the other rows whose similarity reaches the
-    threshold, copies included; copy_of is the least id with the same shingles; kept holds for the document that names its class.
-    A text without words links with nothing and is kept, also where it is repeated. A missing id has no class, links with
-    nothing and is kept. Rows of one id count as rows; if their texts differ, each is compared by its own text.
-    """
-    prepare(docs.sparkSession)
-    docs = narrow(docs, id_col, text_col)
+def marked_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """What ``near_duplicates`` gives, with mark, a hash of the text (null where the text has no words); docs as ``narrow`` gives them."""
     all_rows = staged(classes(docs, join))
     first = all_rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     nodes = staged(first)
@@ -249,17 +251,35 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     firsts = nodes.select("node", "rep", "copies")
     found = staged(compared(with_sets(cells, docs, firsts, join), join))
     facts = class_facts(firsts, found)
-    full = all_rows.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "n_links", "copy_of")
+    full = all_rows.select("doc_id", "mark", "node").join(facts, "node").select("doc_id", "mark", "class_id", "n_links", "copy_of")
     bare = docs.where(F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    bare = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_of"))
-    out = full.unionByName(bare)
+    no_links = [F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_of")]
+    out = full.unionByName(bare.select("doc_id", F.lit(None).cast("long").alias("mark"), *no_links))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links, copy_of, kept of every row.
+
+    class_id is the least id that links reach, itself included; n_links counts the other rows whose similarity reaches the
+    threshold, copies included; copy_of is the least id with the same shingles; kept holds for the document that names its class.
+    A text without words links with nothing and is kept, also where it is repeated. A missing id has no class, links with
+    nothing and is kept. Rows of one id count as rows; if their texts differ, each is compared by its own text.
+    """
+    prepare(docs.sparkSession)
+    return marked_duplicates(narrow(docs, id_col, text_col), join).drop("mark")
+
+
 def without_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document names its class, with all their columns unchanged."""
-    gone = near_duplicates(docs, join, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
+    """The rows of ``docs`` whose document names its class, with all their columns unchanged.
+
+    Where rows of one id have different texts, each stays or goes by its own text; rows of the id that names a class stay together.
+    """
+    prepare(docs.sparkSession)
+    found = marked_duplicates(narrow(docs, id_col, text_col), join)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_text")).distinct()
+    same = (docs[id_col].cast("long") == gone["gone"]) & (F.xxhash64(docs[text_col]) == gone["gone_text"])
+    return docs.join(gone, same, "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:
