@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import tapeflow.plans.sql_features  # noqa: F401
 from tapeflow.functions.asof import asof_last
-from tapeflow.functions.columns import rounded
+from tapeflow.functions.columns import epoch_ms, int_div, rounded
+from tapeflow.functions.names import OHLCV_FEATURES
 from tapeflow.operators import ledger as L
 from tapeflow.operators import reports as P
 from tapeflow.operators import risk as R
@@ -266,13 +267,13 @@ def paper_summary(x: Inputs):
 
 
 PNL_SQL = f"""{PAPER_SQL}, f AS (SELECT product_id, count(*) FILTER (decision = 'paper_buy_filled') AS buy_fills, count(*) FILTER (decision LIKE 'paper_exit%') AS sell_fills, sum(realized_pnl) FILTER (decision LIKE 'paper_exit%') AS realized_pnl FROM paper GROUP BY 1),
-  o AS (SELECT product_id, (close - open) * volume AS unrealized_pnl, volume AS open_quantity FROM candles WHERE product_id <> 'VIEW-USD' QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY open_time DESC) = 1),
+  o AS (SELECT product_id, (close - open) * volume AS unrealized_pnl, volume AS open_quantity FROM candles QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY open_time DESC) = 1),
   pnl AS (SELECT product_id, buy_fills, sell_fills, realized_pnl, coalesce(unrealized_pnl, 0e0) AS unrealized_pnl, coalesce(open_quantity, 0e0) AS open_quantity, realized_pnl + coalesce(unrealized_pnl, 0e0) AS total_pnl FROM f LEFT JOIN o USING (product_id))"""
 PNL_COLS = ("realized_pnl", "unrealized_pnl", "open_quantity", "total_pnl")
 
 
 def pnl(x: Inputs):
-    last = x.candle_table().where(F.col("product_id") != "VIEW-USD").groupBy("product_id").agg(
+    last = x.candle_table().groupBy("product_id").agg(
         F.max_by(F.struct(F.col("volume").alias("quantity"), F.col("open").alias("entry_price"), F.col("close").alias("last_price")), "open_time").alias("p")
     ).select("product_id", "p.*")
     return P.pnl_by_product(paper(x), last)
@@ -360,7 +361,7 @@ def prob_alignment(x: Inputs):
     return rounded(P.prob_alignment(s, s.withColumn("prob_buy", F.col("prob_buy") * 0.99 + 0.001), ["product_id", "event_id"]))
 
 
-SNAP = "ret_1 ret_5 ret_15 hl_ratio volume_ratio".split()
+SNAP = OHLCV_FEATURES[:10]
 
 
 @query(
@@ -436,8 +437,19 @@ def daily_realized_vol(x: Inputs):
     return rounded(S.daily_realized_vol(S.within(x.candle_table(), NOW, LOOKBACK)))
 
 
+#: Length and wanted number of the candles that the screen measures, and its clock.
+SUPPLY_MS, SUPPLY_CANDLES, SUPPLY_NOW = 10 * 86_400_000, 210, 1_004_832_000_000
+SQL_VIEWS["supply_candles"] = (
+    f"""SELECT product_id, epoch_us(l_shipdate) // 1000 // {SUPPLY_MS} * {SUPPLY_MS} AS open_time,
+          arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity)) AS close
+        FROM lineitem JOIN products ON l_suppkey = s_suppkey WHERE l_quantity > 0 GROUP BY ALL""",
+    ("products",),
+)
 SQL_VIEWS["stats"] = (
-    "SELECT product_id, (s_suppkey % 11) / 10e0 AS cov, (s_suppkey % 7) / 10e0 AS vol FROM preferred", ("preferred",),
+    f"""WITH c AS (SELECT * FROM supply_candles WHERE open_time >= {SUPPLY_NOW - SUPPLY_CANDLES * SUPPLY_MS}),
+          r AS (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY product_id ORDER BY open_time)) AS r FROM c WHERE close > 0)
+        SELECT product_id, least(count(DISTINCT open_time) / {SUPPLY_CANDLES}e0, 1e0) AS cov, CASE WHEN count(r) >= 2 THEN stddev_pop(r) * sqrt(1440e0) * 100e0 ELSE 0e0 END AS vol FROM r GROUP BY 1""",
+    ("supply_candles",),
 )
 SQL_VIEWS["screened"] = (
     """WITH m AS (SELECT p.*, least(coalesce(cov, 0e0), 1e0) AS candle_coverage_pct, coalesce(vol, 0e0) AS daily_realized_vol_pct, CASE WHEN quote_volume_24h > 0 THEN ln(1e0 + quote_volume_24h) END AS lq FROM preferred p LEFT JOIN stats USING (product_id)),
@@ -453,11 +465,18 @@ SQL_VIEWS["screened"] = (
 )
 
 
+def supply_candles(x: Inputs):
+    """Closes of the candles of all line items of a product's suppliers."""
+    price, time = F.col("l_extendedprice") / F.col("l_quantity"), epoch_ms("l_shipdate")
+    sold = x.table("lineitem").where("l_quantity > 0").join(x.products().select("product_id", "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    last = F.max_by(price, F.struct(time, "l_orderkey", "l_linenumber", price))
+    return sold.groupBy("product_id", (int_div(time, SUPPLY_MS) * SUPPLY_MS).alias("open_time")).agg(last.alias("close"))
+
+
 def screened(x: Inputs):
     pref = staged(preferred(x))
-    stats = pref.select(
-        "product_id", ((F.col("s_suppkey") % 11) / 10.0).alias("candle_coverage_pct"), ((F.col("s_suppkey") % 7) / 10.0).alias("daily_realized_vol_pct")
-    )
+    candles = staged(S.within(supply_candles(x), SUPPLY_NOW, SUPPLY_CANDLES * SUPPLY_MS))
+    stats = S.candle_coverage(candles, SUPPLY_CANDLES).join(S.daily_realized_vol(candles), "product_id", "left")
     return S.screen(pref, pref, stats)
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 import tapeflow.plans.sql_features  # noqa: F401
 from tapeflow.functions import text as X
 from tapeflow.functions.columns import epoch_ms, rounded
-from tapeflow.functions.names import ALL_FEATURES, CANDLE, FLOW_RAW, OHLCV_CATEGORY, TRADE_FLOW
+from tapeflow.functions.names import ALL_FEATURES, BOOK_CANCEL, CANDLE, FLOW_RAW, OHLCV_CATEGORY, TRADE_FLOW
 from tapeflow.operators import candles as C
 from tapeflow.operators import trade_flow as T
 from tapeflow.plans.catalog.candles import CANDLE_SQL
 from tapeflow.plans.registry import query, r6, rnd
 from tapeflow.plans.views import HOUR, Inputs
+from tapeflow.session import staged
 from tapeflow.sources import candles as S
 from tapeflow.sources import feed as M
 from tapeflow.sources import store as H
@@ -178,14 +179,14 @@ def distinct_bases(x: Inputs):
 @query(
     "underfilled_assets",
     """WITH w AS (SELECT DISTINCT product_id FROM trades UNION ALL SELECT DISTINCT 'N' || n_nationkey || '-USD' FROM nation),
-         h AS (SELECT product_id, count(*) AS n FROM candles WHERE trade_count > 2 GROUP BY 1)
+         h AS (SELECT product_id, count(*) AS n FROM candles GROUP BY 1)
        SELECT product_id, coalesce(n, 0) AS rows FROM w LEFT JOIN h USING (product_id) WHERE coalesce(n, 0) < 345""",
     ("trades", "candles"),
 )
 def underfilled_assets(x: Inputs):
     extra = x.table("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit("-USD")).alias("product_id"))
     wanted = x.trades().select("product_id").distinct().unionByName(extra)
-    return H.underfilled(wanted, x.candles().where(F.col("trade_count") > 2), 345)
+    return H.underfilled(wanted, x.candles(), 345)
 
 
 @query(
@@ -258,22 +259,24 @@ def symbol_to_product_id(x: Inputs):
     return x.table("events").select("event_id", X.product_of_symbol(symbol).alias("product_id"))
 
 
+CANDIDATES = [c for c in ALL_FEATURES if c not in BOOK_CANCEL]
+
+
 @query(
     "candidate_features",
-    "SELECT f AS name, count(*) FILTER (v IS NOT NULL) AS known_rows FROM (SELECT * FROM ohlcv UNPIVOT INCLUDE NULLS (v FOR f IN (ret_1, ret_60, atr_pct, bb_pct, volume_ratio, hl_ratio))) GROUP BY 1",
-    ("ohlcv",),
+    f"SELECT name, known_rows FROM (SELECT {', '.join(f'count({c}) AS {c}' for c in CANDIDATES)} FROM flow_features) UNPIVOT (known_rows FOR name IN (*))",
+    ("flow_features",),
 )
 def candidate_features(x: Inputs):
     """Catalog entries that are candidates, with how many rows know them."""
-    from tapeflow.operators.ohlcv import ohlcv_features
+    from tapeflow.operators.flow_features import flow_features
     from tapeflow.operators.selection import feature_catalog
+    from tapeflow.plans.catalog.features import merged_flow
     from tapeflow.plans.views import CANDLE_SPAN
 
-    names = ["ret_1", "ret_60", "atr_pct", "bb_pct", "volume_ratio", "hl_ratio"]
-    wide = ohlcv_features(x.candle_table(), CANDLE_SPAN, drop_incomplete=False, columns=names)
-    long = wide.select(*names).unpivot([], names, "name", "v").groupBy("name").agg(F.count("v").alias("known_rows"))
-    catalog = feature_catalog(x.spark).where(F.col("candidate")).select("name")
-    return long.join(catalog, "name")
+    names = [r.name for r in feature_catalog(x.spark).where("candidate").collect()]  # the catalog is a fixed list
+    wide = flow_features(x.candle_table(), staged(merged_flow(x)), CANDLE_SPAN, drop_incomplete=False)
+    return wide.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "name", "known_rows")
 
 
 @query(
