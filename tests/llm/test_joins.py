@@ -66,6 +66,18 @@ def test_ngram_join(docs, rows, no_docs, block):
         assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in gone)
 
 
+def test_one_id_with_several_texts_keeps_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near_a, near_b = a.replace("a59", "z"), b.replace("b59", "z")
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (5, a), (5, c), (5, c), (6, near_b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs)
+    assert got.columns == ["doc_id", "class_id", "n_links", "copy_of", "kept"]
+    assert Counter((r["doc_id"], r["n_links"]) for r in got.collect()) == Counter([(1, 2), (1, 2), (2, 2), (3, 2), (5, 2), (5, 1), (5, 1), (6, 2)])
+    kept = Counter(tuple(r) for r in ngram_join.without_duplicates(docs).collect())
+    assert kept == Counter([(1, a), (1, b), (5, c), (5, c)])
+
+
 def test_a_large_group_of_near_copies_loses_no_link(spark):
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]

@@ -1,6 +1,7 @@
 """Operators on single documents and on lines, against plain Python."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -236,6 +237,33 @@ def test_packing_is_a_round_trip(docs, rows, no_docs):
     assert packing.packed(no_docs).count() == 0
 
 
+def test_words_have_the_ids_of_the_library(monkeypatch):
+    rng = random.Random(1)
+    letters = "aAbBéÉñİıſßªº½²'\u2019.,-_|<>12\u0301\u00ad\x01\xa0\x85 \n\tΣσς漢😀ŉǅɐ"
+    some = ["İstanbul's", "don'T'll 12½ ª'veº <|endoftext|> a<|b e\u0301 ﬁ a\x01b", "'s't're", "", "x" * 3000, "हिन्दी漢字!!"]
+    some += ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(1500)]
+    for rows, proven in ((300_000, True), (500, True), (300_000, False)):
+        monkeypatch.setattr(packing, "TABLE_ROWS", rows)
+        table = packing.WordTable(packing.tokenizer_path())
+        assert table.merges.proven
+        table.merges.proven = proven
+        for i in range(0, len(some), 100):
+            ids, per_doc = table.tokens(some[i : i + 100])
+            want = [table.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END] for t in some[i : i + 100]]
+            assert ids.tolist() == [x for w in want for x in w] and per_doc.tolist() == list(map(len, want))
+        assert len(table) <= rows + 3000
+
+
+def test_other_tokenizers_are_not_merged_by_rank():
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        parts = json.load(f)
+    assert not packing.Merges(parts | {"normalizer": None}).proven
+    first, second, *rest = parts["model"]["merges"]
+    assert not packing.Merges(parts | {"model": parts["model"] | {"merges": [second, first, *rest]}}).proven
+
+
 def test_hilbert_curve_visits_neighbours():
     import numpy as np
 
