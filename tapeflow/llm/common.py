@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch. Whole texts travel in batches, so memory grows with the
 #: rows of a batch and not with a partition.
 BATCH_ROWS = "1000"
+#: Bytes of text that one task should hold where it needs whole blocks.
+PART_BYTES = 64 << 20
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -31,6 +33,12 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(docs: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> int:
+    """Number of parts of at most about ``part_bytes`` of text, and no fewer than shuffle partitions; reads the texts once."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(width(docs.sparkSession), -(-total // part_bytes))
+
+
 def block_of(col: Column, blocks: int) -> Column:
     """Documents dealt evenly over blocks; a null id counts as an id of its own."""
     return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int")

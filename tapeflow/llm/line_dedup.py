@@ -1,10 +1,11 @@
 """Line dedup by sharded minimal perfect hashes (operator 6).
 
 Documents are dealt into blocks by a hash of their id. A block sends each shard its distinct line hashes with a document count
-and its largest document id, so a line in a third of all documents costs one record a block. A shard adds these up, builds a
-minimal perfect hash over the line hashes found often enough, with arrays of fingerprints and largest ids, and blocks probe
-these arrays with their distinct hashes. What was found goes back to the block as one small table, against which its documents
-are read line by line. Lines themselves are never joined, and texts are shuffled once.
+and its largest document id, so a line in a third of all documents costs one record a block. A shard adds these up and builds a
+minimal perfect hash over all its distinct line hashes, which indexes compact arrays of fingerprints, document counts and largest
+ids; the hashes of each block probe these arrays. Lines found often enough go back to the block as arrays of the same kind,
+and its documents probe them with all their lines at once. Lines themselves are never joined, and texts are shuffled once.
+The number of blocks follows the bytes of the texts, which are read once more for it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeflow.llm.common import block_of, prepare, runs, utf8, width
+from tapeflow.llm.common import block_of, parts_for, prepare, runs, utf8
 
 STRIP = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
@@ -108,7 +109,7 @@ def shard_rows(block: int, entries: np.ndarray, shards: int) -> pa.Table:
     order = np.argsort(shard, kind="stable")
     shard, entries = shard[order], entries[order]
     at = np.flatnonzero(runs(shard))
-    stop = np.append(at[1:], len(shard))
+    stop = np.append(at, len(shard))[1:]
     return pa.table(
         {
             "shard": pa.array(shard[at], pa.int32()),
@@ -118,28 +119,71 @@ def shard_rows(block: int, entries: np.ndarray, shards: int) -> pa.Table:
     )
 
 
-def probe(table: pa.Table, min_docs: int) -> pa.Table:
-    """The lines of a shard that are in enough documents, for each block that holds some."""
+def line_keys(entries: np.ndarray) -> np.ndarray:
+    """Both halves of a line's hash as one key."""
+    return entries["hash"] ^ mixed_bits(entries["print"], 7)
+
+
+class LineArrays:
+    """Arrays over distinct lines, indexed by a minimal perfect hash: fingerprint, number of documents, largest id."""
+
+    def __init__(self, entries: np.ndarray):
+        keys, at = np.unique(line_keys(entries), return_index=True)
+        self.index = PerfectHash(keys)
+        place = self.index.index(keys)
+        self.prints, self.docs, self.last = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
+        self.prints[place] = entries["print"][at]
+        self.docs[place] = np.minimum(entries["docs"][at], 2**32 - 1)
+        self.last[place] = entries["last"][at]
+
+    def probe(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents with each line (0: not in the arrays) and the largest id of these."""
+        docs, last = np.zeros(len(lines), np.uint32), np.zeros(len(lines), np.int64)
+        if not self.index.size or not len(lines):
+            return docs, last
+        at = self.index.index(line_keys(lines))
+        hit = (at >= 0) & (self.prints[at] == lines["print"])
+        docs[hit], last[hit] = self.docs[at[hit]], self.last[at[hit]]
+        return docs, last
+
+
+def shard_answers(table: pa.Table, min_docs: int) -> pa.Table:
+    """For each block, its lines of this shard that are in enough documents, with their counts and largest ids."""
     sent = [np.frombuffer(x, ENTRY) for x in table["entries"].to_pylist()]
-    known = summed(np.concatenate(sent))
-    known = known[known["docs"] >= min_docs]
-    # the two halves of a hash count as one key; halves that agree in the first only are told apart by the fingerprint
-    index = PerfectHash(np.unique(known["hash"] ^ mixed_bits(known["print"], 7)))
-    prints, last = np.zeros(index.size, np.uint64), np.zeros(index.size, np.int64)
-    at = index.index(known["hash"] ^ mixed_bits(known["print"], 7))
-    prints[at], last[at] = known["print"], known["last"]
+    arrays = LineArrays(summed(np.concatenate(sent)))
     blocks, answers = [], []
     for block, entries in zip(table["block"].to_pylist(), sent, strict=True):
-        at = index.index(entries["hash"] ^ mixed_bits(entries["print"], 7))
-        hit = (at >= 0) & (prints[at] == entries["print"]) if index.size else np.zeros(len(entries), bool)
-        if hit.any():
-            found = entries[hit].copy()
-            found["last"] = last[at[hit]]
+        docs, last = arrays.probe(entries)
+        often = docs >= min_docs
+        if often.any():
+            found = entries[often].copy()
+            found["docs"], found["last"] = docs[often], last[often]
             blocks.append(block)
             answers.append(found.tobytes())
     return pa.table({"block": pa.array(blocks, pa.int32()), "entries": pa.array(answers, pa.binary())})
 
 
+def dropped_lines(ids: list[int], lines: list[list[str]], arrays: LineArrays, min_chars: int, min_docs: int) -> dict[int, set[int]]:
+    """For documents that lose some, the numbers of the lines that they lose; all lines are looked up in the arrays at once."""
+    raw, doc, number = [], [], []
+    for i, mine in enumerate(lines):
+        for k, line in enumerate(mine):
+            h = line_hash(line, min_chars)
+            if h is not None:
+                raw.append(h)
+                doc.append(i)
+                number.append(k)
+    halves = np.frombuffer(b"".join(raw), "<u8").reshape(-1, 2)
+    asked = np.zeros(len(raw), ENTRY)
+    asked["hash"], asked["print"] = halves[:, 0], halves[:, 1]
+    docs, last = arrays.probe(asked)
+    doc = np.array(doc, np.int64)
+    gone: dict[int, set[int]] = {}
+    for at in np.flatnonzero((docs >= min_docs) & (last != np.array(ids, np.int64)[doc])).tolist():
+        gone.setdefault(int(doc[at]), set()).add(number[at])
+    return gone
+
+
 def line_dedup(
     docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
 ) -> DataFrame:
@@ -152,7 +196,7 @@ def line_dedup(
     """
     spark = docs.sparkSession
     prepare(spark)
-    partitions = width(spark)
+    partitions = parts_for(docs, text_col)
     blocks, shards = 2 * partitions, partitions
     rest = [c for c in docs.columns if c != text_col and not digest]
     dealt = docs.select(
@@ -170,25 +214,19 @@ def line_dedup(
         return shard_rows(table["block"][0].as_py(), block_entries(ids_of(table), found, min_chars), shards)
 
     def keep(table: pa.Table, known: pa.Table) -> pa.Table:
-        last: dict[bytes, int] = {}
-        for raw in known["entries"].to_pylist():
-            e = np.frombuffer(raw, ENTRY)
-            keys = np.stack([e["hash"], e["print"]], 1).tobytes()
-            last |= {keys[16 * i : 16 * i + 16]: x for i, x in enumerate(e["last"].tolist())}
-        kept, total, gone = [], [], []
-        for doc, text in zip(ids_of(table), table["text"].to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            stay = [x for x in lines if last.get(line_hash(x, min_chars) or b"", doc) == doc]
-            total.append(len(lines))
-            gone.append(len(lines) - len(stay))
-            kept.append(text if len(stay) == len(lines) else "\n".join(stay))
+        arrays = LineArrays(np.concatenate([np.zeros(0, ENTRY), *(np.frombuffer(x, ENTRY) for x in known["entries"].to_pylist())]))
+        found = table["text"].to_pylist()
+        lines = [(x or "").split("\n") for x in found]
+        gone = dropped_lines(ids_of(table), lines, arrays, min_chars, min_docs)
+        total, lost = [len(x) for x in lines], [len(gone.get(i, ())) for i in range(len(lines))]
+        kept = [x if i not in gone else "\n".join(line for k, line in enumerate(lines[i]) if k not in gone[i]) for i, x in enumerate(found)]
         if digest:
             sha = [hashlib.sha256(utf8(x or "")).hexdigest() for x in kept]
-            return pa.table({"doc_id": table["id"], "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+            return pa.table({"doc_id": table["id"], "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(lost, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
         return pa.table(({"rest": table["rest"]} if rest else {}) | {"text": pa.array(kept, pa.string())})
 
     sent = dealt.select("block", "id", "text").groupBy("block").applyInArrow(count, "shard int, block int, entries binary")
-    answers = sent.groupBy("shard").applyInArrow(lambda t: probe(t, min_docs), "block int, entries binary")
+    answers = sent.groupBy("shard").applyInArrow(lambda t: shard_answers(t, min_docs), "block int, entries binary")
     if digest:
         schema = DIGEST
     else:

@@ -127,11 +127,12 @@ class WeakLabels:
     rates: np.ndarray
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200, most_false: float = 5e-4) -> WeakLabels:
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200, most_false: float | None = 5e-4) -> WeakLabels:
         """Expectation-maximisation; labellers start as mostly right on good documents and half right on bad ones.
 
         Kinds of bad documents hardly overlap, so two free classes would split along the largest kind. The heuristics are strict
         instead: a good document is called bad by one of them at the rate ``most_false`` at most, and missed ones are for the data.
+        With None all rates are free, which is right for labellers that err independently in both classes.
         """
         v = unpacked(patterns, labellers)
         rates = np.tile(np.array([[[0.1, 0.85, 0.05]], [[0.1, 0.4, 0.5]]]), (1, labellers, 1))
@@ -144,9 +145,10 @@ class WeakLabels:
                 break
             rates = np.stack([np.stack([(w * (v[:, i] == k)).sum(1) + 0.5 for k in range(3)], 1) for i in range(labellers)], 1)
             rates /= rates.sum(2, keepdims=True)
-            over = np.maximum(0, rates[0, :, BAD] - most_false)
-            rates[0, :, BAD] -= over
-            rates[0, :, GOOD] += over
+            if most_false is not None:
+                over = np.maximum(0, rates[0, :, BAD] - most_false)
+                rates[0, :, BAD] -= over
+                rates[0, :, GOOD] += over
             new = cls(float((total[0] + 1) / (total.sum() + 2)), rates)
             done = np.abs(new.rates - out.rates).max() < 1e-9
             out = new

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import block_of, expand, prepare, runs, spans_to_mask, utf8, width
+from tapeflow.llm.common import block_of, expand, parts_for, prepare, runs, spans_to_mask, utf8
 from tapeflow.llm.line_dedup import NO_ID, mixed_bits
 
 #: Contexts of one anchor: more than IN_BLOCK in a block, or HOT in all, and its strings are dealt singly.
@@ -89,6 +89,8 @@ class Block:
         ids = [NO_ID if x is None else x for x in table["id"].to_pylist()]
         order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
         data = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
+        if len(data) >= 2**32:
+            raise OverflowError(f"a block of {len(data)} bytes: places have four bytes, so its documents need more blocks")
         stops = np.cumsum([len(raw[i]) for i in order], dtype=np.int64)
         return cls(np.array(order), np.array([ids[i] for i in order], np.int64), data, stops, length)
 
@@ -298,7 +300,7 @@ def repeats(
     """
     spark = docs.sparkSession
     prepare(spark)
-    partitions = width(spark)
+    partitions = parts_for(docs, text_col)
     blocks, shards = 2 * partitions, partitions
     dealt = docs.select(
         block_of(F.col(id_col), blocks).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from plain import brute_lines, brute_rules
 
-from tapeflow.llm import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from tapeflow.llm import common, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 
 def by_text(docs, out, *, key="doc_id"):
@@ -97,6 +97,36 @@ def test_perfect_hash_is_minimal_and_rejects_by_fingerprint():
     assert index.index(keys[:0]).tolist() == [] and line_dedup.PerfectHash(keys[:0]).index(keys[:2]).tolist() == [-1, -1]
 
 
+def test_line_arrays_tell_counts_of_all_lines_and_reject_others():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    entries = np.zeros(3000, line_dedup.ENTRY)
+    entries["hash"], entries["print"] = rng.integers(0, 2**63, (2, 3000), np.uint64)
+    entries["docs"], entries["last"] = rng.integers(1, 9, 3000), rng.integers(-5, 10**6, 3000)
+    arrays = line_dedup.LineArrays(entries)
+    docs, last = arrays.probe(entries[::-1])
+    assert (docs[::-1] == entries["docs"]).all() and (last[::-1] == entries["last"]).all()
+    other = entries.copy()
+    other["print"] ^= np.uint64(1 << 40)
+    assert not arrays.probe(other)[0].any() and not line_dedup.LineArrays(entries[:0]).probe(other)[0].any()
+    # the same place in the hash, another fingerprint
+    moved = entries.copy()
+    moved["print"] += np.uint64(1)
+    moved["hash"] = line_dedup.line_keys(entries) ^ line_dedup.mixed_bits(moved["print"], 7)
+    assert (line_dedup.line_keys(moved) == line_dedup.line_keys(entries)).all() and not arrays.probe(moved)[0].any()
+
+
+def test_blocks_follow_the_bytes_of_texts(docs, rows, no_docs, monkeypatch):
+    total = sum(len((r[1] or "").encode()) for r in rows)
+    least = common.width(docs.sparkSession)
+    assert common.parts_for(docs) == common.parts_for(no_docs) == least
+    assert common.parts_for(docs, part_bytes=total // (3 * least)) >= 3 * least
+    plain = Counter(map(tuple, line_dedup.digest(docs).collect()))
+    monkeypatch.setattr(line_dedup, "parts_for", lambda *a: 3 * least)
+    assert Counter(map(tuple, line_dedup.digest(docs).collect())) == plain
+
+
 # --- suffix dedup
 
 
@@ -313,6 +343,20 @@ def test_weak_labels_find_known_rates():
     assert weak.good(np.array([13]))[0] > 0.9 > 0.1 > weak.good(np.array([2 * 9 + 4]))[0]
 
 
+def test_free_weak_labels_find_false_marks_too():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    good = rng.random(40_000) < 0.8
+    false, hit = np.linspace(0.02, 0.1, 7), np.linspace(0.3, 0.8, 7)
+    bad = rng.random((len(good), 7)) < np.where(good[:, None], false, hit)
+    votes = np.where(rng.random(bad.shape) < 0.1, 0, np.where(bad, 2, 1))
+    patterns, counts = np.unique(votes @ 3 ** np.arange(7)[::-1], return_counts=True)
+    weak = quality_classifier.WeakLabels.fit(patterns, counts, 7, most_false=None)
+    rate = weak.rates[:, :, 2] / weak.rates[:, :, 1:].sum(2)
+    assert abs(weak.prior - 0.8) < 0.02 and np.abs(rate[0] - false).max() < 0.01 and np.abs(rate[1] - hit).max() < 0.03
+
+
 def test_quality_classifier_agrees_with_labels_it_never_saw(spark, sf):
     folder = sf.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
