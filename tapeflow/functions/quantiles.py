@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import attach
@@ -36,6 +36,15 @@ def with_stripe(df: DataFrame, keys: Sequence[str], value: str, out: str = "_s")
     return add_stripe(attach(df, cuts, keys, most=CUT_ROWS), value, out)
 
 
+def bounded_percentile(value: str, point: float) -> Column:
+    """The same percentile as a plain aggregate, for groups of bounded span, such as a product's trades in one window.
+
+    Equal values are folded on the map side; a group's distinct values are held at once, so groups that grow with the data
+    take ``exact_percentiles``.
+    """
+    return F.percentile(F.when(~F.isnan(value), F.col(value)), point)
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,39 +7,33 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions.columns import bucket_start, clip, ratio
 from tapeflow.functions.names import TRADE_FLOW
-from tapeflow.functions.quantiles import exact_percentiles
+from tapeflow.functions.quantiles import bounded_percentile
 from tapeflow.operators.candles import is_buy, with_current_bucket
-from tapeflow.session import staged
 
 
 def trade_flow(trades: DataFrame, window: str, no_sells: float = 10.0, nothing: float = 1.0) -> DataFrame:
     """The 13 trade-flow columns per (product, ``window``).
 
     ``no_sells`` / ``nothing`` are the buy/sell ratios of windows without sells
-    and without volume: 10 and 1 live, 0 and 0 historical.
+    and without volume: 10 and 1 live, 0 and 0 historical. All columns, the median among them, come from one
+    aggregate with one shuffle of partial rows; windows without any size are left out.
     """
     keys = ["product_id", window]
-    size, buys, n = F.col("size"), F.col("_buy"), F.col("_n")
-    # Equal sizes are folded on the map side; sums and the median share that table.
-    folded = staged(
-        trades.groupBy(*keys, "size", is_buy().alias("_buy")).agg(
-            F.count(F.lit(1)).alias("_n"), F.sum(F.col("price") * size).alias("_notional")
-        )
-    )
-    sums = folded.groupBy(*keys).agg(
-        F.sum(F.when(buys, size * n).otherwise(0.0)).alias("buy_aggressive_volume"),
-        F.sum(F.when(buys, 0.0).otherwise(size * n)).alias("sell_aggressive_volume"),
-        F.sum(n).alias("trade_count"),
-        F.sum(F.when(buys, n).otherwise(0)).alias("buy_count"),
-        (F.sum(size * n) / F.sum(n)).alias("avg_trade_size"),
+    size, buys = F.col("size"), is_buy()
+    sums = trades.groupBy(*keys).agg(
+        F.sum(F.when(buys, size).otherwise(0.0)).alias("buy_aggressive_volume"),
+        F.sum(F.when(buys, 0.0).otherwise(size)).alias("sell_aggressive_volume"),
+        F.count(F.lit(1)).alias("trade_count"),
+        F.sum(F.when(buys, 1).otherwise(0)).alias("buy_count"),
+        F.avg("size").alias("avg_trade_size"),
         F.max("size").alias("max_trade_size"),
-        F.sum("_notional").alias("_notional"),
+        F.sum(F.col("price") * size).alias("_notional"),
+        bounded_percentile("size", 0.5).alias("median_trade_size"),
     )
-    middle = exact_percentiles(folded, keys, "size", {"median_trade_size": 0.5}, weight="_n")
     bought, sold = F.col("buy_aggressive_volume"), F.col("sell_aggressive_volume")
     total, delta = F.col("total_traded_volume"), F.col("volume_delta")
     return (
-        sums.join(middle, keys)
+        sums.where(F.col("median_trade_size").isNotNull())
         .withColumns(
             {
                 "total_traded_volume": bought + sold,
