@@ -61,6 +61,24 @@ def test_a_cluster_needs_a_shared_folder():
             checkpoint_dir(Session(**conf))
 
 
+@pytest.mark.parametrize("conf", [{"spark.master": "local-cluster[3,4,10240]"}, {"spark.driver.host": "127.0.0.1"}, {"spark.driver.host": "localhost"}])
+def test_a_cluster_of_one_machine_shares_its_folders(conf):
+    from tapeflow.session import checkpoint_dir
+
+    session = Session(**conf, **{"spark.checkpoint.dir": "/tmp/checkpoints"})
+    session.sparkContext, told = session, []
+    session.setCheckpointDir = told.append
+    assert checkpoint_dir(session) == "/tmp/checkpoints" and told == ["/tmp/checkpoints"]
+
+
+@pytest.mark.parametrize("host", ["10.0.0.7", "localhost.example.org", "host"])
+def test_a_driver_that_others_reach_needs_a_shared_folder(host):
+    from tapeflow.session import checkpoint_dir
+
+    with pytest.raises(ValueError, match="share"):
+        checkpoint_dir(Session(**{"spark.driver.host": host, "spark.checkpoint.dir": "/tmp/checkpoints"}))
+
+
 def test_release_deletes_what_was_staged(spark):
     from tapeflow import session
 
