@@ -33,6 +33,20 @@ def test_the_book_reads_the_whole_table(spark, sf):
     assert "FileScan" in lineitem and "GreaterThan" not in lineitem and "LessThan" not in lineitem
 
 
+def test_a_message_is_parsed_once(spark, sf):
+    for name in ("parse_level2", "parse_feed_messages"):
+        made = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert made.count("from_json(") == 1, name
+
+
+def test_every_message_stays_one_row(spark):
+    from tapeflow.sources.feed import parse_messages
+
+    raw = spark.createDataFrame([(1, '{"channel": "l2_data"}'), (2, "no json"), (3, None), (3, None)], "id int, value string")
+    rows = sorted((r.id, r.m and r.m.channel) for r in parse_messages(raw).collect())
+    assert [i for i, _ in rows] == [1, 2, 3, 3] and [c for _, c in rows] == ["l2_data", None, None, None]
+
+
 def test_library_never_uses_local_checkpoints_or_cross_products():
     for path in Path(entry.__file__).parent.joinpath("tapeflow").rglob("*.py"):
         text = path.read_text()
