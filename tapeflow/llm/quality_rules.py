@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tapeflow.llm.common import Ids, narrow, prepare, spans_to_mask, texts, words
 
 SYMBOLS = "#*$%&|<>"
-#: Words of suffixes sorted at once; longer batches are cut at documents.
-SORT_WORDS = 400_000
+#: Words of suffixes sorted at once; longer batches are cut at documents. Results don't depend on it, a worker's memory does.
+SORT_WORDS = 100_000
 METRICS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, "
     "longest_repeat long, base_failed boolean, kept boolean"
@@ -116,26 +116,31 @@ def measure(docs: list[str], limits: Limits) -> dict[str, np.ndarray]:
     """The metrics of some documents, as arrays."""
     n = len(docs)
     out = {c.split()[0]: np.zeros(n, bool if c.endswith("boolean") else np.int64) for c in METRICS.split(", ")}
-    split: list[list[bytes]] = []
-    for i, t in enumerate(docs):
-        split.append(words(t))
-        out["word_chars"][i] = len(t) - sum(map(t.count, " \t\n\x0b\x0c\r"))
-        out["n_symbols"][i] = sum(map(t.count, SYMBOLS))
-        lines = t.split("\n")
-        if len(lines) > 1:
-            full = [x for x in lines if x and x.strip(" \t\x0b\x0c\r")]
-            out["n_dup_lines"][i] = len(full) - len(set(full))
-    lengths = np.array([len(w) for w in split], np.int64)
-    out["n_words"] = lengths
     at = 0
     while at < n:
-        upto, total = at, 0
-        while upto < n and (upto == at or total + lengths[upto] <= SORT_WORDS):
-            total += lengths[upto]
+        # only the words of the documents that are sorted together are held
+        split = [words(docs[at])]
+        total, upto = len(split[0]), at + 1
+        while upto < n:
+            more = words(docs[upto])
+            if total + len(more) > SORT_WORDS:
+                break
+            split.append(more)
+            total += len(more)
             upto += 1
-        part = lengths[at:upto]
+        for i in range(at, upto):
+            t = docs[i]
+            out["word_chars"][i] = len(t) - sum(map(t.count, " \t\n\x0b\x0c\r"))
+            out["n_symbols"][i] = sum(map(t.count, SYMBOLS))
+            lines = t.split("\n")
+            if len(lines) > 1:
+                full = [x for x in lines if x and x.strip(" \t\x0b\x0c\r")]
+                out["n_dup_lines"][i] = len(full) - len(set(full))
+        part = np.array([len(w) for w in split], np.int64)
+        out["n_words"][at:upto] = part
         number = Ids()
-        ids = np.fromiter((number[w] for ws in split[at:upto] for w in ws), np.int64, total)
+        ids = np.fromiter((number[w] for ws in split for w in ws), np.int64, total)
+        del split, number
         doc = np.repeat(np.arange(upto - at), part)
         stops = np.cumsum(part)
         longest = repeated(ids, doc, np.repeat(stops, part))
@@ -148,6 +153,7 @@ def measure(docs: list[str], limits: Limits) -> dict[str, np.ndarray]:
         np.maximum.at(best, doc, longest)
         out["longest_repeat"][at:upto] = best
         at = upto
+    lengths = out["n_words"]
     out["base_failed"] = (lengths < limits.min_words) | (100 * out["n_repeat_words"] > limits.max_repeat_pct * lengths)
     worse = (100 * out["covered_words"] > limits.max_covered_pct * lengths) | (out["longest_repeat"] > limits.max_repeat)
     out["kept"] = ~out["base_failed"] & ~worse

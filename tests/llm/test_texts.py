@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -372,3 +373,15 @@ def test_quality_classifier_of_odd_rows(docs, rows, no_docs):
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     assert all(0 <= r["score"] <= 1 for r in got)
     assert quality_classifier.score_quality(no_docs, quality_classifier.fit_quality_model(no_docs)).count() == 0
+
+
+def test_quality_rules_hold_the_words_of_one_sort_at_a_time():
+    docs = [" ".join(f"w{i}x{j}" for j in range(900)) for i in range(1500)] + ["", "na " * 2000]
+    apart = [quality_rules.measure([d], quality_rules.Limits()) for d in docs[-3:]]
+    tracemalloc.start()
+    got = quality_rules.measure(docs, quality_rules.Limits())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    for name, found in got.items():
+        assert found[-3:].tolist() == [x[name][0] for x in apart], name
