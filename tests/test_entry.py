@@ -1,6 +1,10 @@
 """The driver contract and the shape of important plans."""
 
+import os
 import re
+import subprocess
+import sys
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -93,6 +97,31 @@ def test_a_driver_that_others_reach_needs_a_shared_folder(host):
         checkpoint_dir(Session(**{"spark.driver.host": host, "spark.checkpoint.dir": "/tmp/checkpoints"}))
 
 
+STAGED_ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+
+out, *names = sys.argv[1:]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.checkpoint.dir": f"{out}/kept", "spark.local.dir": f"{out}/local", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+for name in names:
+    entry.queries()[name](spark, f"{out}/in").write.parquet(f"{out}/{name}")
+"""
+
+
+def test_queries_that_stage_give_the_same_rows_on_a_local_cluster(spark, tmp_path):
+    names, start = ["asof_last_close", "calibrate"], datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(minutes=7 * i), i * 37 % 101, "ab"[i % 2], float(i * 29 % 97), f'{{"k": {i % 50}}}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/in/events.parquet")
+    # another process, as a process has one session's master
+    subprocess.run([sys.executable, "-c", STAGED_ON_A_CLUSTER, str(tmp_path), *names], check=True, timeout=300, cwd=Path(entry.__file__).parent, env=os.environ | {"PYTHONPATH": str(Path(entry.__file__).parent)})
+    assert [*(tmp_path / "kept").glob("stage-*")]
+    for name in names:
+        here, there = entry.queries()[name](spark, f"{tmp_path}/in"), spark.read.parquet(f"{tmp_path}/{name}")
+        assert here.count() and sorted(map(str, here.collect())) == sorted(map(str, there.collect())), name
+
+
 def test_release_deletes_what_was_staged(spark):
     from tapeflow import session
 
