@@ -1,17 +1,17 @@
-"""Embedding near-duplicates by a subspace pigeonhole join (operator 5).
+"""Embedding near-duplicates by exact comparison of packed blocks (operator 5).
 
-Unit vectors of cosine c are at squared distance 2 - 2c. Vectors are turned by a fixed random rotation and cut into blocks of a
-few dimensions; two vectors within a squared distance are within their proportional share of it in one block at least. Each block
-is a range join: its first coordinates give a grid of cells twice as wide as the block's reach, and a vector also visits the cells
-next to it that its reach touches. Vectors that share a cell, label and size are compared by the block's distance, and pairs that pass are
-verified by their cosine in double precision.
+Vectors in many dimensions that point anywhere share no cell of any grid that keeps all near pairs, so the pairs of a label are all
+compared, cheaply and without copying vectors. Equal vectors are one node; nodes are packed into blocks of one label and size and
+written once. Tasks read pairs of files of that table, so nothing is shuffled for a comparison. The first coordinates of the rotated unit
+vectors and the length of the others bound the cosine from above by one product of small matrices; pairs that pass are compared whole
+in single precision, and those within its rounding of the threshold by their cosine in double precision.
 
-Equal vectors are one node before anything is compared. Cells above a size are dealt over pairs of blocks, and tasks return the
-number of links and one link to a root for each vector, never pairs.
+Tasks return one row for each node with links: their number and one link to a root, never pairs.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,20 +22,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import joined_groups, prepare
-from tapeflow.llm.components import class_facts, dealt_cells, roots
+from tapeflow.llm.common import BATCH_ROWS, prepare
+from tapeflow.llm.components import class_facts, roots
 from tapeflow.session import staged
 
-SLACK = 1e-9
+#: Bytes of the vectors of one block at most, and blocks of one file: a reader holds the blocks of a file at once.
+BLOCK_BYTES = 1 << 20
+FILE_BLOCKS = 16
+#: Pairs of blocks of one Arrow batch, prepared blocks kept by a task, and left rows of one product.
+BATCH_PAIRS = "4"
+KEPT_BLOCKS = 32
+TILE = 256
+#: Links held before they are folded into roots.
+HELD_LINKS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Search:
-    """Least cosine; dimensions of a block; coordinates of its grid; members of a cell's block."""
+    """Least cosine; coordinates compared first; members of a block."""
 
     threshold: float = 0.93
-    dims: int = 8
-    grid: int = 2
+    prefix: int = 24
     members: int = 2048
 
 
@@ -45,122 +52,183 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def pieces(dim: int, search: Search) -> list[tuple[slice, float]]:
-    """Each block's dimensions and its share of the squared distance."""
-    budget = 2 - 2 * search.threshold
-    cuts = [*range(0, dim, search.dims), dim]
-    return [(slice(a, b), budget * (b - a) / dim + SLACK) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def usable(v: np.ndarray) -> bool:
+    """Can the vector (in double precision) link? Not if empty, zero, or with a number that is null or not finite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.sqrt(np.dot(v, v))
+    return bool(len(v) and np.isfinite(v).all() and np.isfinite(size) and size > 0)
+
+
+class Block:
+    """Nodes of one label and size, ready to be compared."""
+
+    def __init__(self, nodes: bytes, copies: bytes, vectors: bytes, kind: str, search: Search) -> None:
+        self.nodes, self.copies = np.frombuffer(nodes, np.int64), np.frombuffer(copies, np.int64)
+        self.raw = np.frombuffer(vectors, kind).reshape(len(self.nodes), -1)
+        v = self.raw.astype(np.float64)
+        self.norm = np.linalg.norm(v, axis=1)
+        #: the cosine is only rounded as usual where products of norms are far from the limits of a double
+        self.plain = (self.norm > 1e-100) & (self.norm < 1e100)
+        dim = v.shape[1]
+        x = (v / self.norm[:, None]) @ rotation(dim)
+        k = min(search.prefix, dim)
+        rest = np.sqrt((x[:, k:] ** 2).sum(1))
+        self.unit = x.astype(np.float32)
+        self.head = np.column_stack([x[:, :k], rest]).astype(np.float32)
+        #: twice the most that rounding to single precision moves a product of unit vectors
+        self.slack = np.float32((dim + 8) * 2.0**-23)
+
+    def links(self, other: Block, search: Search) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked places (here, there), each pair once, a tile at a time."""
+        least, sure = np.float32(search.threshold) - self.slack, np.float32(search.threshold) + self.slack
+        for a in range(0, len(self.nodes), TILE):
+            # inside a block, only later members
+            b = a if other is self else 0
+            near = self.head[a : a + TILE] @ other.head[b:].T >= least
+            if other is self:
+                near = np.triu(near, 1)
+            found = np.count_nonzero(near)
+            if not found:
+                continue
+            if found * 32 > near.size:
+                cosine = self.unit[a : a + TILE] @ other.unit[b:].T
+                i, j = np.nonzero(near & (cosine >= least))
+                cosine = cosine[i, j]
+                i, j = i + a, j + b
+            else:
+                i, j = np.nonzero(near)
+                i, j = i + a, j + b
+                cosine = np.einsum("ij,ij->i", self.unit[i], other.unit[j])
+                good = cosine >= least
+                i, j, cosine = i[good], j[good], cosine[good]
+            good = (cosine >= sure) & self.plain[i] & other.plain[j]
+            doubt = np.flatnonzero(~good)
+            for s in range(0, len(doubt), 100_000):
+                at = doubt[s : s + 100_000]
+                u, v = i[at], j[at]
+                exact = (self.raw[u].astype(np.float64) * other.raw[v].astype(np.float64)).sum(1) / (self.norm[u] * other.norm[v])
+                good[at] = exact >= search.threshold
+            if good.any():
+                yield i[good], j[good]
+
+
+class Found:
+    """Links and roots of the nodes of all blocks that a task has compared."""
+
+    def __init__(self) -> None:
+        self.at: dict[int, int] = {}
+        self.nodes: list[np.ndarray] = []
+        self.number: list[np.ndarray] = []
+        self.start: list[int] = []
+        self.size = 0
+        self.root = np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held_links = 0
+
+    def place(self, key: int, block: Block) -> int:
+        if key not in self.at:
+            self.at[key] = len(self.nodes)
+            self.nodes.append(block.nodes)
+            self.number.append(np.zeros(len(block.nodes), np.int64))
+            self.start.append(self.size)
+            self.root = np.append(self.root, np.arange(self.size, self.size + len(block.nodes)))
+            self.size += len(block.nodes)
+        return self.at[key]
+
+    def add(self, left: tuple[int, Block], right: tuple[int, Block], search: Search) -> None:
+        for i, j in left[1].links(right[1], search):
+            p, q = self.place(*left), self.place(*right)
+            self.number[p] += np.bincount(i, right[1].copies[j], len(left[1].nodes)).astype(np.int64)
+            self.number[q] += np.bincount(j, left[1].copies[i], len(right[1].nodes)).astype(np.int64)
+            i, j = self.root[i + self.start[p]], self.root[j + self.start[q]]
+            new = i != j
+            self.held.append((i[new], j[new]))
+            self.held_links += np.count_nonzero(new)
+            if self.held_links > HELD_LINKS:
+                self.fold()
+
+    def fold(self) -> None:
+        if self.held:
+            i, j = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            self.root = roots(i, j, self.size)[self.root]
+            self.held, self.held_links = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.fold()
+        nodes = np.concatenate([np.zeros(0, np.int64), *self.nodes])
+        number = np.concatenate([np.zeros(0, np.int64), *self.number])
+        at = np.flatnonzero(number)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (nodes[at], number[at], nodes[self.root[at]])], names=["node", "links", "root"])
+
+
+def packed(nodes: DataFrame, kind: str, search: Search) -> DataFrame:
+    """Blocks of nodes of one label and size: (key, label, dim, nodes, reps, copies, vectors); the key is its first node."""
+    width = np.dtype(kind).itemsize
+
+    def block(label: str, dim: int, rows: list[tuple]) -> pa.RecordBatch:
+        node, rep, copies, raw = zip(*rows, strict=True)
+        cells = [node[0], label, dim, *(np.array(c, np.int64).tobytes() for c in (node, rep, copies)), b"".join(raw)]
+        types = (pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names=["key", "label", "dim", "nodes", "reps", "copies", "vectors"])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for label, dim, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (now != (label, dim) or len(rows) >= min(search.members, max(1, BLOCK_BYTES // (dim * width)))):
+                    yield block(*now, rows)
+                    rows = []
+                now = (label, dim)
+                rows.append(row)
+        if rows:
+            yield block(*now, rows)
 
-def turned(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors, rotated one by one so that equal input gives equal output anywhere."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.einsum("ij,jk->ik", unit, rotation(vectors.shape[1]))
+    dim = F.expr(f"octet_length(vector) div {width}").cast("int")
+    rows = nodes.select("label", dim.alias("dim"), "node", "rep", "copies", "vector").sortWithinPartitions("label", "dim")
+    return rows.mapInArrow(each, "key long, label string, dim int, nodes binary, reps binary, copies binary, vectors binary")
 
 
-def usable(vector: list | None) -> np.ndarray | None:
-    """The vector in double precision, none if it can't link."""
-    if not vector or None in vector:
-        return None
-    v = np.array(vector, np.float64)
-    with np.errstate(over="ignore"):
-        size = np.sqrt(np.dot(v, v))
-    return v if np.isfinite(v).all() and np.isfinite(size) and size > 0 else None
+def firsts(blocks: DataFrame) -> DataFrame:
+    """(node, rep, copies) of all nodes."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, np.int64)) for c in row], names=["node", "rep", "copies"])
 
-def visits(point: np.ndarray, number: int, square: float, search: Search) -> list[tuple[bytes, bool]]:
-    """Cells of one vector's block, and whether it is at home there."""
-    reach = np.sqrt(square)
-    x = point[: search.grid]
-    home = tuple(np.floor(x / (2 * reach)).astype(int).tolist())
-    low, high = np.floor((x - reach) / (2 * reach)).astype(int), np.floor((x + reach) / (2 * reach)).astype(int)
-    cells = [()]
-    for a, b in zip(low.tolist(), high.tolist(), strict=True):
-        cells = [(*c, k) for c in cells for k in range(a, b + 1)]
-    return [(repr((number, c)).encode(), c == home) for c in cells]
+    return blocks.select("nodes", "reps", "copies").mapInArrow(each, "node long, rep long, copies long")
 
 
-def placed(nodes: DataFrame, search: Search) -> DataFrame:
-    """(key, piece, home, node): every cell of every node."""
+def compared(blocks: DataFrame, kind: str, search: Search) -> DataFrame:
+    """(node, links, root) for every node and task in which it has links.
+
+    Files are read against files (a product of two tables has no shuffle); of the two orders of a pair of blocks one is taken,
+    by a bit of both keys, so that work is even.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[int, Block] = OrderedDict()
+
+        def ready(key: int, batch: pa.RecordBatch, side: str, row: int) -> tuple[int, Block]:
+            if key not in kept:
+                kept[key] = Block(*(batch[f"{side}_{c}"][row].as_py() for c in ("nodes", "copies", "vectors")), kind, search)
+            kept.move_to_end(key)
+            if len(kept) > KEPT_BLOCKS:
+                kept.popitem(last=False)
+            return key, kept[key]
+
+        found = Found()
         for batch in batches:
-            out: list[tuple] = []
-            for node, label, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                v = turned(np.frombuffer(raw, np.float64)[None])[0]
-                for i, (part, square) in enumerate(pieces(len(v), search)):
-                    for cell, home in visits(v[part], i, square, search):
-                        key = xxhash.xxh3_64_intdigest(cell + repr((label, len(v))).encode()) - 2**63
-                        out.append((key, i, home, node))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "piece", "home", "node"])
-
-    return nodes.select("node", "label", "vector").mapInArrow(each, "key long, piece int, home boolean, node long")
-
-
-def cell_links(side: np.ndarray, piece: int, home: np.ndarray, node: np.ndarray, vectors: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a cell whose first block within its share is this one."""
-    x = turned(vectors)
-    parts = pieces(x.shape[1], search)
-    part, square = parts[piece]
-    p = x[:, part]
-    own = (p * p).sum(1)
-    norm = np.linalg.norm(vectors, axis=1)
-    inside = side[0] == 2
-    left = np.flatnonzero(side != 1)
-    right = left if inside else np.flatnonzero(side == 1)
-    found = []
-    for k in range(0, len(left), 256):
-        a = left[k : k + 256]
-        near = own[a][:, None] + own[right] - 2 * p[a] @ p[right].T <= square + 1e-7
-        i, j = np.nonzero(near)
-        i, j = a[i], right[j]
-        once = np.where(home[i] & home[j], True, np.where(home[i], node[i] < node[j], home[j] & (node[j] < node[i])))
-        # a pair inside a cell comes in both orders, at home once
-        once &= (i < j) if inside else True
-        i, j = i[once], j[once]
-        for s in range(0, len(i), 100_000):
-            u, v = i[s : s + 100_000], j[s : s + 100_000]
-            gap = (x[u] - x[v]) ** 2
-            good = gap[:, part].sum(1) <= square
-            for before, most in parts[:piece]:
-                good &= gap[:, before].sum(1) > most
-            u, v = u[good], v[good]
-            cosine = (vectors[u] * vectors[v]).sum(1) / (norm[u] * norm[v])
-            good = cosine >= search.threshold
-            found.append((u[good], v[good]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-
-def compared(members: DataFrame, search: Search) -> DataFrame:
-    """(node, links, root) for every vector and cell in which it has links."""
+            for row, (a, b) in enumerate(zip(batch["l_key"].to_pylist(), batch["r_key"].to_pylist(), strict=True)):
+                found.add(ready(a, batch, "l", row), ready(b, batch, "r", row), search)
+        yield found.rows()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in joined_groups(batches, "cell"):
-            cell = table["cell"].to_numpy()
-            side, piece, node, copies = (table[c].to_numpy() for c in ("side", "piece", "node", "copies"))
-            home = table["home"].to_numpy(zero_copy_only=False)
-            raw = table["vector"].to_pylist()
-            cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            out = []
-            for a, b in zip(cut, np.append(cut[1:], len(cell)), strict=True):
-                if not home[a:b].any() or b - a < 2:
-                    continue
-                vectors = np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, -1)
-                i, j = cell_links(side[a:b], int(piece[a]), home[a:b], node[a:b], vectors, search)
-                if len(i):
-                    c = copies[a:b]
-                    links = np.bincount(i, c[j], b - a) + np.bincount(j, c[i], b - a)
-                    at = np.flatnonzero(links)
-                    out.append((node[a:b][at], links[at].astype(np.int64), node[a:b][roots(i, j, b - a)[at]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["node", "links", "root"])
-
-    rows = members.select("cell", "side", "piece", "home", "node", "copies", "vector").repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(each, "node long, links long, root long")
+    sides = [blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "label", "dim", "nodes", "copies", "vectors")]) for s in "lr"]
+    left, right = F.col("l_key"), F.col("r_key")
+    once = (left == right) | ((left < right) == (left.bitwiseXOR(right).bitwiseAND(1) == 0)) & (left != right)
+    same = (F.col("l_label") == F.col("r_label")) & (F.col("l_dim") == F.col("r_dim"))
+    pairs = sides[0].join(sides[1].hint("shuffle_replicate_nl"), same & once)
+    return pairs.drop("l_label", "r_label", "l_dim", "r_dim").mapInArrow(each, "node long, links long, root long")
 
 
 def near_vectors(table: DataFrame, search: Search = Search(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -170,27 +238,41 @@ def near_vectors(table: DataFrame, search: Search = Search(), id_col: str = "vec
     a null or a number that is not finite links with nothing, as does one without a label or an id; it is its own component and is
     kept. Vectors of different sizes do not link. Rows of one id are linked as rows; their component is the least id reached.
     """
-    prepare(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    spark = table.sparkSession
+    prepare(spark)
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, array = ("f4", "array<float>") if single else ("f8", "array<double>")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(array).alias("vector"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, raws = [], []
-            for vec_id, label, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v = usable(vector) if vec_id is not None and label is not None else None
-                raws.append(None if v is None else v.tobytes())
-                nodes.append(None if v is None else xxhash.xxh3_64_intdigest(v.tobytes() + label.encode()) - 2**63)
+            for vec_id, label, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                node = raw = None
+                if vec_id is not None and label is not None and vector.is_valid:
+                    v = vector.values.to_numpy(zero_copy_only=False)
+                    wide = v.astype(np.float64)
+                    if usable(wide):
+                        node, raw = xxhash.xxh3_64_intdigest(wide.tobytes() + label.encode()) - 2**63, v.astype(kind).tobytes()
+                nodes.append(node)
+                raws.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1), pa.array(raws, pa.binary())], names=["vec_id", "node", "label", "vector"])
 
-    rows = staged(rows.mapInArrow(clean, "vec_id long, node long, label string, vector binary"))
-    full = rows.where("node IS NOT NULL")
-    nodes = staged(full.groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector")))
-    cells = staged(placed(nodes, search))
-    crowded = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / search.members).cast("int").alias("blocks"))
-    members = dealt_cells(cells.join(crowded, "key"), ["piece", "home", "node"]).join(nodes.select("node", "copies", "vector"), "node")
-    facts = class_facts(nodes.select("node", "rep", "copies"), staged(compared(members, search)))
-    out = full.select("vec_id", "node").join(facts, "node").select("vec_id", "n_links", F.col("class_id").alias("component_id"))
-    alone = rows.where("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rows = rows.mapInArrow(clean, "vec_id long, node long, label string, vector binary")
+    ids = staged(rows.select("vec_id", "node"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector")
+    )
+    blocks = staged(packed(nodes, kind, search), maxRecordsPerFile=FILE_BLOCKS, compression="none")
+    batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch_rows, BATCH_PAIRS)
+    try:
+        found = staged(compared(blocks, kind, search))
+    finally:
+        spark.conf.set(batch_rows, BATCH_ROWS)
+    facts = class_facts(firsts(blocks), found)
+    out = ids.where("node IS NOT NULL").join(facts, "node").select("vec_id", "n_links", F.col("class_id").alias("component_id"))
+    alone = ids.where("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -3,12 +3,14 @@
 import math
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from plain import brute_lines, brute_rules
 
+from tapeflow import session
 from tapeflow.llm import mixing, ngram_join, packing, vector_join
 from tapeflow.llm.components import components, roots
 
@@ -141,6 +143,22 @@ def test_vector_join(spark, members):
         assert vector_join.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_are_written_once_and_not_copied_to_be_compared(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((4000, 64)).astype(np.float32)
+    v[1::4] = v[::4] + rng.standard_normal((1000, 64)).astype(np.float32) * 0.3
+    label = rng.integers(0, 3, 4000)
+    label[1::4] = label[::4]
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum(1) - 1
+    table = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    before = {p for paths in session._STAGED.values() for p in paths}
+    got = {r.vec_id: r.n_links for r in vector_join.near_vectors(table, vector_join.Search(members=100)).collect()}
+    assert [got[i] for i in range(4000)] == want.tolist() and want.sum() > 1000
+    written = [Path(p.removeprefix("file:")) for paths in session._STAGED.values() for p in paths if p not in before]
+    assert sum(f.stat().st_size for p in written for f in p.rglob("*.parquet")) < 2 * v.nbytes
+
+
 def test_pipeline_stages_against_plain_python(spark, docs, first_rows):
     """Each stage on what the one before kept."""
     docs = spark.createDataFrame(first_rows, "doc_id long, text string, lang string, source string, n_chars long")
