@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +61,46 @@ def gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame |
     if not frames:
         return None
     return pd.concat(frames, ignore_index=True).sort_values(order, kind="mergesort").reset_index(drop=True)
+
+
+#: Rows of one key that a worker sorts at once, and rows of one piece of a sorted run on disk.
+HELD_ROWS, PIECE_ROWS = 200_000, 1_000
+
+
+def in_order(batches: Iterable[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
+    """All rows of one key in one trigger as named tuples in order, ties as they came, nulls last.
+
+    More than ``HELD_ROWS`` are sorted in runs, written to a temporary file of the worker and merged, so that memory does not
+    grow with the rows of a key.
+    """
+    held: list[pd.DataFrame] = []
+    runs: list[list[int]] = []
+    with tempfile.TemporaryFile() as file:
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= HELD_ROWS:
+                rows = list(gather(iter(held), order).itertuples(index=False, name=None))
+                places = []
+                for a in range(0, len(rows), PIECE_ROWS):
+                    places.append(file.seek(0, 2))
+                    pickle.dump(rows[a : a + PIECE_ROWS], file, pickle.HIGHEST_PROTOCOL)
+                runs.append(places)
+                names, held = list(batch.columns), []
+        last = gather(iter(held), order)
+        if not runs:
+            yield from last.itertuples(index=False, name="Event") if last is not None else ()
+            return
+        at = [names.index(c) for c in order]
+
+        def read(places: list[int]) -> Iterator[tuple]:
+            for place in places:
+                file.seek(place)
+                yield from pickle.load(file)
+
+        def key(row: tuple) -> list[tuple]:
+            return [(True, 0) if row[i] is None or row[i] != row[i] else (False, row[i]) for i in at]
+
+        streams = [read(places) for places in runs]
+        if last is not None:
+            streams.append(last[names].itertuples(index=False, name=None))
+        yield from map(namedtuple("Event", names)._make, heapq.merge(*streams, key=key))

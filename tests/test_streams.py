@@ -1,5 +1,8 @@
 """Streaming jobs agree with their batch operators."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tapeflow.operators import book as B
+from tapeflow.operators import ledger as L
 from tapeflow.streaming import base as S
+from tapeflow.streaming import jobs as J
 from tapeflow.streaming import orderflow as O
 
 Q = entry.queries()
@@ -44,6 +49,34 @@ def test_positions_match_the_ledger(spark, sf):
     pd.testing.assert_frame_equal(rows(batch), rows(Q["stream_positions"](spark, sf)), check_dtype=False)
 
 
+def test_positions_of_a_large_trigger_are_walked_in_pieces(monkeypatch):
+    monkeypatch.setattr(S, "HELD_ROWS", 5_000, raising=False)
+    monkeypatch.setattr(J, "FILL_ROWS", 500, raising=False)
+    rng = np.random.default_rng(6)
+    n = 120_000
+    kind = rng.choice([0, 1], n, p=[0.95, 0.05])
+    table = pd.DataFrame({
+        "run": "a", "product_id": "A-USD", "ts_ms": rng.integers(0, n // 2, n) * 20_000, "kind": kind, "event_seq": rng.integers(0, 3, n),
+        "close": np.where(kind == 0, 100 + rng.normal(0, 2, n).round(3), np.nan), "prob_buy": np.where(kind == 1, 0.5, np.nan),
+    })
+    table["signal"] = np.where(kind == 1, rng.choice(["BUY", "EXIT_LONG", "HOLD"], n, p=[0.4, 0.2, 0.4]), None)
+    table["actionable"] = np.where(kind == 1, True, None)
+    table["model_id"] = np.where(kind == 1, "m1", None)
+    table = table[L.EVENT_COLUMNS]
+    cfg, now = L.LedgerConfig(), dict(L.FLAT)
+    want = L.walk(("a", "A-USD"), table, now, cfg)
+    saved = []
+    processor = J.PositionProcessor(cfg)
+    processor.state = SimpleNamespace(exists=lambda: False, get=lambda: None, update=saved.append)
+    tracemalloc.start()
+    got = [f.drop(columns=["run", "product_id"]) for f in processor.handleInputRows(("a", "A-USD"), (table[i : i + 1_000] for i in range(0, n, 1_000)), None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), want.drop(columns=["run", "product_id"]), check_dtype=False)
+    assert len(saved) == 1 and saved[0][0] == now["last_close"] and saved[0][1] == now["open"]
+    assert peak < 12_000_000
+
+
 def test_order_flow_with_book_and_snapshots(spark):
     rng = np.random.default_rng(4)
     events, snap = [], 0
