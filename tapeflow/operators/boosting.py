@@ -50,22 +50,28 @@ def truncated(model: GBTClassificationModel, rounds: int) -> GBTClassificationMo
     return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid + "_cut", trees, weights))
 
 
+def rounds_asked(most: int, patience: int = PATIENCE) -> list[int]:
+    """Numbers of trees after which the losses are read."""
+    asked = [min(most, 2 * patience)]
+    while asked[-1] < most:
+        asked.append(min(most, 2 * asked[-1]))
+    return asked
+
+
 def grow(train: DataFrame, held: DataFrame, estimator: GBTClassifier, patience: int = PATIENCE) -> tuple[GBTClassificationModel, list[float]]:
     """(model cut at its best round, loss of each grown round on the held rows). Both frames have the assembled features.
 
     Without held rows, or with one tree asked for, all trees stay.
     """
     most = estimator.getMaxIter()
-    asked = min(most, 2 * patience)
     if held.isEmpty():
         return estimator.fit(train), []
-    while True:
+    for asked in rounds_asked(most, patience):
         model = estimator.copy({estimator.maxIter: asked}).fit(train)
         losses = list(model.evaluateEachIteration(held))
         keep, stopped = stopping_round(losses, patience)
         if stopped or asked == most:
             return (model if keep == model.getNumTrees else truncated(model, keep)), losses
-        asked = min(most, 2 * asked)
 
 
 # ---------------------------------------------------------------- Shapley values

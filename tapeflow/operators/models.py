@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
@@ -26,7 +26,8 @@ from tapeflow.operators import evaluation as V
 from tapeflow.operators import labels as L
 from tapeflow.operators import monitors as D
 from tapeflow.operators import selection as P
-from tapeflow.operators.boosting import PATIENCE, grow, shapley_importance, shapley_table, shapley_values
+from tapeflow.operators.boosting import PATIENCE, grow, rounds_asked, shapley_importance, shapley_table, shapley_values, stopping_round
+from tapeflow.operators.task_boosting import grow_in_task
 from tapeflow.session import staged
 
 EPS = 1e-6
@@ -119,12 +120,15 @@ def train(df: DataFrame, features: Sequence[str], estimator: Estimator) -> Fitte
 
 def train_booster(df: DataFrame, features: Sequence[str], cfg: BoosterConfig = BoosterConfig()) -> Fitted:
     """Boosted trees; ``sample_weight`` is used when present. With ``is_validation`` those rows are held back, and the ensemble is
-    cut at the round of least loss on them, once ``cfg.patience`` rounds brought no better one."""
+    cut at the round of least loss on them, once ``cfg.patience`` rounds brought no better one. Few rows are grown in one task, with
+    the same trees."""
     estimator = booster(cfg, "sample_weight" in df.columns)
     if "is_validation" not in df.columns:
         return train(df, features, estimator)
     ready = assembled(df, features)
-    model, losses = grow(ready.where("NOT is_validation"), ready.where("is_validation"), estimator, cfg.patience)
+    stop = partial(stopping_round, patience=cfg.patience)
+    few = grow_in_task(ready, len(features), estimator, rounds_asked(cfg.trees, cfg.patience), stop)
+    model, losses = few or grow(ready.where("NOT is_validation"), ready.where("is_validation"), estimator, cfg.patience)
     return Fitted(model, list(features), losses)
 
 

@@ -87,3 +87,28 @@ def test_shapley_values_equal_all_subsets_and_add_up(spark, rows):
 def test_a_leaf_alone_has_no_values():
     table = B.ShapleyTable.of([(0, 0, 0.25, 10, -1, -1, -1, None)], [2.0])
     assert table.base == 0.5 and not table.values(np.ones((3, 2))).any()
+
+
+def test_few_rows_are_grown_in_one_task_with_the_same_trees(spark):
+    rng = np.random.default_rng(12)
+    n, names = 260, [f"f{i}" for i in range(7)]
+    x = np.column_stack([
+        rng.normal(size=n), rng.normal(size=n).round(1), rng.integers(0, 3, n), np.where(rng.random(n) < 0.6, 0, rng.normal(size=n)),
+        np.zeros(n), rng.normal(size=n) ** 3, rng.normal(size=n) * 1e-3,
+    ])
+    target = (x[:, 0] + x[:, 2] - x[:, 3] + rng.normal(size=n) > 1).astype(int)
+    rows = [(*map(float, v), int(y), float(0.5 ** (i / 90)), i % 5 == 2) for i, (v, y) in enumerate(zip(x, target, strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in names) + ", target int, sample_weight double, is_validation boolean").coalesce(1)
+    cfg = M.BoosterConfig(trees=40, step=0.2, patience=8)
+    spark.sparkContext.setJobGroup("few", "few")
+    fitted = M.train_booster(df, names, cfg)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    ready = M.assembled(df, names)
+    model, losses = B.grow(ready.where("NOT is_validation"), ready.where("is_validation"), M.booster(cfg, True), cfg.patience)
+    assert [t.toDebugString.split("\n", 1)[1] for t in fitted.model.trees] == [t.toDebugString.split("\n", 1)[1] for t in model.trees]
+    assert len(fitted.losses) == len(losses) and np.allclose(fitted.losses, losses, rtol=1e-12) and fitted.model.treeWeights == model.treeWeights
+    assert np.array_equal(np.pad(fitted.model.featureImportances.toArray(), (0, 7))[:7], np.pad(model.featureImportances.toArray(), (0, 7))[:7])
+    a, b = (sorted((r.f0, r.prob) for r in M.Fitted(m, names).score(df).collect()) for m in (fitted.model, model))
+    assert a == b
+    assert jobs < 20
