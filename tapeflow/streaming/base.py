@@ -64,7 +64,7 @@ def gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame |
 
 
 #: Rows of one key that a worker sorts at once, and rows of one piece of a sorted run on disk.
-HELD_ROWS, PIECE_ROWS = 200_000, 1_000
+HELD_ROWS, PIECE_ROWS = 50_000, 500
 
 
 def in_order(batches: Iterable[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
